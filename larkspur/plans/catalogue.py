@@ -1,4 +1,146 @@
-"""Queries of the engine over the driver tables, and their SQL for an independent engine."""
+"""Queries of the engine over the driver tables, and their SQL for an independent engine.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+A query is SQL text that both engines run, or a DataFrame plan (from operators.relational) beside its SQL. Ordered results
+carry their rank as a column, since the comparison ignores the order of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions.formats import text as as_text
+from larkspur.operators import relational as R
+from larkspur.sources.catalog import parquet
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+#: The same text for Spark and for the other engine.
+SAME_SQL = {
+    "join_filter": "select c.c_name, o.o_orderkey, o.o_totalprice from orders o, customer c where o.o_custkey = c.c_custkey and c.c_acctbal > 5000",
+    "scan_all": "select * from region",
+    "scan_project": "select l_shipdate, l_orderkey from lineitem",
+    "filter_datetime_range": "select o_orderkey, o_orderdate from orders where o_totalprice > 100 and o_orderdate > '1996-01-01 00:00:00' and o_orderdate < '1997-01-01 00:00:00' and o_totalprice < 300000",
+    "filter_string_eq": "select c_custkey from customer where c_mktsegment = 'BUILDING'",
+    "filter_string_cmp": "select p_partkey, p_brand from part where p_brand >= 'Brand#3' and p_brand <> 'Brand#33'",
+    "filter_and_chain": "select o_orderkey from orders where o_totalprice > 20000 and o_totalprice < 200000 and o_custkey > 50 and o_custkey < 800",
+    "filter_or": "select p_partkey from part where p_size = 1 or p_size = 7 or p_brand = 'Brand#12'",
+    "filter_mixed": "select o_orderkey, o_totalprice from orders where o_orderdate > '1996-10-23 00:00:00' and o_custkey < 1000 or o_totalprice < 30000",
+    "filter_nested_mixed": "select o_orderkey from orders where (o_totalprice < 30000 or o_orderstatus = 'F') and (o_custkey < 500 or o_orderdate >= '1997-01-01 00:00:00')",
+    "project_cast": "select cast(floor(o_totalprice) as bigint) as k, cast(o_custkey as varchar(20)) as c from orders",
+    "join_explicit": "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 150000",
+    "join_threeway": "select p.p_name, o.o_orderdate, c.c_name, l.l_extendedprice from lineitem l, orders o, customer c, part p where l.l_orderkey = o.o_orderkey and o.o_custkey = c.c_custkey and l.l_partkey = p.p_partkey and l.l_extendedprice > 40000 and p.p_retailprice < 1500",
+    "join_self": "select a.n_nationkey as x, b.n_name as y from nation a, nation b where a.n_regionkey = b.n_regionkey",
+    "join_string_key": "select a.c_custkey as x, b.c_custkey as y from customer a join customer b on a.c_name = b.c_name",
+    "join_datetime_key": "select o.o_orderkey, l.l_orderkey, l.l_linenumber from orders o join lineitem l on o.o_orderdate = l.l_shipdate where o.o_totalprice > 250000",
+    "join_theta": "select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
+    "scalar_min": "select o_orderkey, p_name from lineitem l, orders o, part p where l.l_orderkey = o.o_orderkey and l.l_partkey = p.p_partkey and p.p_retailprice <= (select min(p_retailprice) + 5 from part)",
+    "scalar_avg": "select c.c_name, o.o_orderkey from customer c, orders o where o.o_custkey = c.c_custkey and o.o_totalprice > (select avg(o_totalprice) from orders)",
+    "scalar_datetime": "select o_orderkey from orders where o_orderdate > (select min(l_shipdate) from lineitem)",
+    "scalar_first_row": "select o_orderkey from orders where o_totalprice > (select c_acctbal from customer order by c_acctbal desc, c_custkey limit 1)",
+    "correlated_sum": "select c.c_name, (select round(sum(o.o_totalprice), 2) from orders o where o.o_custkey = c.c_custkey) as total from customer c",
+    "threeway_full": "select c.c_name, o.o_orderkey, p.p_name from customer c, orders o, lineitem l, part p where o.o_custkey = c.c_custkey and l.l_orderkey = o.o_orderkey and l.l_partkey = p.p_partkey and p.p_retailprice > 1200 and o.o_orderdate > '1995-06-01 00:00:00' and o.o_totalprice > (select avg(o_totalprice) from orders)",
+    "agg_join": "select min(o.o_totalprice) as least, max(o.o_totalprice) as most, count(o.o_orderkey) as n from orders o, customer c where o.o_custkey = c.c_custkey and c.c_acctbal > 5000",
+    "agg_avg_join": "select round(avg(o.o_totalprice), 6) as mean from orders o, customer c where o.o_custkey = c.c_custkey",
+    "agg_empty": "select count(*) as n, count(o_orderkey) as k, sum(o_totalprice) as s, avg(o_totalprice) as a, min(o_orderstatus) as lo, max(o_orderdate) as hi from orders where o_totalprice < 0",
+}
+
+#: Name to (SQL for Spark, SQL for the other engine) where the two differ.
+OWN_SQL = {
+    "agg_sum_int": ("select sum(p_size) as s from part", "select cast(sum(p_size) as bigint) as s from part"),
+}
+
+
+def _comparison(op: str):
+    return lambda t: R.where(t["orders"], R.compare("o_totalprice", op, 100000.0), R.compare("o_custkey", "!=", 17)).select("o_orderkey", "o_totalprice")
+
+
+def _comparison_sql(op: str) -> str:
+    return f"select o_orderkey, o_totalprice from orders where o_totalprice {op} 100000 and o_custkey <> 17"
+
+
+def _scalar(op: str, function: str):
+    return lambda t: R.scalar_compare(t["orders"], "o_totalprice", op, R.aggregate(t["orders"], (function, "o_totalprice", "x"))).select("o_orderkey")
+
+
+def _ranked(df: DataFrame, *keys) -> DataFrame:
+    """rank by a window over the whole table: only to make the order visible to the comparison."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+
+
+def _equals_and_not(t):
+    return t["part"].where((R.compare("p_size", "=", 10)) | ~(R.compare("p_size", ">", 3))).select("p_partkey", "p_size")
+
+
+def _all_aggregates(t):
+    o = t["orders"]
+    out = R.aggregate(o, ("count", "*", "n"), ("count", "o_orderstatus", "n_status"), ("sum", "o_totalprice", "s"), ("avg", "o_totalprice", "a"), ("min", "o_totalprice", "lo"), ("max", "o_totalprice", "hi"), ("min", "o_orderdate", "lo_date"), ("max", "o_orderdate", "hi_date"), ("min", "o_orderpriority", "lo_text"), ("max", "o_orderpriority", "hi_text"))
+    return out.withColumns({"s": F.round("s", 2), "a": F.round("a", 6)})
+
+
+#: Name to (DataFrame plan over the tables, SQL for the other engine).
+PLANS: dict[str, tuple[Callable, str]] = {
+    **{f"filter_{n}": (_comparison(op), _comparison_sql(op)) for n, op in (("gt", ">"), ("lt", "<"), ("eq", "="), ("ne", "!="), ("le", "<="), ("ge", ">="))},
+    "filter_eq_or_not": (_equals_and_not, "select p_partkey, p_size from part where p_size = 10 or not p_size > 3"),
+    "project_reorder": (lambda t: R.project(t["customer"], ["c_mktsegment", "c_custkey"]), "select c_mktsegment, c_custkey from customer"),
+    "project_positional": (lambda t: R.project(t["orders"], [3, 0, 5], names=["price", "k", "priority"]), "select o_totalprice as price, o_orderkey as k, o_orderpriority as priority from orders"),
+    "join_equi": (lambda t: R.equi_join(t["orders"], R.small(t["customer"]), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name"), "select o_orderkey, c_name from orders, customer where o_custkey = c_custkey"),
+    "join_composite": (
+        lambda t: R.equi_join(t["lineitem"].alias("a"), R.project(t["lineitem"], ["l_orderkey", "l_linenumber", "l_tax"], names=["k", "line", "tax"]), [("l_orderkey", "k"), ("l_linenumber", "line")]).select("l_orderkey", "l_linenumber", "tax"),
+        "select a.l_orderkey, a.l_linenumber, b.l_tax as tax from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber",
+    ),
+    **{
+        f"nlj_scalar_{n}": (_scalar(op, f), f"select o_orderkey from orders where o_totalprice {op} (select {f}(o_totalprice) from orders)")
+        for n, op, f in (("gt", ">", "avg"), ("lt", "<", "avg"), ("eq", "=", "max"), ("ne", "<>", "min"), ("le", "<=", "avg"), ("ge", ">=", "avg"))
+    },
+    "agg_all": (_all_aggregates, "select count(*) as n, count(o_orderstatus) as n_status, round(sum(o_totalprice), 2) as s, round(avg(o_totalprice), 6) as a, min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_orderdate) as lo_date, max(o_orderdate) as hi_date, min(o_orderpriority) as lo_text, max(o_orderpriority) as hi_text from orders"),
+    "order_num_desc": (lambda t: _ranked(t["orders"].select("o_orderkey", "o_totalprice"), F.col("o_totalprice").desc_nulls_last(), "o_orderkey"), "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc nulls last, o_orderkey) as position from orders"),
+    "order_ts_asc": (lambda t: _ranked(t["orders"].select("o_orderkey", "o_orderdate"), F.col("o_orderdate").asc_nulls_last(), "o_orderkey"), "select o_orderkey, o_orderdate, row_number() over (order by o_orderdate asc nulls last, o_orderkey) as position from orders"),
+    "order_str_asc": (lambda t: _ranked(t["customer"].select("c_custkey", "c_name"), F.col("c_name").asc_nulls_last(), "c_custkey"), "select c_custkey, c_name, row_number() over (order by c_name asc nulls last, c_custkey) as position from customer"),
+    "order_multi": (lambda t: _ranked(t["part"].select("p_partkey", "p_brand", "p_size"), F.col("p_brand").desc_nulls_last(), F.col("p_size").asc_nulls_last(), "p_partkey"), "select p_partkey, p_brand, p_size, row_number() over (order by p_brand desc nulls last, p_size asc nulls last, p_partkey) as position from part"),
+    "order_alias": (
+        lambda t: _ranked(t["orders"].groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total")), F.col("total").desc_nulls_last(), "o_custkey"),
+        "select o_custkey, total, row_number() over (order by total desc nulls last, o_custkey) as position from (select o_custkey, round(sum(o_totalprice), 2) as total from orders group by o_custkey)",
+    ),
+    "sort_global": (lambda t: R.order_by(t["orders"].select("o_orderkey", "o_totalprice", "o_orderdate"), ("o_totalprice", "desc"), "o_orderkey"), "select o_orderkey, o_totalprice, o_orderdate from orders order by o_totalprice desc nulls last, o_orderkey"),
+    "sink_format": (
+        lambda t: t["orders"].select("o_orderkey", as_text(t["orders"].schema["o_totalprice"], F.col("o_totalprice")).alias("price"), as_text(t["orders"].schema["o_orderdate"], F.col("o_orderdate")).alias("day")),
+        "select o_orderkey, printf('%.2f', o_totalprice) as price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as day from orders",
+    ),
+}
+
+
+class Tables(dict):
+    """Tables of a folder, read when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = df = parquet(self.spark, self.sf_dir, name)
+        return df
+
+
+def _sql_query(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if name in text:
+                parquet(spark, sf_dir, name).createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return run
+
+
+def _plan_query(plan: Callable):
+    return lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{name: _sql_query(text) for name, text in SAME_SQL.items()},
+    **{name: _sql_query(text) for name, (text, _) in OWN_SQL.items()},
+    **{name: _plan_query(plan) for name, (plan, _) in PLANS.items()},
+}
+ORACLE_SQL: dict[str, str] = SAME_SQL | {name: text for name, (_, text) in OWN_SQL.items()} | {name: text for name, (_, text) in PLANS.items()}

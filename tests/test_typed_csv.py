@@ -1,0 +1,87 @@
+import datetime as dt
+import math
+
+import pytest
+from pyspark.sql import types as T
+
+from larkspur.plans.engine import Engine
+from larkspur.sources import catalog, result_csv, typed_csv
+from larkspur.streaming import folder as stream
+
+STAFF = "id (N) (P),name (T),pay (N),since (D),note\r\n1,Ann,10.5,2020-01-02 03:04:05,x\r\n2,\"Bo, jr\",,2021-01-01 00:00:00,\r\n3,Cy,abc,not a day\r\n16777217, Di ,7,,\r\n"
+
+
+@pytest.fixture
+def tables(tmp_path):
+    (tmp_path / "staff.csv").write_bytes(STAFF.encode())
+    (tmp_path / "pay_only.csv").write_bytes(b"id (N),pay (N)\r\n")
+    return str(tmp_path)
+
+
+def test_header():
+    schema = typed_csv.header_schema("a (N) (P),b (D),c (T),d,e (ND)\r\n")
+    assert [(x.name, x.dataType) for x in schema] == [("a", T.DoubleType()), ("b", T.TimestampNTZType()), ("c", T.StringType()), ("d", T.StringType()), ("e", T.DoubleType())]
+    assert schema["a"].metadata["primary_key"] and not schema["b"].metadata["primary_key"]
+
+
+def test_read(spark, tables):
+    df = typed_csv.read(spark, f"{tables}/staff.csv")
+    rows = {r.id: r for r in df.collect()}
+    assert rows[1.0].since == dt.datetime(2020, 1, 2, 3, 4, 5) and rows[1.0].note == "x"
+    assert rows[2.0].name == "Bo, jr" and rows[2.0].pay is None and rows[2.0].note is None
+    assert rows[3.0].pay is None and rows[3.0].since is None and rows[3.0].note is None
+    assert rows[16777217.0].name == "Di"
+    assert typed_csv.primary_keys(df) == ["id"]
+
+
+def test_float32(spark, tables):
+    assert 16777217.0 not in {r.id for r in typed_csv.read(spark, f"{tables}/staff.csv", float32=True).collect()}
+
+
+def test_empty_table_and_aggregates(spark, tables):
+    catalog.register_csv_folder(spark, tables)
+    row = spark.sql("select count(*) n, sum(pay) s, min(pay) lo, avg(pay) a from pay_only").first()
+    assert row.n == 0 and row.s is None and row.lo is None and row.a is None
+    row = spark.sql("select count(*) n, count(pay) k, sum(pay) s, avg(pay) a from staff").first()
+    assert (row.n, row.k, row.s) == (4, 2, 17.5) and math.isclose(row.a, 8.75)
+    assert spark.sql("select * from staff s join pay_only p on s.id = p.id").count() == 0
+
+
+def test_engine_and_sink(spark, tables, tmp_path):
+    engine = Engine(spark)
+    assert set(engine.load(tables)) == {"staff", "pay_only"}
+    query = tmp_path / "q.txt"
+    query.write_text("select name, pay,\nsince as day from staff\norder by id;\n")
+    df = engine.sql_file(str(query))
+    assert "Scan csv" in engine.explain(df)
+    for _ in range(2):  # what is there is replaced
+        engine.write(df, str(tmp_path / "out"), one_file=True)
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    assert part.read_text().splitlines() == ["name,pay,day", "Ann,10.50,2020-01-02 03:04:05", '"Bo, jr",,2021-01-01 00:00:00', "Cy,,", "Di,7.00,"]
+    engine.profiler.write(str(tmp_path / "times.csv"))
+    assert (tmp_path / "times.csv").read_text().splitlines()[0] == "Operation,Time_ms"
+
+
+def test_command_line(spark, tables, tmp_path):
+    from larkspur.__main__ import main
+
+    query = tmp_path / "q.sql"
+    query.write_text("select a.name as x, b.name as y from staff a, staff b where a.pay = b.pay")
+    main([tables, str(query), "--out", str(tmp_path / "o"), "--one-file", "--profile", str(tmp_path / "p.csv")])
+    (part,) = (tmp_path / "o").glob("part-*.csv")
+    assert sorted(part.read_text().splitlines()[1:]) == ["Ann,Ann", "Di,Di"]
+
+
+def test_repeated_names():
+    assert result_csv.unique(["a", "b", "a", "a"]) == ["a", "b", "a_2", "a_3"]
+
+
+def test_stream_reads_each_file_once(spark, tmp_path):
+    schema = typed_csv.header_schema("k (N),v (T)")
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    plan = lambda df: df.where("k > 1")
+    for n, text in enumerate(("k (N),v (T)\n1,a\n2,b\n", "k (N),v (T)\n3,c\n0,d\n")):
+        (tmp_path / "in" / f"{n}.csv").write_text(text)
+        stream.run_available(stream.read_stream(spark, source, schema), plan, out, state)
+    assert sorted(r.v for r in spark.read.parquet(out).collect()) == ["b", "c"]
