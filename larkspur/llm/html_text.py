@@ -48,7 +48,7 @@ NO_REPEAT = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؛،·]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-SMOOTH = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
+SMOOTH = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
 
 
 class Node:
@@ -171,7 +171,7 @@ def content_paths(found: list[tuple[str, Node]], share: float = 0.5) -> dict[str
         total[2] += 1
     sums = np.array([*totals.values()], np.float64).reshape(-1, 3)
     length, marks = sums[:, 0] / sums[:, 2], sums[:, 1] / sums[:, 2]
-    fused = np.log1p(np.sqrt(_smoothed(length) * _smoothed(marks + 0.1) * sums[:, 2]))
+    fused = np.log1p(np.sqrt(_smoothed(length) * _smoothed(marks + 0.1)))
     least = fused.mean() - share * fused.std()
     return {path: float(x) for path, x in zip(totals, fused, strict=True) if x >= least}
 

@@ -148,14 +148,14 @@ def oracle_sql(templates=TEMPLATES, phrases: dict[str, str] | None = None, thres
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     sets = ", ".join(f"('{label}', {sql_list(sorted(set(words_of(text))))}, {math.ceil(threshold * len(set(words_of(text))) - 1e-9)})" for label, text in templates)
     places = ", ".join(
-        f"{{'label': '{label}', 'at': list_filter(range(1, len(w) + 1), lambda i: {' and '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(words_of(phrase)))})}}"
+        f"{{'label': '{label}', 'spots': list_filter(range(1, len(w) + 1), lambda i: {' and '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(words_of(phrase)))})}}"
         for label, phrase in sorted(phrases.items())
     )
     return f"""
 with t(label, members, need) as (values {sets}),
 d as (select row_number() over () as row, doc_id, text, regexp_extract_all({lower.format('text')}, {word}) as w from documents),
-p as (select row, u.label, unnest(u.at) - 1 as at from (select row, unnest([{places}]) as u from d)),
-b as (select row, count(*) as n_base, min(at) as first_word, max(at) as last_word, string_agg(distinct label, ',' order by label) as base_labels from p group by row),
+p as (select row, u.label, unnest(u.spots) - 1 as spot from (select row, unnest([{places}]) as u from d)),
+b as (select row, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, string_agg(distinct label, ',' order by label) as base_labels from p group by row),
 l as (select row, list_distinct(regexp_extract_all({lower.format('line')}, {word})) as m from (select row, unnest(string_split(coalesce(text, ''), chr(10))) as line from d)),
 c as (select row, label, len(list_intersect(m, members)) / len(members) as containment from l, t where len(list_intersect(m, members)) >= need),
 g as (select row, max(containment) as best from c group by row),

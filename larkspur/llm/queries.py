@@ -101,7 +101,7 @@ i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
 v as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') as span from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from i where len(w) > 0)),
 d as (select row, n, s, array_to_string(w[s : s + n - 1], ' ') as span from (select row, w, n, unnest(range(1, len(w) - n + 2)) as s from w, (select distinct n from v) where len(w) >= n)),
 h as (select row, item_id, s, d.n from d join v on d.n = v.n and d.span = v.span),
-a as (select row, count(distinct at) as n_hit from (select row, unnest(range(s, s + n)) as at from h) group by row),
+a as (select row, count(distinct spot) as n_hit from (select row, unnest(range(s, s + n)) as spot from h) group by row),
 b as (select row, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from h group by row)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from w left join a using (row) left join b using (row)""",

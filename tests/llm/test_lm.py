@@ -1,0 +1,105 @@
+import random
+from collections import Counter
+from math import log, log10
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import lm as L
+from larkspur.llm.common import Numbered, WordHashes, space_words
+
+
+def slow_tokens(text):
+    return [*space_words((text or "").encode()), None]  # None: the end
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(1)
+    kinds = [["the", "of", "and", "thing", "reason"], ["der", "die", "und", "ein", "grund"], ["le", "la", "et", "un", "raison"]]
+    rows = [(k, " ".join(rng.choice(kinds[k % 3]) if rng.random() < 0.9 else f"w{rng.randrange(4000)}" for _ in range(rng.randint(1, 200)))) for k in range(500)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+
+
+def test_hashes_know_words():
+    rng = random.Random(0)
+    words = list({bytes(rng.choice(b"ab\x00\xc3\xa9.") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    for most in (1 << 19, 11):
+        found = WordHashes(most)(b"  " + b" ".join(words) + b" ")
+        assert len(set(found[2].tolist())) == len(words)
+        table = Numbered()
+        table.add(found[2], np.arange(len(words)))
+        table.add(np.array([1, 2, 3], np.uint64), np.array([7, 8, 9]))
+        assert table.find(found[2]).tolist() == list(range(len(words)))
+        assert table.find(np.array([3, 4, 1], np.uint64)).tolist() == [9, -1, 7]
+    assert len(WordHashes()(b"")[2]) == 0 and len(WordHashes()(b"   ")[2]) == 0
+
+
+def slow_base(training, texts):
+    counts = Counter(t for x in training for t in slow_tokens(x))
+    n, v = sum(counts.values()), len(counts)
+    return n, [(len(t), sum(counts[x] > 0 for x in t), sum(log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in t)) for t in map(slow_tokens, texts)]
+
+
+@pytest.mark.parametrize("head", [1 << 19, 6])
+def test_base_score(corpus, docs, monkeypatch, head):
+    """With all counts broadcast, and with nearly all of them joined."""
+    monkeypatch.setattr(L, "HEAD", head)
+    both = corpus.union(docs.select("doc_id", "text"))
+    training = both.where("doc_id is null or doc_id % 3 > 0")
+    model = L.train(training)
+    found = L.score(both, model).collect()
+    rows = both.collect()
+    n, want = slow_base([r.text for r in training.collect()], [r.text for r in rows])
+    key = lambda x: (repr(x[0]), x[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found), key=key)
+    assert got == sorted(((r.doc_id, a, b, round(c, 6)) for r, (a, b, c) in zip(rows, want, strict=True)), key=key)
+    assert {r.train_tokens for r in found} == {n}
+
+
+def test_model_beats_the_base_on_held_out_text(corpus):
+    model = L.train(corpus.where("doc_id % 7 != 2"))
+    held = L.score(corpus.where("doc_id % 7 = 2"), model).agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1] + 100
+
+
+def test_probabilities_sum_to_one(corpus):
+    model = L.train(corpus)
+    active = L.features(*L.tokens([b"der die und", b"w1 w2"], WordHashes()))
+    assert np.exp(L.log_probabilities(model.weights, active)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    counts = corpus.sparkSession.createDataFrame(model.counts.collect()).toPandas()
+    kind = L.classes(counts.token.to_numpy().view(np.uint64))
+    for k in range(L.CLASSES):
+        own = counts.c[kind == k]
+        assert (own.sum(), len(own)) == (model.class_tokens[k], model.class_words[k])
+        assert ((own + 1).sum() + 1) / (model.class_tokens[k] + model.class_words[k] + 1) == pytest.approx(1)
+
+
+def test_score_is_the_sum_over_tokens(corpus):
+    model = L.train(corpus)
+    counts = {r.token % 2**64: r.c for r in model.counts.collect()}
+    for r in L.score(corpus.limit(15), model).join(corpus, "doc_id").collect():
+        found, begins = L.tokens([r.text.encode()], WordHashes())
+        logs, kind = L.log_probabilities(model.weights, L.features(found, begins)), L.classes(found)
+        total = sum(logs[i, k] / log(10) + log10((counts.get(int(h), 0) + 1) / (model.class_tokens[k] + model.class_words[k] + 1)) for i, (k, h) in enumerate(zip(kind.tolist(), found.tolist(), strict=True)))
+        assert r.score == pytest.approx(total, abs=1e-3)
+
+
+def test_gradient():
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=(L.FEATURES + 1, L.CLASSES)).astype(np.float32)
+    active = rng.integers(0, 40, (500, 3)).astype(np.uint16)
+    target = rng.integers(0, L.CLASSES, 500)
+    loss = lambda w: -L.log_probabilities(w, active)[np.arange(500), target].mean()
+    replica = L.Replica(weights)
+    for _ in range(30):
+        replica.update(active, target)
+    assert loss(replica.weights) < loss(weights) - 0.5
+    assert replica.seen[-1] == 500 * 30 and replica.seen[:-1].sum() == 3 * 500 * 30
+
+
+def test_nothing(docs, no_docs):
+    model = L.train(no_docs)
+    assert {(r.base_score, r.train_tokens) for r in L.score(docs, model).collect()} == {(0.0, 0)}
+    assert L.score(no_docs, model).count() == 0

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -83,7 +84,20 @@ def test_little_padding(spark, encoder):
     rng = random.Random(2)
     rows = [(k, " ".join(f"{rng.choice(['alpha', 'beta', 'gamma'])}{'.' if rng.random() < 0.1 else ''}" for _ in range(rng.randint(5, 900)))) for k in range(400)]
     pieces = P.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), buffer=30_000).collect()
-    assert sum(r.length for r in pieces) / (4096 * len({r.sequence_id for r in pieces})) > 0.97
+    lengths = Counter()
+    for r in pieces:
+        lengths[r.sequence_id] += r.length
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in lengths.values())  # none at a power of two
+    assert padding / (padding + sum(lengths.values())) < 0.01
+
+
+def test_closing():
+    assert P.closed(10, 10 + 4096) == [4106]
+    assert P.closed(0, 4000) == [4000]
+    for n in range(1, 3000, 7):
+        ends = P.closed(5, 5 + n)
+        lengths = np.diff([5, *ends])
+        assert ends[-1] == 5 + n and (len(ends) == 1 or all(x & (x - 1) == 0 for x in lengths.tolist()))
 
 
 def test_nothing_to_pack(no_docs):
