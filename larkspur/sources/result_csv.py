@@ -13,7 +13,8 @@ def unique(names: list[str]) -> list[str]:
     for name in names:
         k, new = 1, name
         while new in out:
-            k, new = k + 1, f"{name}_{k}"
+            k += 1
+            new = f"{name}_{k}"
         out.append(new)
     return out
 
