@@ -12,7 +12,8 @@ serves it and each place enters and leaves the queue once.
 
 Documents are packed in the order in which they are stored: every task walks through its input split with a buffer of
 ``BUFFER`` tokens, packs it, and carries the last, still open sequence on into the next buffer. No text is shuffled; memory
-is bounded by the buffer and the longest document. At the end of a split the open sequence is closed; sequences are then
+is bounded by the buffer and the longest document. At the end of a split the
+open sequence is closed, in lengths that are powers of two where that saves padding; sequences are then
 numbered through all splits, from the number that each split made.
 
 Nulls and empty texts are documents of no tokens but the separator. Repeated rows are packed as often as they occur. An
@@ -22,8 +23,9 @@ empty table gives no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 from zlib import crc32
 
@@ -37,7 +39,7 @@ from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, s
 
 WINDOW = 4096
 SEPARATOR = 2
-SENTENCE, FORCED, STRETCH = 6, 24, 128
+SENTENCE, FORCED, STRETCH = 4, 12, 32
 BUFFER = 1_000_000
 _SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -174,8 +176,11 @@ def places(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray
     return at[order], penalty[order]
 
 
-def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The ends of the sequences of the cheapest packing that ends at the last place."""
+def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, closing: Callable[[int], int] | None = None) -> list[int]:
+    """The ends of the sequences of the cheapest packing that ends at the last place.
+
+    With ``closing`` the packing may end earlier, where at most a window is left: that rest costs ``closing(length)``.
+    """
     position, cost = [0, *at.tolist()], [0, *penalty.tolist()]
     best, back = [0] * len(position), [0] * len(position)  # best: f[i] + p[i]
     queue = deque([0])
@@ -188,13 +193,28 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]
         while queue and best[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
-    out, j = [], len(position) - 1
+    j = len(position) - 1
+    if closing:
+        near = range(bisect_left(position, position[j] - window), j + 1)
+        j = min(near, key=lambda k: (best[k] - position[k] + closing(position[j] - position[k]), -k))
+    out = []
     while j:
         out.append(position[j])
         j = back[j]
     return out[::-1]
 
 
+def closed(start: int, end: int, window: int = WINDOW) -> tuple[int, list[int]]:
+    """Cost and ends of the sequences that close a stream. A sequence whose length is a power of two needs no padding, so the
+    rest is cut into such lengths, largest first, if that costs less than to pad it."""
+    left = end - start
+    lengths = [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1]
+    cost = FORCED * (len(lengths) - 1)
+    if left and cost < window - left:
+        return cost, np.cumsum([start, *lengths])[1:].tolist()
+    return (window - left, [end]) if left else (0, [])
+
+
 class Packer:
     """Packs documents that come one by one; ``pieces`` holds what is done."""
 
@@ -215,9 +235,10 @@ class Packer:
             return
         ids = np.concatenate([x[2] for x in self.open])
         ends = np.cumsum([len(x[2]) for x in self.open])
-        stops = cuts(*places(ids, ends, self.sentence_ends, self.window), self.window)
-        if not final:
-            stops.pop()  # the last sequence goes on
+        closing = (lambda left: closed(0, left, self.window)[0]) if final else lambda left: 0  # what is left open costs nothing yet
+        stops = cuts(*places(ids, ends, self.sentence_ends, self.window), self.window, closing)
+        if final and (low := stops[-1] if stops else 0) < len(ids):
+            stops += closed(low, len(ids), self.window)[1]
         documents, low, rest = iter(self.open), 0, None
         for stop in stops:
             offset = 0

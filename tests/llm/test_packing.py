@@ -92,10 +92,11 @@ def test_little_padding(spark, encoder):
 
 
 def test_closing():
-    assert P.closed(10, 10 + 4096) == [4106]
-    assert P.closed(0, 4000) == [4000]
+    assert P.closed(10, 10 + 4096) == (0, [4106])
+    assert P.closed(0, 4090) == (6, [4090])
+    assert P.closed(7, 7) == (0, [])
     for n in range(1, 3000, 7):
-        ends = P.closed(5, 5 + n)
+        ends = P.closed(5, 5 + n)[1]
         lengths = np.diff([5, *ends])
         assert ends[-1] == 5 + n and (len(ends) == 1 or all(x & (x - 1) == 0 for x in lengths.tolist()))
 
