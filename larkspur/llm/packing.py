@@ -161,6 +161,16 @@ class Encoder:
         return [np.concatenate([ids[a:b], tail]) for a, b in pairwise(stops)]
 
 
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def worker_encoder(path: str | None) -> Encoder:
+    """This Python worker's encoder of a file; a reused worker keeps the words that its earlier tasks have met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def places(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts (positions over 0, sorted) and their penalties."""
     sentences = np.flatnonzero(np.isin(ids, sentence_ends)) + 1
@@ -262,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset", "split"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, split = worker_encoder(tokenizer), TaskContext.get().partitionId()
         packer = Packer(encoder.ends, window, buffer)
 
         def done() -> pa.RecordBatch:
