@@ -46,17 +46,20 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NO_REPEAT = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؛،·]")
+#: Elements nested deeper stand beside the one at this depth, as in browsers.
+DEEPEST = 512
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SMOOTH = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
 
 
 class Node:
+    """An element. Elements with equal tags from the root on share the number ``path``."""
+
     __slots__ = ("tag", "path", "parent", "depth", "aside", "number")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool, number: int):
-        self.tag, self.parent, self.aside, self.number = tag, parent, aside, number
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: Node | None, aside: bool, number: int, path: int = 0):
+        self.tag, self.parent, self.aside, self.number, self.path = tag, parent, aside, number, path
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -82,6 +85,7 @@ def blocks(html: str) -> list[tuple[str, Node]]:
     """The page's blocks of text that no aside holds, each with its element."""
     root = Node("#", None, False, 0)
     out: list[tuple[str, Node]] = []
+    paths: dict[tuple[int, str], int] = {}
     at, now, made, pieces = 0, root, 0, []
 
     def close() -> None:
@@ -151,7 +155,9 @@ def blocks(html: str) -> list[tuple[str, Node]]:
         if tag in NO_REPEAT and now.tag in NO_REPEAT:
             now = now.parent
         made += 1
-        now = Node(tag, now, _is_aside(tag, found.group(3).rstrip("/"), now), made)
+        above = now if now.depth < DEEPEST else now.parent
+        path = paths.setdefault((above.path, tag), len(paths) + 1)
+        now = Node(tag, above, _is_aside(tag, found.group(3).rstrip("/"), now), made, path)
     close()
     return out
 
@@ -161,9 +167,9 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, SMOOTH, "full")[2 : 2 + len(values)] / weight
 
 
-def content_paths(found: list[tuple[str, Node]], share: float = 0.5) -> dict[str, float]:
+def content_paths(found: list[tuple[str, Node]], share: float = 0.5) -> dict[int, float]:
     """Fused, smoothed ratio of each tag path that passes the threshold."""
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for text, node in found:
         total = totals.setdefault(node.path, [0, 0, 0])
         total[0] += len(text)
@@ -173,7 +179,7 @@ def content_paths(found: list[tuple[str, Node]], share: float = 0.5) -> dict[str
     length, marks = sums[:, 0] / sums[:, 2], sums[:, 1] / sums[:, 2]
     fused = np.log1p(np.sqrt(_smoothed(length) * _smoothed(marks + 0.1)))
     least = fused.mean() - share * fused.std()
-    return {path: float(x) for path, x in zip(totals, fused, strict=True) if x >= least}
+    return {path: float(x) for path, x in zip(totals, fused, strict=True) if x >= least - 1e-9}
 
 
 def _ancestors(node: Node) -> list[Node]:
