@@ -29,7 +29,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 BROADCAST_WORDS = 20_000
 #: Words that make a label where they stand one after the other.
 PHRASES = {"apache": "apache license", "gpl": "general public license", "mit": "mit license"}

@@ -95,6 +95,7 @@ f as (select digest as of, max(page_id) as first from p where n >= 1000 group by
 select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id < first then 'revisit' else 'response' end as record_type,
   case when page_id < first then first end as refers_to
 from p left join f on digest = of and n >= 1000""",
+    "op6_feistel": sharding.oracle_sql(),
     "op7_decontamination": r"""
 with w as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),

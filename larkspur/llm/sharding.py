@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ROUNDS = 6
+KEY = 20_240_229
+_FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
-    x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x + np.uint64(key)) * np.uint64(_FIRST)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_SECOND)
     return x ^ (x >> np.uint64(29))
 
 
@@ -57,7 +59,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn("number", F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_split", "_ahead")
 
 
-def shard(docs: DataFrame, shards: int = 8, key: int = 20_240_229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, number, shard int, slot) of every row."""
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     narrow = cut(docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
@@ -72,3 +74,24 @@ def shard(docs: DataFrame, shards: int = 8, key: int = 20_240_229, id_col: str =
             yield pa.RecordBatch.from_arrays([*columns, pa.array((image % shards).astype(np.int32)), pa.array(image // shards)], names=["doc_id", "size", "text_crc32", "number", "shard", "slot"])
 
     return numbered(narrow, "doc_id", "text_crc32", "size").mapInArrow(run, f"doc_id {kind}, size long, text_crc32 long, number long, shard int, slot long")
+
+
+def oracle_sql(shards: int = 8, key: int = KEY) -> str:
+    """The whole operator in SQL for another engine: checksums byte by byte, and a step of the recursion for each Feistel round."""
+    return f"""
+with recursive tab as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: k::ubigint)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as v from range(256) r(i))),
+h as (select doc_id, row_number() over () as row, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as x from documents),
+c as (select doc_id, row, size, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(0, len(x) // 2), lambda i: (('0x' || substr(x, 2 * i + 1, 2))::utinyint)::ubigint)), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint) as crc from h, tab),
+m as (select *, row_number() over (order by doc_id nulls first, crc, size) - 1 as number, count(*) over () as n from c),
+p as (select greatest(1, (case when max(n) > 1 then length(ltrim(bin(max(n) - 1), '0')) else 0 end + 1) // 2) as half from m),
+f as (
+  select number, n, half, (number >> half)::ubigint as a, (number & ((1::bigint << half) - 1))::ubigint as b, 0 as k from m, p
+  union all
+  select number, n, half, b, xor(a, xor(z, z >> 29) & ((1::ubigint << half) - 1)), k % {ROUNDS} + 1 from (
+    select *, ((xor(y, y >> 32)::uhugeint * {_SECOND}::uhugeint) % 18446744073709551616::uhugeint)::ubigint as z from (
+      select *, (((b::uhugeint + {key * ROUNDS}::uhugeint + (k % {ROUNDS})::uhugeint) * {_FIRST}::uhugeint) % 18446744073709551616::uhugeint)::ubigint as y from f
+      where k < {ROUNDS} or ((a << half) | b) >= n)))
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, (((a << half) | b) % {shards})::int as shard, (((a << half) | b) // {shards})::bigint as slot, null::int as grown_shard
+from f join m using (number) where k = {ROUNDS} and ((a << half) | b) < f.n"""

@@ -12,7 +12,7 @@ NOTICES = [
     "general public licence, general PUBLIC license; mit license mit license",
     "This program is free software: you can redistribute it or modify it under the terms of the GNU General Public License published by the Free Software Foundation",
     "Permission is hereby granted, free of charge, to any person obtaining a copy",
-    "Redistribution and use in source and binary forms, with or without modification are permitted provided that these conditions are met",
+    "Redistribution and use in source and binary forms, with or without modification are permitted provided that these following conditions are met",
     "\n\nLicensed under CC BY 4.0\nLicensed under\nCC BY-NC 4.0",
     "unlicensed underwear the mitx licensed",
 ]
@@ -50,7 +50,7 @@ def test_like_brute_force(scanned):
     assert digest(found) == sorted((repr(x[:7]), round(x[7], 9)) for x in want)
     pairs = sorted((repr(r.doc_id), sorted((m.block, m.label, m.containment) for m in {(m.block, m.label, m.containment): m for m in r.matches}.values())) for r in found)
     assert pairs == sorted((repr(x[0]), sorted(x[8])) for x in want)
-    assert sum(bool(r.matches) for r in found) >= 5
+    assert sum(bool(r.matches) for r in found) >= 4
 
 
 def test_any_threshold_and_templates(scanned):
