@@ -75,8 +75,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         _line("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         _line("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _line("WARC-Refers-To-Target-URI", F.when(F.col("revisit"), F.col("first_url"))),
-        _line("X-Refers-To-Page", F.when(F.col("revisit"), F.col("first_id"))),
-        _line("X-Page-ID", F.when(first, F.col("id"))),
+        _line("X-Refers-To-Page", F.when(F.col("revisit"), F.url_encode(F.col("first_id").cast("string")))),
+        _line("X-Page-ID", F.when(first, F.url_encode(F.col("id").cast("string")))),
         _line("X-Payload-Length", F.when(first, F.col("size"))),
         _line("X-Segments", F.when(several, F.col("chunks"))),
         _line("Content-Type", F.when(first, F.lit("application/http; msgtype=response"))),
@@ -103,8 +103,8 @@ def read(spark: SparkSession, path: str, run: str) -> DataFrame:
         number.alias("chunk_number"),
         header("WARC-Type").alias("type"),
         header("WARC-Target-URI").alias("url"),
-        header("X-Page-ID").alias("page_id"),
-        header("X-Refers-To-Page").alias("refers_to"),
+        F.url_decode(header("X-Page-ID")).alias("page_id"),
+        F.url_decode(header("X-Refers-To-Page")).alias("refers_to"),
         F.regexp_extract("head", r"\nWARC-Payload-Digest: sha1:(\w+)", 1).alias("digest"),
         header("X-Payload-Length").cast("long").alias("payload_bytes"),
         F.coalesce(header("X-Segments").cast("int"), F.lit(1)).alias("chunks"),

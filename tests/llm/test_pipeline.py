@@ -84,3 +84,13 @@ def test_sql(spark, name):
     found = queries.QUERIES[name](spark, SF)
     want = db.execute(f"select {', '.join(found.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_every_row_has_its_result(spark, name):
+    """Each query returns a row for each row of its whole table (packing: for each piece)."""
+    found = queries.QUERIES[name](spark, SF)
+    key = "page_id" if "page_id" in found.columns else "doc_id"
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet").select(key).collect()]
+    got = [r[0] for r in found.select(key).collect()]
+    assert sorted(set(got) if name == "op2_packing" else got) == sorted(ids)

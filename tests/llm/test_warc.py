@@ -78,3 +78,11 @@ def test_nothing(spark, tmp_path):
     path = str(tmp_path / "w")
     run = W.write(spark.createDataFrame([], PAGES), path)
     assert W.records(W.read(spark, path, run)).count() == 0
+
+
+def test_ids_may_be_any_text(spark, tmp_path):
+    ids = ["a\r\nContent-Length: 9", "ü %41+", "x" * 3000]
+    path = str(tmp_path / "w")
+    run = W.write(spark.createDataFrame([(x, "u", "p" * 1200) for x in ids], "page_id string, url string, html string"), path)
+    found = {r.page_id: r.refers_to for r in W.records(W.read(spark, path, run)).collect()}
+    assert found == {x: None if x == max(ids) else max(ids) for x in ids}
