@@ -10,7 +10,7 @@ one. Both factors sum to one.
 Counts cover every training row: tasks count their words in numpy, Spark adds the counts up by word. Words are known by a 64-bit hash; two
 words of a corpus of n distinct ones clash with a chance of about n * n / 2 ** 65.
 
-Training: the softmax's weights start from the classes' counts. In each round every replica (one per task, at most ``REPLICAS``) takes
+Training: the softmax's weights start from the classes' counts. In each round every replica (one per task, at most ``REPLICAS_PER_CORE`` for each core of the cluster) takes
 the global weights over its share of that round's rows in mini-batches of gradient updates with per-feature step sizes; the changes of a
 feature, weighted by how often a replica saw it, are summed by blocks of features on the executors, and the mean becomes the next global
 weights. All training rows take part, each in one round. The exchange is bounded by replicas times the model's size, not by the corpus.
@@ -42,7 +42,7 @@ FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 BLOCK = 512
 HEAD = 1 << 19
-REPLICAS = 256
+REPLICAS_PER_CORE = 4
 ROUNDS = 2
 STEP = 0.08
 BATCH = 8192
@@ -201,7 +201,7 @@ def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     weights = np.zeros((FEATURES + 1, CLASSES), np.float32)
     weights[-1] = np.log((per_class[0] + 1) / (per_class[0].sum() + CLASSES))
-    replicas = min(REPLICAS, 2 * spark.sparkContext.defaultParallelism)
+    replicas = REPLICAS_PER_CORE * spark.sparkContext.defaultParallelism
     for k in range(rounds):
         share = training.where(F.pmod(F.xxhash64(training[id_col].cast("string"), F.lit(rounds)), F.lit(rounds)) == k).select(training[text_col])
         shared = spark.sparkContext.broadcast(weights)
