@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, slices
 
-CLASS_BITS = 5
+CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
@@ -226,7 +226,7 @@ class _Scorer:
     def __getstate__(self):
         return self.__dict__ | {"table": None}
 
-    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 15) -> Iterator[pa.RecordBatch]:
         """(id, text) to a row for each text (tf 0) and one for each of its words beyond the head, all named by ``row``."""
         hasher, made, kind = WordHashes(), TaskContext.get().partitionId() << 33, None
         if self.table is None:
