@@ -1,4 +1,4 @@
-"""python -m larkspur DATA_FOLDER QUERY_FILE [--out FOLDER] [--explain] [--profile FILE] [--float32] [--one-file]"""
+"""python -m larkspur DATA_FOLDER QUERY_FILE [--out FOLDER] [--explain] [--profile FILE] [--float32] [--one-file] [--first-row]"""
 
 from __future__ import annotations
 
@@ -17,10 +17,11 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--explain", action="store_true")
     parser.add_argument("--profile", help="file for the timings")
     parser.add_argument("--float32", action="store_true")
+    parser.add_argument("--first-row", action="store_true", help="scalar subqueries of several rows give their first one")
     told = parser.parse_args(args)
     engine = Engine(session())
     engine.load(told.data, told.float32)
-    df = engine.sql_file(told.query)
+    df = engine.sql_file(told.query, told.first_row)
     if told.explain:
         print(engine.explain(df))
     if told.out:

@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.plans import dialect
 from larkspur.sources import catalog, result_csv
 
 
@@ -36,8 +37,8 @@ class Profiler:
 
 
 def statement(text: str) -> str:
-    """The one statement of a query file: lines joined by a space, without the closing semicolon."""
-    return " ".join(text.split("\n")).strip().rstrip(";").strip()
+    """The one statement of a query file, without the closing semicolon."""
+    return text.strip().rstrip(";").strip()
 
 
 class Engine:
@@ -49,12 +50,14 @@ class Engine:
         with self.profiler.step("load"):
             return [*catalog.register_csv_folder(self.spark, folder, float32), *catalog.register_parquet_folder(self.spark, folder)]
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, first_row: bool = False) -> DataFrame:
+        """first_row: scalar subqueries of several rows give their first one."""
         with self.profiler.step("plan"):
-            return self.spark.sql(statement(text))
+            text = dialect.nulls_last(statement(text))
+            return self.spark.sql(dialect.first_row_scalars(text) if first_row else text)
 
-    def sql_file(self, path: str) -> DataFrame:
-        return self.sql(Path(path).read_text(encoding="utf-8"))
+    def sql_file(self, path: str, first_row: bool = False) -> DataFrame:
+        return self.sql(Path(path).read_text(encoding="utf-8"), first_row)
 
     def explain(self, df: DataFrame, mode: str = "formatted") -> str:
         with redirect_stdout(StringIO()) as out:
