@@ -33,13 +33,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 ASIDE = frozenset("head nav header footer aside form button select option menu menuitem dialog script style noscript template iframe object embed canvas svg math audio video map textarea fieldset".split())
-HEADED = frozenset("article main section".split())  # a header or footer in these may still belong to the page around
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|aside|"
     r"widget|footer|foot|header|masthead|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|reply|replies|"
     r"respond|disqus|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|copyright|legal|skip|hidden)(?:$|[\s_-])"
 )
+#: Names such as ``has-sidebar`` tell what an element stands beside.
+_BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without)[_-][\w-]+")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: A start tag of one of these ends an open paragraph.
@@ -72,7 +73,7 @@ def _is_aside(tag: str, attributes: str, parent: Node) -> bool:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("body", "html", "main") and WORDS.search(value):
+        if name in ("class", "id") and tag not in ("body", "html", "main") and WORDS.search(_BESIDE.sub(" ", value)):
             return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True

@@ -19,6 +19,7 @@ def page(article, before="", after=""):
         (page(f"<article><h1>H</h1><p>{BODY}</p><p>.</p></article>", '<aside>Side</aside><div id="cookie-notice">We use cookies.</div><form><input value="x"><label>Mail</label></form>', '<div class="sidebar"><p>More</p></div><section id="comments"><article class="comment"><p>I, too, say so. Yes.</p></article></section>'), f"H\n{BODY}\n."),
         (page(f'<main><article><p>{BODY}</p><div class="ad"><p>Ad, ad.</p></div><p>Short</p><section class="comments"><p>{BODY}</p></section></article></main>'), f"{BODY}\nShort"),
         (page(f'<div id="content"><h2>H</h2><p>{BODY}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></div>', '<div class="menu"><p>m</p></div>', '<div class="footer">f</div>'), f"H\n{BODY}\none\ntwo\na\nb"),
+        (page(f'<div class="content has-sidebar no-ads"><p>{BODY}</p><p>x</p></div><div class="right-sidebar"><p>{BODY}</p></div>'), f"{BODY}\nx"),
         (page(f"<article><p>a <i>b</i>c</p><p>{BODY} 1 < 2 & 3</p><noscript>no</noscript><p title='x > y'>q</p>"), f"a bc\n{BODY} 1 < 2 & 3\nq"),
         (page(f"<article><p>{BODY}</p><script>if (a < b) document.write('<p>x</p>')</script><p hidden>h</p><p>z</p><style>.a{{}}"), f"{BODY}\nz"),
     ],
