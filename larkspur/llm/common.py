@@ -131,7 +131,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 class Bounded(dict):
     """A memo of ``make(key)`` that starts anew when it holds ``most`` keys."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
