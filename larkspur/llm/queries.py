@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, licenses, lm, media, packing, quality, sharding, simhash, warc
+from . import decontam, html_text, licenses, lm, media, packing, quality, sharding, simhash, simhash_sql, warc
 from .common import scratch_path
 
 
@@ -106,4 +106,5 @@ a as (select row, count(distinct spot) as n_hit from (select row, unnest(range(s
 b as (select row, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from h group by row)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from w left join a using (row) left join b using (row)""",
+    "op10_simhash": simhash_sql.oracle_sql(),
 }
