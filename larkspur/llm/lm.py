@@ -45,7 +45,7 @@ HEAD = 1 << 19
 REPLICAS_PER_CORE = 4
 ROUNDS = 2
 STEP = 0.08
-BATCH = 8192
+BATCH = 2048
 #: Stand for the end token and for what lies before a text's first word.
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -74,16 +74,31 @@ def features(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.stack([((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16) for x in mixed], axis=1)
 
 
-def log_probabilities(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the classes' probabilities; weights: a row for each feature, the bias last."""
-    out = weights[active[:, 0]] + weights[-1]
-    out += weights[active[:, 1]]
-    out += weights[active[:, 2]]
+def sums(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Each class's summed weights, the greatest 0; weights: a row for each feature, the bias last."""
+    out = np.take(weights, active[:, 0], axis=0)
+    out += weights[-1]
+    out += np.take(weights, active[:, 1], axis=0)
+    out += np.take(weights, active[:, 2], axis=0)
     out -= out.max(axis=1, keepdims=True)
-    out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
     return out
 
 
+def probabilities(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
+    out = sums(weights, active)
+    np.exp(out, out=out)
+    out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
+def log_probability(weights: np.ndarray, active: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the target class's probability."""
+    out = sums(weights, active)
+    chosen = out[np.arange(len(target)), target].astype(np.float64)
+    np.exp(out, out=out)
+    return chosen - np.log(out.sum(axis=1))
+
+
 class Replica:
     """The global weights, carried on by gradient updates of this task's rows."""
 
@@ -93,16 +108,17 @@ class Replica:
         self.seen = np.zeros(len(weights), np.float32)
 
     def update(self, active: np.ndarray, target: np.ndarray) -> None:
-        error = np.exp(log_probabilities(self.weights, active))
+        error = probabilities(self.weights, active)
         error[np.arange(len(target)), target] -= 1
         self.step(np.array([len(self.weights) - 1]), error.sum(axis=0, keepdims=True), np.array([len(target)]))
         for column in active.T:
             order = np.argsort(column, kind="stable")
-            at, first, many = np.unique(column[order], return_index=True, return_counts=True)
-            self.step(at, np.add.reduceat(error[order], first, axis=0), many)
+            ordered = column[order]
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            self.step(ordered[first], np.add.reduceat(np.take(error, order, axis=0), first, axis=0), np.diff(np.r_[first, len(ordered)]))
 
     def step(self, at: np.ndarray, gradient: np.ndarray, many: np.ndarray) -> None:
-        self.squares[at] += (gradient * gradient).mean(axis=1, keepdims=True)
+        self.squares[at] += np.einsum("ij,ij->i", gradient, gradient)[:, None] / CLASSES
         self.weights[at] -= STEP * gradient / np.sqrt(self.squares[at])
         self.seen[at] += many
 
@@ -147,7 +163,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         held[0].append(features(found, begins))
         held[1].append(classes(found))
         held[2] += len(found)
-        if held[2] >= 8 * BATCH:
+        if held[2] >= 32 * BATCH:
             learn()
     if held[2]:
         learn()
@@ -226,7 +242,7 @@ class _Scorer:
     def __getstate__(self):
         return self.__dict__ | {"table": None}
 
-    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 12) -> Iterator[pa.RecordBatch]:
         """(id, text) to a row for each text (tf 0) and one for each of its words beyond the head, all named by ``row``."""
         hasher, made, kind = WordHashes(), TaskContext.get().partitionId() << 33, None
         if self.table is None:
@@ -240,8 +256,7 @@ class _Scorer:
             lift = np.empty(len(found))
             for at in range(0, len(found), block):
                 part = slice(at, at + block)
-                chosen = log_probabilities(self.weights, active[part])[np.arange(len(target[part])), target[part]]
-                lift[part] = chosen / np.log(10) - self.class_rest[target[part]]
+                lift[part] = log_probability(self.weights, active[part], target[part]) / np.log(10) - self.class_rest[target[part]]
             number = self.table.find(found)
             here = number >= 0
             gain = np.zeros(len(found))

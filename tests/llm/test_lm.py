@@ -67,7 +67,8 @@ def test_model_beats_the_base_on_held_out_text(corpus):
 def test_probabilities_sum_to_one(corpus):
     model = L.train(corpus)
     active = L.features(*L.tokens([b"der die und", b"w1 w2"], WordHashes()))
-    assert np.exp(L.log_probabilities(model.weights, active)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    assert L.probabilities(model.weights, active).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    assert sum(np.exp(L.log_probability(model.weights, active, np.full(len(active), k))) for k in range(L.CLASSES)) == pytest.approx(1, abs=1e-4)
     counts = corpus.sparkSession.createDataFrame(model.counts.collect()).toPandas()
     kind = L.classes(counts.token.to_numpy().view(np.uint64))
     for k in range(L.CLASSES):
@@ -81,7 +82,7 @@ def test_score_is_the_sum_over_tokens(corpus):
     counts = {r.token % 2**64: r.c for r in model.counts.collect()}
     for r in L.score(corpus.limit(15), model).join(corpus, "doc_id").collect():
         found, begins = L.tokens([r.text.encode()], WordHashes())
-        logs, kind = L.log_probabilities(model.weights, L.features(found, begins)), L.classes(found)
+        logs, kind = np.log(L.probabilities(model.weights, L.features(found, begins)).astype(np.float64)), L.classes(found)
         total = sum(logs[i, k] / log(10) + log10((counts.get(int(h), 0) + 1) / (model.class_tokens[k] + model.class_words[k] + 1)) for i, (k, h) in enumerate(zip(kind.tolist(), found.tolist(), strict=True)))
         assert r.score == pytest.approx(total, abs=1e-3)
 
@@ -91,7 +92,7 @@ def test_gradient():
     weights = rng.normal(size=(L.FEATURES + 1, L.CLASSES)).astype(np.float32)
     active = rng.integers(0, 40, (500, 3)).astype(np.uint16)
     target = rng.integers(0, L.CLASSES, 500)
-    loss = lambda w: -L.log_probabilities(w, active)[np.arange(500), target].mean()
+    loss = lambda w: -L.log_probability(w, active, target).mean()
     replica = L.Replica(weights)
     for _ in range(30):
         replica.update(active, target)
