@@ -75,6 +75,14 @@ class WordHashes:
         return start, stop, out ^ (out >> np.uint64(31))
 
 
+def hashed(texts: list[bytes], hasher: WordHashes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose separators are spaces: all joined, starts, ends and hashes of the words in that, and where each
+    text's words begin among them, with the count of all."""
+    joined = b" ".join(texts)
+    begin, end, found = hasher(joined)
+    return joined, begin, end, found, np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+
+
 class Numbered:
     """An open-addressing table from 64-bit hashes to numbers, looked up for whole arrays."""
 
@@ -128,20 +136,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-class Bounded(dict):
-    """A memo of ``make(key)`` that starts anew when it holds ``most`` keys."""
-
-    def __init__(self, make, most: int = 200_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -171,6 +165,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df``, of at most about ``rows`` narrow rows, in no more partitions than these fill: a shuffle's many small
+    partitions are read by fewer tasks, and a cut of them writes fewer files."""
+    return df.coalesce(8 + rows // each)
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no other column of the table can clash with what an operator adds."""
     return df.select(*[df[x] for x in names])

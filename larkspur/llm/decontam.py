@@ -6,7 +6,7 @@ of a benchmark item; an item with fewer words is one window. A document is hit w
 Winnowing: hash every run of ``GRAM`` words and keep, of each ``span - GRAM + 1`` neighbours, the smallest (the last of equal ones).
 Which one a window keeps depends on that window's words alone, so a shared span of ``span`` words always shares a kept
 hash. A document's kept hashes are joined with the benchmark's; around each match the at most ``span - GRAM + 1`` windows that contain it are
-compared word by word, so hash clashes cannot make a hit. Items shorter than ``span`` words are looked for by
+looked up by hash and compared word by word, so hash clashes cannot make a hit. Items shorter than ``span`` words are looked for by
 the hash of all their words, kept at every position.
 
 The benchmark is a stated query set. It goes to the executors in blocks of bounded size (``block_bytes`` of text): each block is
@@ -21,21 +21,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from zlib import crc32
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, alnum_words, as_bytes, fields, slices
+from .common import ASCII_WORDS, WordHashes, alnum_words, as_bytes, fields, hashed, slices
 
 SPAN = 10
 GRAM = 5
-
-
-def _word(word: bytes) -> int:
-    return crc32(word) << 32 | crc32(word, 0x5BD1E995)
+_PLACES = np.uint64((1 << 30) - 1)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -50,71 +47,105 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Positions kept: of each w neighbours the smallest hash, the last of equal ones."""
+    """Positions kept: of each w neighbours the smallest hash (by its high 34 bits), the last of equal ones."""
     n = len(hashes) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at = hashes[:n].copy(), np.arange(n)
-    for j in range(1, w):
-        here = hashes[j : j + n]
-        lower = here <= best
-        best = np.where(lower, here, best)
-        at[lower] = np.flatnonzero(lower) + j
+    # the low bits count down from the text's start, so the smaller of two keys is also the later of equal hashes
+    best, wide = (hashes & ~_PLACES) | (_PLACES - np.arange(len(hashes), dtype=np.uint64)), 1
+    while wide < w:
+        step = min(wide, w - wide)
+        best = np.minimum(best[:-step], best[step:])
+        wide += step
+    at = (_PLACES - (best & _PLACES)).astype(np.int64)
     keep = np.ones(n, bool)
     keep[1:] = at[1:] != at[:-1]  # kept positions never go back
     return at[keep]
 
 
+def window_hashes(words: np.ndarray, at: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` word hashes from each place."""
+    total = np.full(len(at), salt, np.uint64)
+    for j in range(length):
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) + words[at + j]
+    return total
+
+
+class Table:
+    """Windows of one length, sorted by hash: where they start in ``words`` and whose they are. Equal hashes mean equal
+    windows: a salt is tried until that holds, so one comparison of words at a look-up makes it exact."""
+
+    def __init__(self, words: list[bytes], hashes: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int):
+        self.length, self.salt = length, 0
+        while True:
+            keys = window_hashes(hashes, starts, length, self.salt)
+            order = np.lexsort((owners, keys))
+            self.keys, self.starts, self.owners = keys[order], starts[order], owners[order]
+            twins = np.flatnonzero(self.keys[1:] == self.keys[:-1])
+            pairs = zip(self.starts[twins].tolist(), self.starts[twins + 1].tolist(), strict=True)
+            if all(words[p : p + length] == words[q : q + length] for p, q in pairs):
+                break
+            self.salt += 1
+
+
 class Windows:
-    """The windows of some items, and their kept hashes by window length."""
+    """The windows of some items and their kept hashes, by window length: about 20 bytes a window."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, gram: int = GRAM):
-        self.gram = min(gram, span)
-        self.places: dict[bytes, list[int]] = {}
-        self.names: list[str] = []
-        kept: dict[int, list[np.ndarray]] = {}
+        gram = min(gram, span)
         numbers: dict[str, int] = {}
+        known: dict[bytes, bytes] = {}
+        self.words: list[bytes] = []
+        places: dict[int, list[tuple[int, int, int]]] = {}
         for name, text in items:
-            words = alnum_words(text)
-            if not words:
-                continue
-            item = numbers.setdefault(name, len(numbers))
-            length = min(span, len(words))
-            for s in range(len(words) - length + 1):
-                owners = self.places.setdefault(b" ".join(words[s : s + length]), [])
-                if item not in owners[-1:]:
-                    owners.append(item)
-            k = self.k(length, span)
-            hashes = gram_hashes(np.fromiter(map(_word, words), np.uint64, len(words)), k)
-            kept.setdefault(length, []).append(hashes[winnow(hashes, length - k + 1)])
+            words = [known.setdefault(x, x) for x in alnum_words(text)]
+            if words:
+                item = numbers.setdefault(name, len(numbers))
+                places.setdefault(min(span, len(words)), []).append((len(self.words), len(words), item))
+                self.words += words
         self.names = list(numbers)
-        self.kept = {length: (self.k(length, span), np.unique(np.concatenate(x))) for length, x in kept.items()}
-
-    def k(self, length: int, span: int) -> int:
-        return self.gram if length == span else length
-
-    def hits(self, words: list[bytes], memo: Bounded) -> tuple[np.ndarray, set[str]]:
-        """Which words lie in an occurrence of a window, and whose windows occur."""
-        n = len(words)
-        hit, owners = np.zeros(n, bool), set()
-        if not n or not self.kept:
-            return hit, set()
-        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-        for length, (k, known) in self.kept.items():
-            if n < length:
-                continue
+        hashes = WordHashes()(b" ".join(self.words))[2]
+        self.tables: list[tuple[Table, int, np.ndarray]] = []  # with each: the words of its kept hashes, and these
+        for length, own in places.items():
+            k = gram if length == span else length
+            starts = np.concatenate([np.arange(at, at + n - length + 1) for at, n, _ in own])
+            owners = np.concatenate([np.full(n - length + 1, item, np.int32) for _, n, item in own])
+            grams = [gram_hashes(hashes[at : at + n], k) for at, n, _ in own]
+            kept = np.unique(np.concatenate([x[winnow(x, length - k + 1)] for x in grams]))
+            self.tables.append((Table(self.words, hashes, starts, owners, length), k, kept))
+
+    def hits(self, texts: list[bytes], hasher: WordHashes) -> tuple[list[np.ndarray], list[set[str]]]:
+        """For each text which of its words lie in an occurrence of a window, and whose windows occur.
+
+        All texts' words are handled as one run; what reaches over a text's end is left out at the comparison.
+        """
+        joined, begin, end, hashes, stops = hashed([x.translate(ASCII_WORDS) for x in texts], hasher)
+        n, hit = len(hashes), np.zeros(len(hashes), bool)
+        owners: list[set[int]] = [set() for _ in texts]
+        for table, k, kept in self.tables:
+            length = table.length
             grams = gram_hashes(hashes, k)
             at = winnow(grams, length - k + 1)
-            spot = np.searchsorted(known, grams[at])
-            at = at[known[np.minimum(spot, len(known) - 1)] == grams[at]]
             if not len(at):
                 continue
+            spot = np.searchsorted(kept, grams[at])
+            at = at[kept[np.minimum(spot, len(kept) - 1)] == grams[at]]
             starts = np.unique((at[:, None] - np.arange(length - k + 1)).ravel())
-            for s in starts[(starts >= 0) & (starts <= n - length)].tolist():
-                if found := self.places.get(b" ".join(words[s : s + length])):
-                    hit[s : s + length] = True
-                    owners.update(found)
-        return hit, {self.names[x] for x in owners}
+            starts = starts[(starts >= 0) & (starts <= n - length)]
+            text = np.searchsorted(stops, starts, side="right") - 1
+            inside = starts + length <= stops[text + 1]
+            starts, text = starts[inside], text[inside]
+            keys = window_hashes(hashes, starts, length, table.salt)
+            low, high, seen = np.searchsorted(table.keys, keys), np.searchsorted(table.keys, keys, side="right"), set()
+            there = low < high
+            for s, t, a, b in zip(starts[there].tolist(), text[there].tolist(), low[there].tolist(), high[there].tolist(), strict=True):
+                p, places = table.starts[a], slice(s, s + length)
+                if [joined[x:y] for x, y in zip(begin[places], end[places], strict=True)] == self.words[p : p + length]:
+                    hit[places] = True
+                    if (t, a) not in seen:
+                        seen.add((t, a))
+                        owners[t].update(table.owners[a:b].tolist())
+        return [hit[a:b] for a, b in pairwise(stops.tolist())], [{self.names[x] for x in own} for own in owners]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -138,32 +169,35 @@ def digest(names: list[str]) -> str:
 def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items array<string> sorted, items_sha256) of every row."""
     narrow = fields(docs, id_col, text_col)
-    kind, text = narrow.schema[0].dataType.simpleString(), narrow.schema[1].name
-    state = f"doc_id {kind}, `{text}` string, hit binary, items array<string>"
-    out = narrow.select(narrow[0].alias("doc_id"), narrow[1], F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    kind = narrow.schema[0].dataType.simpleString()
+    state = f"doc_id {kind}, text string, n_words long, hit binary, items array<string>"
+    out = narrow.select(narrow[0].alias("doc_id"), narrow[1].alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     for items in blocks(benchmark, item_id_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Windows(items, span))
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            memo = Bounded(_word)
+            hasher = WordHashes()
             for batch in slices(batches):
-                bits, names = [], []
-                for raw, was, had in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words = alnum_words(raw)
-                    hit, owners = shared.value.hits(words, memo)
+                counts, bits, names = [], [], []
+                found = shared.value.hits(as_bytes(batch.column(1)), hasher)
+                for hit, owners, was, had in zip(*found, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     if was is not None:
-                        hit |= np.unpackbits(np.frombuffer(was, np.uint8), count=len(words)).astype(bool)
+                        hit |= np.unpackbits(np.frombuffer(was, np.uint8), count=len(hit)).astype(bool)
+                    counts.append(len(hit))
                     bits.append(np.packbits(hit).tobytes() if hit.any() else None)
                     names.append(sorted(owners.union(had or ())) or None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", text, "hit", "items"])
+                columns = [pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text", "n_words", "hit", "items"])
 
         out = out.mapInArrow(mark, state)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n_words = [len(alnum_words(x)) for x in as_bytes(batch.column(1))]
-            n_hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(2).to_pylist()]
-            names = [x or [] for x in batch.column(3).to_pylist()]
+            n_words = batch.column(2).to_pylist()
+            if None in n_words:  # no block has counted them
+                n_words = [len(alnum_words(x)) for x in as_bytes(batch.column(1))]
+            n_hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(3).to_pylist()]
+            names = [x or [] for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([digest(x) for x in names])],
                 names=["doc_id", "n_words", "n_hit", "items", "items_sha256"],
@@ -179,9 +213,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_by
         shared = docs.sparkSession.sparkContext.broadcast(Windows(items, span))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            memo = Bounded(_word)
+            hasher = WordHashes()
             for batch in slices(batches):
-                clean = [not shared.value.hits(alnum_words(x), memo)[0].any() for x in as_bytes(batch.column(at))]
+                clean = [not x.any() for x in shared.value.hits(as_bytes(batch.column(at)), hasher)[0]]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, slices
+from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, hashed, slices
 
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
@@ -52,9 +52,7 @@ END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 def tokens(texts: list[bytes], hasher: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, an end after each text's; and where each text's tokens begin, with the end of all."""
-    plain = [x.translate(ASCII_SPACED) for x in texts]
-    start, _, found = hasher(b" ".join(plain))
-    stops = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in plain)]))
+    _, _, _, found, stops = hashed([x.translate(ASCII_SPACED) for x in texts], hasher)
     return np.insert(found, stops[1:], END), stops + np.arange(len(stops))
 
 
