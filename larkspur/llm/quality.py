@@ -15,32 +15,47 @@ they occur. No labels: every score is 0.5. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import pairwise
+from string import ascii_lowercase, ascii_uppercase, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, as_bytes, fields, slices
+from .common import WordHashes, as_bytes, fields, hashed, slices
 
 BITS = 18
 SCALE = 24.0
 THRESHOLD = 0.3
-_MASK = np.uint64((1 << BITS) - 1)
-_TAIL = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
-
-
-def _token(word: bytes) -> int:
-    """The token's hash in the high 32 bits, its shape's in the low ones."""
-    tail = _TAIL.search(word)
-    core = word[: tail.start()] if tail else word
-    text = core.decode("utf-8", "replace")
-    case = "0" if text.isnumeric() else "U" if len(text) > 1 and text.isupper() else "l" if text.islower() else "C" if text.istitle() else "x" if text else ""
-    shape = case.encode() + b" " + (tail.group()[:4] if tail else b"")
-    return crc32(word) << 32 | crc32(shape)
+#: Stands for no feature.
+NONE = (1 << BITS) + 1
+_SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_UPPER, _LOWER, _DIGIT, _PUNCTUATION = (np.isin(np.arange(256), list(x.encode())) for x in (ascii_uppercase, ascii_lowercase, digits, punctuation))
+
+
+def shapes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word's shape: the case of its ASCII letters (none, lower, capital, upper, mixed; digits alone), and up to
+    four bytes of the ASCII punctuation that it ends in."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+
+    def many(kind: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kind[data], out=total[1:])
+        return total[end] - total[begin]
+
+    upper, lower, figures = (many(x) for x in (_UPPER, _LOWER, _DIGIT))
+    capital = _UPPER[data[begin]]
+    case = np.select([(upper == 0) & (lower > 0), (upper > 1) & (lower == 0), capital & (upper == 1), (upper > 0) & (lower > 0), figures > 0], [1, 2, 3, 4, 5], 0)
+    tail, on = np.zeros(len(begin), np.uint64), np.ones(len(begin), bool)
+    for k in range(1, 5):
+        byte = data[np.maximum(end - k, 0)]
+        on &= (end - k >= begin) & _PUNCTUATION[byte]
+        tail = tail * np.uint64(257) + np.where(on, byte.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return tail * np.uint64(8) + case.astype(np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,22 +63,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
 
 
-def features(text: bytes, memo: Bounded) -> np.ndarray:
-    """Hashed features of a text, with repeats."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64)
-    both = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-    step = np.uint64(0x100000001B3)
-    pair = word[:-1] * step + word[1:]
-    pair[word[:-1] == word[1:]] = np.uint64(7)
-    return np.concatenate([_mix(word), _mix(pair ^ np.uint64(1 << 62)), _mix(shape + np.uint64(1 << 40)), _mix((shape[:-1] * step + shape[1:]) ^ np.uint64(1 << 61))]).astype(np.int64)
+class Featurizer:
+    """Hashed features of texts."""
+
+    def __init__(self):
+        self.hasher = WordHashes()
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all texts' tokens, a row for each token: itself, its shape, and the pair with the next token and
+        its shape (``NONE`` at a text's last token); and where each text's rows begin, with the count of all."""
+        joined, begin, end, word, stops = hashed([x.translate(_SPACED) for x in texts], self.hasher)
+        kind, step = shapes(joined, begin, end), np.uint64(0x100000001B3)
+        out = np.full((len(word), 4), NONE, np.int64)
+        out[:, 0], out[:, 1] = _mix(word), _mix(kind + np.uint64(1 << 50))
+        if len(word) > 1:
+            pair = word[:-1] * step + word[1:]
+            pair[word[:-1] == word[1:]] = np.uint64(7)
+            out[:-1, 2], out[:-1, 3] = _mix(pair ^ np.uint64(1 << 62)), _mix((kind[:-1] * step + kind[1:]) ^ np.uint64(1 << 61))
+            last = stops[1:][stops[1:] > stops[:-1]] - 1
+            out[last, 2:] = NONE
+        return out, stops
+
+
+def features(found: np.ndarray) -> np.ndarray:
+    """The features of one text's rows, with repeats."""
+    return found[found != NONE]
 
 
-def margin(weights: np.ndarray, found: np.ndarray) -> float:
-    """weights: the bias last."""
-    return float(weights[-1]) + (SCALE * float(weights[found].mean(dtype=np.float64)) if len(found) else 0.0)
+def margins(weights: np.ndarray, found: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The sparse dot product of each text; the last weight is the bias, ``NONE`` weighs nothing."""
+    total = np.concatenate([[0.0], np.cumsum(np.append(weights, np.float32(0))[found].sum(axis=1, dtype=np.float64))])
+    many = np.maximum(4 * np.diff(stops) - 2, 1)
+    return float(weights[-1]) + SCALE * (total[stops[1:]] - total[stops[:-1]]) / many
 
 
 class Ftrl:
@@ -88,11 +119,12 @@ class Ftrl:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, text) to (id, label, features binary: distinct int32 features, then their float32 values)."""
-    memo = Bounded(_token)
+    featurizer = Featurizer()
     for batch in slices(batches):
         rows = []
-        for text in as_bytes(batch.column(2)):
-            found = features(text, memo)
+        every, stops = featurizer(as_bytes(batch.column(2)))
+        for a, b in pairwise(stops.tolist()):
+            found = features(every[a:b])
             at, many = np.unique(found, return_counts=True)
             rows.append(at.astype("<i4").tobytes() + (SCALE * many / max(1, len(found))).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "label", "features"])
@@ -129,9 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int =
     return np.frombuffer(fitted[0][0], "<f4") if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def _scores(weights: np.ndarray, texts: list[bytes], memo: Bounded) -> np.ndarray:
-    margins = np.fromiter((margin(weights, features(x, memo)) for x in texts), np.float64, len(texts))
-    return 1 / (1 + np.exp(-np.clip(margins, -35, 35)))
+def _scores(weights: np.ndarray, texts: list[bytes], featurizer: Featurizer) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margins(weights, *featurizer(texts)), -35, 35)))
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,9 +170,9 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Bounded(_token)
+        featurizer = Featurizer()
         for batch in slices(batches):
-            found = _scores(shared.value, as_bytes(batch.column(1)), memo)
+            found = _scores(shared.value, as_bytes(batch.column(1)), featurizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
     narrow = fields(docs, id_col, text_col)
@@ -154,9 +185,9 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Bounded(_token)
+        featurizer = Featurizer()
         for batch in slices(batches):
-            good = _scores(shared.value, as_bytes(batch.column(at)), memo) >= threshold
+            good = _scores(shared.value, as_bytes(batch.column(at)), featurizer) >= threshold
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

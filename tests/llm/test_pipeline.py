@@ -10,7 +10,6 @@ from test_simhash import slow_components, slow_simhash
 
 import corpus_pipeline as C
 from larkspur.llm import packing, quality, queries
-from larkspur.llm.common import Bounded
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -18,11 +17,15 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables"
 
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    weights, memo = queries.quality_weights(docs, spark.read.parquet(f"{SF}/labels.parquet")), Bounded(quality._token)
+    weights = queries.quality_weights(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
 
     def good(rows):
-        return [r for r in rows if 1 / (1 + np.exp(-quality.margin(weights, quality.features((r.text or "").encode(), memo)))) >= quality.THRESHOLD]
+        def score(text):
+            at = quality.features(quality.Featurizer()([(text or "").encode()])[0])
+            return 1 / (1 + np.exp(-float(weights[-1]) - quality.SCALE * (weights[at].mean(dtype=float) if len(at) else 0)))
+
+        return [r for r in rows if score(r.text) >= quality.THRESHOLD]
 
     def one_of_each(rows):
         root = slow_components([slow_simhash(r.text) for r in rows])

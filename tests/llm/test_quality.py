@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from larkspur.llm import quality as Q
-from larkspur.llm.common import Bounded
 
 
 @pytest.fixture(scope="module")
@@ -35,13 +34,32 @@ def test_held_out_accuracy(labelled):
 
 def test_score_is_the_sparse_dot_product(labelled):
     docs, labels = labelled
-    weights, memo = Q.train(docs, labels, sample=50), Bounded(Q._token)
+    weights = Q.train(docs, labels, sample=50)
     for r in Q.score(docs.limit(20), weights).join(docs, "doc_id").collect():
-        at = Q.features(r.text.encode(), memo)
+        at = Q.features(Q.Featurizer()([r.text.encode()])[0])
+        assert len(at) == 4 * len(r.text.split()) - 2
         total = weights[-1] + Q.SCALE * sum(float(weights[x]) for x in at) / len(at)
         assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
 
 
+def test_features_do_not_depend_on_neighbours(texts):
+    rows = [(x or "").encode() for x in texts] * 2
+    together, stops = Q.Featurizer()(rows)
+    alone = Q.Featurizer()
+    for x, a, b in zip(rows, stops, stops[1:], strict=False):
+        assert (alone([x])[0] == together[a:b]).all()
+
+
+def test_shapes():
+    def shape(word):
+        data = b"x " + word.encode() + b" y"
+        return int(Q.shapes(data, np.array([2]), np.array([len(data) - 2]))[0])
+
+    same = [("ÉCOLE!!", "UP!!"), ("word,", "été,"), ("***", "***"), ("Word", "Thing"), ("12", "7"), ("a", "b"), ("a!!!!!", "abc!!!!"), ("aBc", "dE-F")]
+    assert all(shape(a) == shape(b) for a, b in same)
+    assert len({shape(a) for a, _ in same}) == len(same) and shape("x!") != shape("x?") != shape("x")
+
+
 def test_odd_rows(docs, no_docs, labelled):
     weights = Q.train(*labelled)
     found = Q.score(docs, weights).collect()
