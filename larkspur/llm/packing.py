@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import pairwise
+from string import punctuation
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +43,9 @@ SEPARATOR = 2
 SENTENCE, FORCED, STRETCH = 4, 12, 32
 BUFFER = 1_000_000
 _SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK = np.array([chr(c) in punctuation for c in range(256)])
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_PUNCTUATION = punctuation.encode()
 
 
 class Pool:
@@ -143,9 +146,15 @@ class Encoder:
             self.pool, self.old = Pool(), self.pool
             self.table.clear()
         plain = [x if b"<|" in x else x.translate(ASCII_SPACED) for x in texts]  # special tokens keep their case
+        first = np.cumsum([0, *(len(x) + 1 for x in plain)])
         text = b" ".join(plain)
-        if any(b"<|" in x for x in plain):
+        if b"<|" in text:
             text = text.translate(_SPACED)
+        else:  # between an ASCII letter or digit and a mark the tokenizer parts too
+            data = np.frombuffer(text, np.uint8)
+            marks = np.flatnonzero(_MARK[data[1:]] & _ALNUM[data[:-1]]) + 1
+            text = np.insert(data, marks, 32).tobytes()
+            first = first + np.searchsorted(marks, first)
         start, stop, hashes = self.hashes(text)
         number = self.table.find(hashes)
         if len(absent := np.flatnonzero(number < 0)):
@@ -155,7 +164,6 @@ class Encoder:
             self.table.add(new, np.fromiter(map(self.pool.numbers.__getitem__, words), np.int64, len(words)))
             number[absent] = self.table.find(hashes[absent])
         ids, many = self.pool.gather(number)
-        first = np.cumsum([0, *(len(x) + 1 for x in plain)])
         stops = np.r_[0, np.cumsum(many)][np.searchsorted(start, first)].tolist()
         tail = np.zeros(0, np.uint32) if last is None else np.array([last], np.uint32)
         return [np.concatenate([ids[a:b], tail]) for a, b in pairwise(stops)]
@@ -289,7 +297,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
         packer.pack(final=True)
         yield done()
 
-    pieces = cut(narrow.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, split long"))
-    made = pieces.groupBy("split").agg((F.max("local") + 1).alias("made"))  # a row for each task
-    before = made.select("split", (F.sum("made").over(Window.orderBy("split")) - F.col("made")).alias("before"))
+    made = narrow.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, split long")
+    pieces = cut(made)
+    counts = pieces.groupBy("split").agg((F.max("local") + 1).alias("made"))  # a row for each task
+    before = counts.select("split", (F.sum("made").over(Window.orderBy("split")) - F.col("made")).alias("before"))
     return pieces.join(before, "split").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local")).alias("sequence_id"), "offset")
