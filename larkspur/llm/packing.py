@@ -298,7 +298,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
         yield done()
 
     made = narrow.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, split long")
-    pieces = cut(made)
+    # the pieces are narrow: those of several splits go into one file of the cut
+    pieces = cut(made.repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)))
     counts = pieces.groupBy("split").agg((F.max("local") + 1).alias("made"))  # a row for each task
     before = counts.select("split", (F.sum("made").over(Window.orderBy("split")) - F.col("made")).alias("before"))
     return pieces.join(before, "split").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local")).alias("sequence_id"), "offset")

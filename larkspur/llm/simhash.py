@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fields, slices, space_words
+from .common import as_bytes, cut, fields, gathered, slices, space_words
 
 RADIUS = 3
 CROWDED = 8192
@@ -185,8 +185,9 @@ def near_links(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED)
     return todo.mapInArrow(_forest_links(radius, 100_000), "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links, by alternating large-star and small-star rounds.
+def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of the links, by alternating large-star and small-star rounds. nodes: at least as many
+    as there are, to size the partitions.
 
     Stars are made by a minimum per node (combined before the shuffle) joined back to the links, so that a node with
     very many neighbours is never collected in one place; adaptive execution splits such keys in the join.
@@ -199,7 +200,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return seen.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
 
-    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = cut(gathered(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), nodes))
     state = None
     for _ in range(most_rounds):
         # equal count and sums mean equal links here: a round never raises a parent
@@ -207,15 +208,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if was == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = cut(star(star(both, large=True), large=False))
+        now = cut(gathered(star(star(both, large=True), large=False), nodes))
     raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of ``docs``."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(near_links(classes, radius, crowded))
+    rows = marked.count()
+    classes = cut(gathered(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), rows))
+    joined = components(near_links(classes, radius, crowded), rows)
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
