@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ class WordHashes:
     inverse power of its place. Both are mixed into one.
     """
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 17):
         self.most = most
         self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
         self.grow(most)
@@ -129,6 +130,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, at most; it is held on both sides, by each task.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of Arrow batches to BATCH_BYTES, so that long texts don't fill the memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgtp]?)b?", spark.conf.get(key).lower()).groups()
+    limit = int(number) << 10 * "bkmgtp".index(unit or "b")
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what is made of one stays small."""
     for batch in batches:
@@ -171,6 +185,13 @@ def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     return df.coalesce(8 + rows // each)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows of many input splits, dealt evenly to a quarter of the shuffle partitions: a cut of them then writes
+    fewer and larger files."""
+    return df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no other column of the table can clash with what an operator adds."""
+    bounded_batches(df.sparkSession)
     return df.select(*[df[x] for x in names])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS, WordHashes, alnum_words, as_bytes, fields, hashed, slices
+from .common import ASCII_WORDS, WordHashes, alnum_words, as_bytes, bounded_batches, fields, hashed, slices
 
 SPAN = 10
 GRAM = 5
@@ -177,7 +177,7 @@ def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes
 
         def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher = WordHashes()
-            for batch in slices(batches):
+            for batch in slices(batches, 256):
                 counts, bits, names = [], [], []
                 found = shared.value.hits(as_bytes(batch.column(1)), hasher)
                 for hit, owners, was, had in zip(*found, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -192,7 +192,7 @@ def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes
         out = out.mapInArrow(mark, state)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             n_words = batch.column(2).to_pylist()
             if None in n_words:  # no block has counted them
                 n_words = [len(alnum_words(x)) for x in as_bytes(batch.column(1))]
@@ -208,13 +208,14 @@ def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = 8_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for items in blocks(benchmark, item_id_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Windows(items, span))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher = WordHashes()
-            for batch in slices(batches):
+            for batch in slices(batches, 256):
                 clean = [not x.any() for x in shared.value.hits(as_bytes(batch.column(at)), hasher)[0]]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

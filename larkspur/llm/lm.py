@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, hashed, slices
+from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, bounded_batches, cut, fields, hashed, slices
 
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
@@ -129,7 +129,7 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterat
         found, many = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], names=["token", "c"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, 256):
         found = tokens(as_bytes(batch.column(0)), hasher)[0]
         held.append(found)
         size += len(found)
@@ -197,6 +197,7 @@ class Model:
 def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Model:
     """Learns from all rows of ``training``."""
     spark = training.sparkSession
+    bounded_batches(spark)
     counts = cut(word_counts(training, text_col))
     kind = F.shiftrightunsigned("token", 64 - CLASS_BITS).cast("int")
     per_class = np.zeros((2, CLASSES), np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, fields, hashed, slices
+from .common import WordHashes, as_bytes, bounded_batches, fields, hashed, slices
 
 BITS = 18
 SCALE = 24.0
@@ -74,7 +74,7 @@ class Featurizer:
         its shape (``NONE`` at a text's last token); and where each text's rows begin, with the count of all."""
         joined, begin, end, word, stops = hashed([x.translate(_SPACED) for x in texts], self.hasher)
         kind, step = shapes(joined, begin, end), np.uint64(0x100000001B3)
-        out = np.full((len(word), 4), NONE, np.int64)
+        out = np.full((len(word), 4), NONE, np.int32)
         out[:, 0], out[:, 1] = _mix(word), _mix(kind + np.uint64(1 << 50))
         if len(word) > 1:
             pair = word[:-1] * step + word[1:]
@@ -120,7 +120,7 @@ class Ftrl:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, text) to (id, label, features binary: distinct int32 features, then their float32 values)."""
     featurizer = Featurizer()
-    for batch in slices(batches):
+    for batch in slices(batches, 256):
         rows = []
         every, stops = featurizer(as_bytes(batch.column(2)))
         for a, b in pairwise(stops.tolist()):
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int =
     sample: at most so many labelled documents are read, those with the smallest hashes of their id.
     where: a condition on ``id`` that says which labels may be learnt.
     """
+    bounded_batches(docs.sparkSession)
     ids = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null")
     if where is not None:
         ids = ids.where(where)
@@ -171,7 +172,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             found = _scores(shared.value, as_bytes(batch.column(1)), featurizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
@@ -181,12 +182,13 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             good = _scores(shared.value, as_bytes(batch.column(at)), featurizer) >= threshold
             yield batch.filter(pa.array(good))
 

@@ -25,7 +25,7 @@ def corpus(spark):
 def test_hashes_know_words():
     rng = random.Random(0)
     words = list({bytes(rng.choice(b"ab\x00\xc3\xa9.") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
-    for most in (1 << 19, 11):
+    for most in (1 << 17, 11):
         found = WordHashes(most)(b"  " + b" ".join(words) + b" ")
         assert len(set(found[2].tolist())) == len(words)
         table = Numbered()
@@ -104,3 +104,14 @@ def test_nothing(docs, no_docs):
     model = L.train(no_docs)
     assert {(r.base_score, r.train_tokens) for r in L.score(docs, model).collect()} == {(0.0, 0)}
     assert L.score(no_docs, model).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    from larkspur.llm.common import BATCH_BYTES, bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for value, want in (("64m", f"{BATCH_BYTES}b"), ("67108864b", f"{BATCH_BYTES}b"), ("8m", "8m"), ("1000", "1000")):
+        spark.conf.set(key, value)
+        bounded_batches(spark)
+        assert spark.conf.get(key) == want
+    spark.conf.unset(key)
