@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, fields, slices
+from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, dealt, fields, slices
 
 WINDOW = 4096
 SEPARATOR = 2
@@ -276,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
     little-endian unsigned 32-bit ids), doc_tokens, sequence_id (from 0, without gaps), offset (in the sequence)."""
     narrow = fields(docs, id_col, text_col)
     kind = narrow.schema[0].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    arrow = to_arrow_type(kind)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset", "split"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +299,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
         yield done()
 
     made = narrow.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, split long")
-    # the pieces are narrow: those of several splits go into one file of the cut
-    pieces = cut(made.repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)))
+    pieces = cut(dealt(made))
     counts = pieces.groupBy("split").agg((F.max("local") + 1).alias("made"))  # a row for each task
     before = counts.select("split", (F.sum("made").over(Window.orderBy("split")) - F.col("made")).alias("before"))
     return pieces.join(before, "split").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local")).alias("sequence_id"), "offset")

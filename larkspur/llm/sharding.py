@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt
 
 ROUNDS = 6
 KEY = 20_240_229
@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, number, shard int, slot) of every row."""
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
-    narrow = cut(docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    narrow = cut(dealt(docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

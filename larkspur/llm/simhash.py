@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fields, gathered, slices, space_words
+from .common import as_bytes, cut, dealt, fields, gathered, slices, space_words
 
 RADIUS = 3
 CROWDED = 8192
@@ -214,13 +214,13 @@ def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of ``docs``."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    marked = cut(dealt(fingerprints(docs, id_col, text_col, shingle)))
     rows = marked.count()
     classes = cut(gathered(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), rows))
     joined = components(near_links(classes, radius, crowded), rows)
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return gathered(marked.join(named, "fp").select("doc_id", "fp", "component_id"), rows)
 
 
 def fingerprint_text(fp) -> F.Column:
