@@ -34,6 +34,7 @@ from .common import as_bytes, cut, dealt, fields, gathered, slices, space_words
 
 RADIUS = 3
 CROWDED = 8192
+BROADCAST_IDS = 500_000
 #: Splits of the fingerprint by level: four blocks of so many bits, taken from the bits that no level above has fixed.
 LEVELS = (16, 12, 9, 6)
 
@@ -228,12 +229,28 @@ def fingerprint_text(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays.
 
     Rows that share an id are one document, of which one row stays. Rows without an id cannot be named as a component's
     smallest: they stay, one for each distinct text.
+
+    What goes is told by two narrow sets of ids: those of no component's smallest document, and those that stay but occur
+    more than once. Up to ``broadcast_ids`` ids they are broadcast and no text is shuffled but that of repeated ids; beyond,
+    they are joined by a shuffle.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
-    kept = docs.join(found, docs[id_col] == found["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()).dropDuplicates([text_col]))
+    found = near_duplicates(docs, id_col, text_col, **options)
+    per_id = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("_stays"), F.count("*").alias("_n"))
+    told = cut(per_id.where("_id is null or not _stays or _n > 1"))
+    few = told.limit(broadcast_ids + 1).count() <= broadcast_ids
+    gone, again = (told.where(f"_id is not null and {x}").select("_id") for x in ("not _stays", "_stays"))
+    if few:
+        gone, again = F.broadcast(gone), F.broadcast(again)
+    named = docs.where(docs[id_col].isNotNull()).join(gone, docs[id_col] == gone["_id"], "left_anti")
+    out = named
+    if not again.isEmpty():
+        once = named.join(again, named[id_col] == again["_id"], "left_anti")
+        out = once.unionByName(named.join(again, named[id_col] == again["_id"], "left_semi").dropDuplicates([id_col]))
+    if not told.where("_id is null").isEmpty():
+        out = out.unionByName(docs.where(docs[id_col].isNull()).dropDuplicates([text_col]))
+    return out

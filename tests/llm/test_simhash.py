@@ -74,7 +74,7 @@ def test_components_like_brute_force(spark, crowded):
     want = slow_components(points)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in set(points)], "fp long")
     got = {p: p for p in want}
-    for r in S.components(S.near_links(df, crowded=crowded)).collect():
+    for r in S.components(S.near_links(df, crowded=crowded), len(want)).collect():
         got[r.node % 2**64] = r.root % 2**64
     groups = lambda m: {frozenset(p for p in m if m[p] == r) for r in m.values()}
     assert groups(got) == groups(want)
@@ -86,7 +86,7 @@ def test_long_chain_is_one_component(spark):
         p ^= 1 << k
         chain.append((int(np.uint64(p).view(np.int64)),))
     links = S.near_links(spark.createDataFrame(chain, "fp long"), radius=1)
-    assert len({r.root for r in S.components(links).collect()}) == 1
+    assert len({r.root for r in S.components(links, 64).collect()}) == 1
 
 
 def test_query_like_brute_force(docs, no_docs):
@@ -101,10 +101,20 @@ def test_query_like_brute_force(docs, no_docs):
     assert S.near_duplicates(no_docs).count() == 0
 
 
-def test_keep_one(docs, no_docs):
-    kept = S.keep_one(docs)
+@pytest.mark.parametrize("broadcast_ids", [500_000, 0])
+def test_keep_one(docs, no_docs, broadcast_ids):
+    kept = S.keep_one(docs, broadcast_ids=broadcast_ids)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     want = {r.component_id for r in S.near_duplicates(docs).collect()} - {None}
     assert sorted(ids) == sorted(want)
+    assert sum(r.doc_id is None for r in kept.collect()) == docs.where("doc_id is null").select("text").distinct().count()
     assert S.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_without_repeats_shuffles_no_text(spark):
+    rows = [(k, f"some words of text number {k} and {k * 7} then more") for k in range(50)] + [(100 + k, f"some words of text number {k} and {k * 7} then more") for k in range(20)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(50))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
