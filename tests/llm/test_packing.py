@@ -110,4 +110,4 @@ def test_nothing_to_pack(no_docs):
 def test_ids_of_any_type(spark):
     rows = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
     for df in (rows, rows.selectExpr("cast(length(doc_id) as decimal(9,0)) as doc_id", "text"), rows.selectExpr("cast(doc_id as binary) as doc_id", "text")):
-        assert sorted(r.doc_tokens for r in P.pack(df).collect()) == [1, 3]
+        assert {r.doc_tokens for r in P.pack(df).collect()} == {1, 3}  # a document may lie in several pieces
