@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -118,3 +119,49 @@ def test_keep_one_without_repeats_shuffles_no_text(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(50))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_candidates_of_a_shard_in_many_batches():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 256, (40, 32), np.uint8)
+    points[20:] = points[:20]
+    keys = pa.array(range(40))
+    whole = pa.RecordBatch.from_arrays([pa.array([7] * 40), keys, pa.array([x.tobytes() for x in points]), keys], names=["shard", "key", "fp", "root"])
+    for batches in ([whole], [whole.slice(k, 1) for k in range(40)]):
+        got = {(a, b) for x in S._candidates(False)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+        assert got == {(k, k + 20) for k in range(20)}
+
+
+def slow_copies(texts, similarity=0.8):
+    def shingles(text):
+        words = [x for x in __import__("re").split("[\x20\x09-\x0d]+", (text or "").lower()) if x]
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets, root = [shingles(x) for x in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_near_copies_like_brute_force(spark):
+    """Copies with changed words, which the fingerprints of three bits' radius leave, go; texts below the similarity stay."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [None, "", " \n", "one two", "One  two", "one three"]
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for changes in (0, 0, *(max(1, int(len(base) * x)) for x in (0.005, 0.01, 0.04, 0.1))):
+            other = list(base)
+            for at in rng.sample(range(len(base)), changes):
+                other[at] = word()
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    root, least = slow_copies(texts), {}
+    for k, r in enumerate(root):
+        least.setdefault(r, k)
+    assert sorted((r.doc_id, r.component_id) for r in S.near_copies(docs).collect()) == [(k, least[r]) for k, r in enumerate(root)]
+    kept = {r.doc_id for r in S.keep_one(docs, find=S.near_copies).collect()}
+    assert kept == set(least.values())
+    assert kept < {r.doc_id for r in S.keep_one(docs).collect()}
