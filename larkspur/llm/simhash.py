@@ -367,25 +367,31 @@ def fingerprint_text(fp) -> F.Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, find=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component that ``find`` tells the document with the smallest id stays.
 
-    Rows that share an id are one document, of which one row stays. Rows without an id cannot be named as a component's
+    Rows that share an id and a text are one document, of which one row stays; rows that share an id only are several. Of a component in
+    which several texts have the smallest id, the one with the smallest hash stays. Rows without an id cannot be named as a component's
     smallest: they stay, one for each distinct text.
 
-    What goes is told by two narrow sets of ids: those of no component's smallest document, and those that stay but occur
-    more than once. Up to ``broadcast_ids`` ids they are broadcast and no text is shuffled but that of repeated ids; beyond,
+    What goes is told by two narrow sets of ids and text hashes: those of no component's smallest document, and those that stay but occur
+    more than once. Up to ``broadcast_ids`` of them are broadcast and no text is shuffled but that of repeated rows; beyond,
     they are joined by a shuffle.
     """
-    found = find(docs, id_col, text_col, **options)
-    per_id = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("_stays"), F.count("*").alias("_n"))
-    told = cut(per_id.where("_id is null or not _stays or _n > 1"))
+    own, key = docs[id_col], F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    found = find(docs.select(F.when(own.isNotNull(), F.struct(own.alias("id"), key.alias("key"))).alias("_row"), docs[text_col].alias("_text")), "_row", "_text", **options)
+    per_row = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("_stays"), F.count("*").alias("_n"))
+    told = cut(per_row.where("_id is null or not _stays or _n > 1"))
     few = told.limit(broadcast_ids + 1).count() <= broadcast_ids
-    gone, again = (told.where(f"_id is not null and {x}").select("_id") for x in ("not _stays", "_stays"))
+    gone, again = (told.where(f"_id is not null and {x}").select("_id", "_key") for x in ("not _stays", "_stays"))
     if few:
         gone, again = F.broadcast(gone), F.broadcast(again)
-    named = docs.where(docs[id_col].isNotNull()).join(gone, docs[id_col] == gone["_id"], "left_anti")
+
+    def among(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        return rows.join(named, (own == named["_id"]) & (key == named["_key"]), how)
+
+    named = among(docs.where(own.isNotNull()), gone, "left_anti")
     out = named
     if not again.isEmpty():
-        once = named.join(again, named[id_col] == again["_id"], "left_anti")
-        out = once.unionByName(named.join(again, named[id_col] == again["_id"], "left_semi").dropDuplicates([id_col]))
+        once = among(named, again, "left_anti")
+        out = once.unionByName(among(named, again, "left_semi").withColumn("_keep_one_key", key).dropDuplicates([id_col, "_keep_one_key"]).drop("_keep_one_key"))
     if not told.where("_id is null").isEmpty():
-        out = out.unionByName(docs.where(docs[id_col].isNull()).dropDuplicates([text_col]))
+        out = out.unionByName(docs.where(own.isNull()).dropDuplicates([text_col]))
     return out

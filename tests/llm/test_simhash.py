@@ -165,3 +165,12 @@ def test_near_copies_like_brute_force(spark):
     kept = {r.doc_id for r in S.keep_one(docs, find=S.near_copies).collect()}
     assert kept == set(least.values())
     assert kept < {r.doc_id for r in S.keep_one(docs).collect()}
+
+
+@pytest.mark.parametrize("broadcast_ids", [500_000, 0])
+def test_keep_one_where_texts_share_an_id(spark, broadcast_ids):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(3))
+    docs = spark.createDataFrame([(5, a), (5, b), (7, a), (8, c), (8, c), (9, b + " "), (9, c)], "doc_id long, text string")
+    kept = S.keep_one(docs, broadcast_ids=broadcast_ids)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (8, c)])
