@@ -12,8 +12,8 @@ the hash of all their words, kept at every position.
 The benchmark is a stated query set. It goes to the executors in blocks of bounded size (``block_bytes`` of text): each block is
 one broadcast and one pass that adds its hits to a bitmap of the document's words, so a benchmark of any size works.
 
-Nulls and empty texts have no words and no hits. Benchmark rows with a null id or text, or without words, are no items; rows with equal
-ids are one item. Repeated documents come back as often as they occur; an empty table or benchmark gives no
+Nulls and empty texts have no words and no hits. Benchmark rows with a null text, or without words, are no items; rows with equal
+ids are one item. Rows with a null id are no items to ``analyse``, as its SQL has it; ``keep_clean`` looks for their passages too. Repeated documents come back as often as they occur; an empty table or benchmark gives no
 hits. Other columns are ignored (``analyse``) or passed on (``keep_clean``).
 """
 
@@ -148,10 +148,10 @@ class Windows:
         return [hit[a:b] for a, b in pairwise(stops.tolist())], [{self.names[x] for x in own} for own in owners]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items as (id, text), in lists of at most about ``block_bytes`` of text."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, unnamed: bool = False) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items as (id, text), in lists of at most about ``block_bytes`` of text; with ``unnamed`` also those without an id."""
     items, size = [], 0
-    rows = benchmark.select(benchmark[id_col].cast("string"), benchmark[text_col]).dropna()
+    rows = benchmark.select(benchmark[id_col].cast("string").alias("name"), benchmark[text_col].alias("text")).dropna(subset=["text"] if unnamed else ["name", "text"])
     for name, text in rows.toLocalIterator():
         items.append((name, text.encode()))
         size += len(items[-1][1])
@@ -207,10 +207,10 @@ def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = 8_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, with all their columns."""
+    """The rows of ``docs`` without any hit, with all their columns. Passages of items without an id count too."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes):
+    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes, unnamed=True):
         shared = docs.sparkSession.sparkContext.broadcast(Windows(items, span))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,10 @@ def test_clashing_hashes_do_not_hurt(monkeypatch):
     monkeypatch.setattr(D, "window_hashes", lambda w, at, n, salt, real=D.window_hashes: (calls.append(salt), real(w, at, n, salt) if salt < 3 else np.fromiter((hash((salt, i)) % 2**63 for i in range(len(at))), np.uint64, len(at)))[1])
     D.Windows([("1", b"a b c d"), ("2", b"e b c d")], span=4)
     assert max(calls) == 3
+
+
+def test_keep_clean_looks_for_items_without_id(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (2, "something else altogether")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (None, None), (3, None)], "item_id long, text string")
+    assert [r.doc_id for r in D.keep_clean(docs, benchmark).collect()] == [2]
