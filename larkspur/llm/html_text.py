@@ -8,8 +8,9 @@ or by a word of class, id or role) are set aside. For the rest, text length and
 
 Both series, in the order in which the paths first occur, are smoothed with a Gaussian and fused by their geometric mean; paths over
 the threshold (the mean less a share of the standard deviation, in logarithms) are content paths. The content nodes' blocks vote, by length, for the
-container that holds the article: an article or main element if the best content node lies in one, else the deepest element that
-holds nearly all content. All its blocks, short ones too, are the text.
+container that holds the article: an article or main element if the best content node lies in one; all its blocks, short ones too, are the text.
+Else it is the deepest element that holds nearly all content, which may be only one long part of the article: its blocks
+and all outside it are the text, but for lists of links beside it.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by a line feed.
 
@@ -57,11 +58,12 @@ SMOOTH = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
 class Node:
     """An element. Elements with equal tags from the root on share the number ``path``."""
 
-    __slots__ = ("tag", "path", "parent", "depth", "aside", "number")
+    __slots__ = ("tag", "path", "parent", "depth", "aside", "number", "linked")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool, number: int, path: int = 0):
         self.tag, self.parent, self.aside, self.number, self.path = tag, parent, aside, number, path
         self.depth = parent.depth + 1 if parent else 0
+        self.linked = 0  # characters of its blocks that stand in links
 
 
 def _is_aside(tag: str, attributes: str, parent: Node) -> bool:
@@ -87,15 +89,16 @@ def blocks(html: str) -> list[tuple[str, Node]]:
     root = Node("#", None, False, 0)
     out: list[tuple[str, Node]] = []
     paths: dict[tuple[int, str], int] = {}
-    at, now, made, pieces = 0, root, 0, []
+    at, now, made, pieces, link, linked = 0, root, 0, [], False, 0
 
     def close() -> None:
-        nonlocal pieces
+        nonlocal pieces, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text and not now.aside:
                 out.append((text, now))
-            pieces = []
+                now.linked += linked
+            pieces, linked = [], 0
 
     def up_to(names, bounds=()) -> Node | None:
         node = now
@@ -113,6 +116,7 @@ def blocks(html: str) -> list[tuple[str, Node]]:
             break
         if found.start() > at:
             pieces.append(unescape(html[at : found.start()]))
+            linked += len(pieces[-1].strip()) if link else 0
         at = found.end()
         closing, tag = found.group(1), found.group(2)
         if tag is None:
@@ -120,11 +124,13 @@ def blocks(html: str) -> list[tuple[str, Node]]:
         tag = tag.lower()
         if closing:
             if tag in INLINE:
+                link = link and tag != "a"
                 continue
             if tag == "br":
                 pieces.append(" ")
                 continue
             close()
+            link = False
             if node := up_to({tag}):
                 now = node.parent
             continue
@@ -139,10 +145,12 @@ def blocks(html: str) -> list[tuple[str, Node]]:
             pieces.append(" ")
             continue
         if tag in INLINE:
+            link = link or tag == "a"
             if _is_aside(tag, found.group(3), now):  # a hidden or advertising span: its text goes
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 if end and "<" + tag not in html[at : end.start()].lower():
                     at = end.end()
+                    link = link and tag != "a"
             continue
         if tag in VOID:
             if tag == "hr":
@@ -210,11 +218,31 @@ def main_text(html: str, cover: float = 0.9) -> str:
         container = max(named, key=lambda x: (x.tag == "article", weight[x.number], -x.number))
     else:
         container = max((x for k, x in nodes.items() if weight[k] >= cover * total), key=lambda x: (x.depth, -x.number))
-        if container.tag in ("p", *NO_REPEAT) and container.parent:
-            container = container.parent  # one long paragraph: its heading stands beside it
+        return "\n".join(text for text, _ in _beside(found, container))
     return "\n".join(text for text, node in found if any(x is container for x in _ancestors(node)))
 
 
+def _beside(found: list[tuple[str, Node]], container: Node) -> list[tuple[str, Node]]:
+    """The container's blocks and those outside it, but for lists of links: what hangs beside the container or one of the elements around
+    it and has two blocks or more, nearly all of whose text stands in links."""
+    around = {x.number for x in _ancestors(container)}
+    branch: list[int] = []  # of each block: the topmost element that does not hold the container
+    sizes: dict[int, list[int]] = {}
+    for text, node in found:
+        chain = _ancestors(node)
+        inside = any(x is container for x in chain)
+        branch.append(-1 if inside or node.number in around else [x for x in chain if x.number not in around][-1].number)
+        size = sizes.setdefault(branch[-1], [0, 0, 0])
+        size[0] += 1
+        size[1] += len(text)
+    for node in {x.number: x for _, x in found}.values():
+        top = [x.number for x in _ancestors(node) if x.number not in around]
+        if top and top[-1] in sizes:
+            sizes[top[-1]][2] += node.linked
+    links = {k for k, (n, size, linked) in sizes.items() if k >= 0 and n > 1 and linked >= 0.8 * size}
+    return [x for x, k in zip(found, branch, strict=True) if k not in links]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     bounded_batches(pages.sparkSession)

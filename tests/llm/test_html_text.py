@@ -47,3 +47,21 @@ def test_extract(spark):
     one = (1, "u", BODY + "é", len(BODY) + 1)
     assert found == sorted([one, one, (2, None, "", 0), (None, "x", "", 0)], key=repr)
     assert H.extract(pages.where("false")).count() == 0
+
+
+LONG = " ".join([BODY] * 30)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<div><h1>T</h1><section>intro</section><section>{LONG}</section></div>", f"T\nintro\n{LONG}"),
+        (f"<body><h1>Title</h1><div class=text><p>{LONG}</p><p>x</p></div></body>", f"Title\n{LONG}\nx"),
+        *((f"<div><p>Before, so.</p><{x}>{LONG}</{x}><p>After.</p></div>", f"Before, so.\n{LONG}\nAfter.") for x in ("blockquote", "pre", "section")),
+        (f"<div><h2>T</h2><ul><li>one</li><li>{LONG}</li></ul><table><tr><td>a<td>b</table></div>", f"T\none\n{LONG}\na\nb"),
+        (f"<table><tr><td>a</td><td>{LONG}</td></tr></table>", f"a\n{LONG}"),
+        (f'<body><ul><li><a href="/a">Home</a><li><a href="/b">About us</a></ul><h1>T</h1><div><p>{LONG}</p></div><p>See <a href="/c">this</a>.</p></body>', f"T\n{LONG}\nSee this."),
+    ],
+)
+def test_one_long_part_is_not_the_whole_article(html, text):
+    assert H.main_text(html) == text
