@@ -2,7 +2,8 @@
 
 A tolerant reader turns a page into blocks of text, each with its tag path: the elements from the root to the block. Blocks inside
 elements that never hold an article's text (menus, forms, scripts, side bars, notices, adverts, reader comments and the like, by tag
-or by a word of class, id or role) are set aside. For the rest, text length and punctuation are summed up per tag path:
+or by a word of class, id or role) are set aside. A word that is but part of a name (``legal-aspects``) sets none aside that holds a content path's block,
+nor an article element; no name sets aside what holds nearly all the text. For the rest, text length and punctuation are summed up per tag path:
 
     ratio(path) = characters / blocks,  punctuation ratio(path) = punctuation marks / blocks
 
@@ -42,6 +43,11 @@ WORDS = re.compile(
 )
 #: Names such as ``has-sidebar`` tell what an element stands beside.
 _BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without)[_-][\w-]+")
+#: Parts that leave a listed word what it is: ``site-footer`` is a footer, ``legal-aspects`` may be a chapter.
+_PARTS = frozenset(
+    "site page main top bottom left right global primary secondary post posts entry article articles story stories news list box block wrapper wrap container area section item items link links bar inner outer content "
+    "button buttons icon icons media text message form js slot unit side in up out back policy title row col column sm md lg xs".split()
+)
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: A start tag of one of these ends an open paragraph.
@@ -58,34 +64,67 @@ SMOOTH = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
 class Node:
     """An element. Elements with equal tags from the root on share the number ``path``."""
 
-    __slots__ = ("tag", "path", "parent", "depth", "aside", "number", "linked")
+    __slots__ = ("tag", "path", "parent", "depth", "aside", "number", "linked", "named")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool, number: int, path: int = 0):
         self.tag, self.parent, self.aside, self.number, self.path = tag, parent, aside, number, path
         self.depth = parent.depth + 1 if parent else 0
+        self.named = ""  # "sure" or "doubtful" if the element's class or id has a listed word
         self.linked = 0  # characters of its blocks that stand in links
 
 
-def _is_aside(tag: str, attributes: str, parent: Node) -> bool:
-    if parent.aside:
-        return True
-    if tag in ASIDE:
-        return True
-    if not attributes:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+def _by_name(tag: str, value: str) -> str:
+    """Whether a class or id tells that an element holds no article's text: "sure" if one of its names is a listed word, alone or among words
+    that leave it what it is; "doubtful" if a listed word is but a part of a name."""
+    value = _BESIDE.sub(" ", value)
+    if tag in ("body", "html", "main") or not WORDS.search(value):
+        return ""
+    for name in value.split():
+        if WORDS.search(name) and all(WORDS.search(x) or x in _PARTS or not x.isalpha() for x in re.split("[_-]+", name)):
+            return "sure"
+    return "doubtful"
+
+
+def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
+    """Whether an element is set aside, and what its names tell."""
+    if parent.aside or tag in ASIDE:
+        return True, ""
+    named = ""
+    for name, a, b, c in _ATTRIBUTE.findall(attributes or ""):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("body", "html", "main") and WORDS.search(_BESIDE.sub(" ", value)):
-            return True
+        if name in ("class", "id") and named != "sure":
+            named = _by_name(tag, value) or named
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def blocks(html: str) -> list[tuple[str, Node]]:
-    """The page's blocks of text that no aside holds, each with its element."""
+            return True, ""
+    return False, "" if tag == "article" and named == "doubtful" else named
+
+
+def blocks(html: str, cover: float = 0.9) -> list[tuple[str, Node]]:
+    """The page's blocks of text that no aside holds, each with its element.
+
+    A name sets no element aside that holds nearly all of the text; a doubtful one none that holds a block of a content path.
+    """
+    found = _all_blocks(html)
+    named = [[x for x in _ancestors(node) if x.named] for _, node in found]
+    if not any(named):
+        return found
+    total, inside = sum(len(text) for text, _ in found), dict[int, int]()
+    for (text, _), own in zip(found, named, strict=True):
+        for x in own:
+            inside[x.number] = inside.get(x.number, 0) + len(text)
+    kept = {k for k, n in inside.items() if n >= cover * total}
+    stays = [all(x.named == "doubtful" or x.number in kept for x in own) for own in named]
+    doubtful = [(x, own) for x, own, stay in zip(found, named, stays, strict=True) if stay]
+    if any(own for _, own in doubtful):
+        paths = content_paths([x for x, _ in doubtful])
+        kept.update(x.number for (_, node), own in doubtful if node.path in paths and node.tag not in NO_REPEAT for x in own)
+    return [x for x, own in zip(found, named, strict=True) if all(y.number in kept for y in own)]
+
+
+def _all_blocks(html: str) -> list[tuple[str, Node]]:
+    """The page's blocks but for those that a tag, a role or hiding sets aside; elements know what their names tell."""
     root = Node("#", None, False, 0)
     out: list[tuple[str, Node]] = []
     paths: dict[tuple[int, str], int] = {}
@@ -146,7 +185,8 @@ def blocks(html: str) -> list[tuple[str, Node]]:
             continue
         if tag in INLINE:
             link = link or tag == "a"
-            if _is_aside(tag, found.group(3), now):  # a hidden or advertising span: its text goes
+            hides, named = _is_aside(tag, found.group(3), now)
+            if hides or named == "sure":  # a hidden or advertising span: its text goes
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 if end and "<" + tag not in html[at : end.start()].lower():
                     at = end.end()
@@ -166,7 +206,9 @@ def blocks(html: str) -> list[tuple[str, Node]]:
         made += 1
         above = now if now.depth < DEEPEST else now.parent
         path = paths.setdefault((above.path, tag), len(paths) + 1)
-        now = Node(tag, above, _is_aside(tag, found.group(3).rstrip("/"), now), made, path)
+        hides, named = _is_aside(tag, found.group(3).rstrip("/"), now)
+        now = Node(tag, above, hides, made, path)
+        now.named = named
     close()
     return out
 

@@ -65,3 +65,17 @@ LONG = " ".join([BODY] * 30)
 )
 def test_one_long_part_is_not_the_whole_article(html, text):
     assert H.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        *((page(f"<article class='{x}'><p>{BODY}</p></article>"), BODY) for x in ("post tag-social", "category-legal", "hentry related_science")),
+        *((page(f"<article><p>{BODY}</p><section id='{x}'><h2>H</h2><p>{BODY}</p></section></article>"), f"{BODY}\nH\n{BODY}") for x in ("legal-aspects", "related-work", "the-notice-of-1911")),
+        *((page(f"<div><p>{BODY}</p><p>{BODY}</p></div><div class='{x}'><p>{BODY}</p></div>"), f"{BODY}\n{BODY}") for x in ("site-footer", "related-posts", "ad-300", "x comments", "cookie-notice")),
+        (page(f"<div class='widget'><p>{BODY}</p></div>"), BODY),
+        (page(f"<article><p>{BODY}</p><p>{BODY}</p><div class='tag-social'>Like</div></article>"), f"{BODY}\n{BODY}"),
+    ],
+)
+def test_names_that_only_hold_a_listed_word(html, text):
+    assert H.main_text(html) == text
