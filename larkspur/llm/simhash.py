@@ -253,45 +253,95 @@ def wide_simhash(grams: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(grams), bitorder="little")
 
 
-def _candidates(nearest: bool, block: int = 512):
-    """Over rows (shard, key, fp, root) sorted by shard: pairs (a, b) of keys of one shard with different roots, at most WIDE_RADIUS bits
-    apart. With ``nearest`` each text is paired only with the nearest one before it, which is enough to hold a group of copies together."""
-
-    def pairs(keys: np.ndarray, points: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), block):
-            end = min(at + block, len(keys))
-            apart = np.zeros((end - at, end), np.uint16)
-            for j in range(4):
-                apart += np.bitwise_count(points[at:end, j, None] ^ points[None, :end, j])
-            apart[np.arange(end)[None, :] >= np.arange(at, end)[:, None]] = 256
-            apart[roots[at:end, None] == roots[None, :end]] = 256
-            if nearest:
-                x, y = np.arange(end - at), apart.argmin(axis=1)
-                near = apart[x, y] <= WIDE_RADIUS
-                x, y = x[near], y[near]
-            else:
-                x, y = np.nonzero(apart <= WIDE_RADIUS)
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of each run of equal values in the first column, by which the rows are sorted, without that column."""
+    held: list[pa.RecordBatch] = []
+
+    def runs(table: pa.Table, shards: np.ndarray) -> Iterator[list[pa.Array]]:
+        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(shards) else []
+        for x, y in pairwise(edges):
+            if y - x > 1:
+                yield [c.combine_chunks() for c in table.slice(x, y - x).columns[1:]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        shards = batch.column(0).to_numpy()
+        if held[0].column(0)[0].as_py() != shards[-1]:  # the last shard may go on in the next batch
+            end = int(np.searchsorted(shards, shards[-1]))
+            table = pa.Table.from_batches([*held[:-1], batch.slice(0, end)])
+            yield from runs(table, table.column(0).to_numpy())
+            held = [batch.slice(end)]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield from runs(table, table.column(0).to_numpy())
+
+
+def _apart(points: pa.Array, roots: np.ndarray, block: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """From each place the bits in which the fingerprints from there differ from all before; 256 for equal roots and what is not before."""
+    points = np.frombuffer(b"".join(points.to_pylist()), np.uint64).reshape(-1, 4)
+    for at in range(0, len(points), block):
+        end = min(at + block, len(points))
+        apart = np.zeros((end - at, end), np.uint16)
+        for j in range(4):
+            apart += np.bitwise_count(points[at:end, j, None] ^ points[None, :end, j])
+        apart[np.arange(end)[None, :] >= np.arange(at, end)[:, None]] = 256
+        apart[roots[at:end, None] == roots[None, :end]] = 256
+        yield at, apart
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, fp, root) sorted by shard to pairs (a, b): of each text and the nearest one before it, at most WIDE_RADIUS bits apart."""
+    for keys, points, roots in _by_shard(batches):
+        keys = keys.to_numpy()
+        for at, apart in _apart(points, roots.to_numpy()):
+            y = apart.argmin(axis=1)
+            x = np.flatnonzero(apart.min(axis=1) <= WIDE_RADIUS)
             if len(x):
-                x, y = keys[x + at], keys[y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                a, b = keys[x + at], keys[y[x]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.uint64), np.zeros(0, np.int64)]
 
-        def whole(end: int) -> Iterator[pa.RecordBatch]:
-            edges = np.flatnonzero(np.r_[True, held[0][1:end] != held[0][: end - 1], True]) if end else []
-            for x, y in pairwise(edges):
-                if y - x > 1:
-                    yield from pairs(*(z[x:y] for z in held[1:]))
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, fp, root) sorted by shard to the keys of texts that have a candidate with another root."""
+    for keys, points, roots in _by_shard(batches):
+        keys, some = keys.to_numpy(), np.zeros(len(keys), bool)
+        for at, apart in _apart(points, roots.to_numpy()):
+            near = apart <= WIDE_RADIUS
+            some[at : at + len(near)] |= near.any(axis=1)
+            some[: near.shape[1]] |= near.any(axis=0)
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some])], names=["key"])
 
-        for batch in batches:
-            points = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 4)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), points, batch.column(3).to_numpy()]
-            held = [np.concatenate(z) for z in zip(held, new, strict=True)]
-            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last shard may go on in the next batch
-            yield from whole(end)
-            held = [z[end:] for z in held]
-        yield from whole(len(held[0]))
+
+def _decided(similarity: float):
+    """Over rows (shard, key, fp, root, grams) sorted by shard: links (a, b) of similar texts, a spanning forest of each shard over its roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, points, roots, grams in _by_shard(batches):
+            keys, links = keys.to_numpy(), []
+            distinct, flat = np.unique(grams.values.to_numpy(), return_inverse=True)
+            stops = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+            sizes, mark = np.diff(stops), np.zeros(len(distinct), np.int64)
+            label = roots.to_numpy().copy()
+            for at, apart in _apart(points, label.copy()):
+                for i in np.flatnonzero((apart <= WIDE_RADIUS).any(axis=1)).tolist():
+                    near, i = np.flatnonzero(apart[i] <= WIDE_RADIUS), i + at
+                    near = near[label[near] != label[i]]
+                    if not len(near):
+                        continue
+                    own = flat[stops[i] : stops[i + 1]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[np.concatenate([flat[stops[j] : stops[j + 1]] for j in near])], np.cumsum(np.r_[0, sizes[near][:-1]]))
+                    mark[own] = 0
+                    for j in near[both >= (similarity - 1e-9) * (sizes[near] + sizes[i] - both)].tolist():
+                        if label[j] != label[i]:
+                            links.append((keys[i], keys[j]))
+                            label[label == label[j]] = label[i]
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -302,8 +352,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each distinct text has a SimHash of 256 bits and goes to shards, each named by some of the bits, drawn at random; the texts of a shard
     are compared all with all. Pairs at most WIDE_RADIUS bits apart are candidates, and their sets of shingles decide. The first round takes
-    a text's nearest candidate in each shard, the second all candidates that the links so far leave in different components. A pair that
-    shares no shard is missed: of pairs at a similarity of just 0.8 about 3 %, fewer above.
+    a text's nearest candidate in each shard; the second, in the shards, all candidates that the links so far leave in different components.
+    Rows and links grow with the texts, the comparisons within a shard with the square of its texts. A pair that shares no shard is missed: of pairs at a similarity of just 0.8 about 3 %, fewer above.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = fields(docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")), "doc_id", "key", "text")
@@ -329,7 +379,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             bits = np.unpackbits(points, axis=1, bitorder="little").astype(np.int64)
             for k, at in enumerate(chosen):
                 shard = (k << width) + (bits[:, at] << np.arange(width)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", "key", "fp", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
 
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
@@ -337,24 +387,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [x.view(np.int64) for x in shingle_sets(as_bytes(batch.column(1)), hasher)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "grams"])
 
-    def verified(points: DataFrame, nearest: bool) -> DataFrame:
-        sharded = points.mapInArrow(spread, "shard long, key long, fp binary, root long").repartition("shard").sortWithinPartitions("shard")
-        pairs = cut(sharded.mapInArrow(_candidates(nearest), "a long, b long").distinct())
-        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def sharded(points: DataFrame) -> DataFrame:
+        return points.mapInArrow(spread, f"shard long, {', '.join(f'{x} {kind}' for x, kind in points.dtypes)}").repartition("shard").sortWithinPartitions("shard")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        nodes = cut(nodes.toDF("node").distinct())
         few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         own = narrow.join(F.broadcast(nodes) if few else nodes, narrow["key"] == F.col("node"), "left_semi")
-        sets = cut(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"))
+        return cut(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"))
+
+    def first_links(points: DataFrame) -> DataFrame:
+        pairs = cut(sharded(points).mapInArrow(_nearest, "a long, b long").distinct())
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b"))))
         first, second = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return cut(pairs.join(first, "a").join(second, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
+    def last_links(points: DataFrame) -> DataFrame:
+        sets = sets_of(sharded(points).mapInArrow(_undecided, "key long"))
+        return cut(sharded(points.join(sets, "key")).mapInArrow(_decided(similarity), "a long, b long"))
+
     def with_roots(links: DataFrame) -> DataFrame:
         joined = components(links, rows)
         return classes.join(joined, classes["key"] == joined["node"], "left").select("key", "fp", F.coalesce("root", "key").alias("root"), "least")
 
-    links = verified(classes.select("key", "fp", F.col("key").alias("root")), True)
+    links = first_links(classes.select("key", "fp", F.col("key").alias("root")))
     rooted = cut(with_roots(links))
-    rooted = with_roots(links.union(verified(rooted.select("key", "fp", "root"), False)))
+    rooted = with_roots(links.union(last_links(rooted.select("key", "fp", "root"))))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return gathered(marked.join(named, "key").select("doc_id", "component_id"), rows)
 

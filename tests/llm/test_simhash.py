@@ -128,7 +128,7 @@ def test_candidates_of_a_shard_in_many_batches():
     keys = pa.array(range(40))
     whole = pa.RecordBatch.from_arrays([pa.array([7] * 40), keys, pa.array([x.tobytes() for x in points]), keys], names=["shard", "key", "fp", "root"])
     for batches in ([whole], [whole.slice(k, 1) for k in range(40)]):
-        got = {(a, b) for x in S._candidates(False)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+        got = {(a, b) for x in S._nearest(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
         assert got == {(k, k + 20) for k in range(20)}
 
 
@@ -162,6 +162,12 @@ def test_near_copies_like_brute_force(spark):
     for k, r in enumerate(root):
         least.setdefault(r, k)
     assert sorted((r.doc_id, r.component_id) for r in S.near_copies(docs).collect()) == [(k, least[r]) for k, r in enumerate(root)]
+    sets = S.shingle_sets([(x or "").encode() for x in texts], S.WordHashes())
+    points = pa.array([S.wide_simhash(x).tobytes() for x in sets])
+    keys = pa.array(range(len(texts)))
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), keys, points, keys, pa.array([x.view(np.int64) for x in sets])], names=["shard", "key", "fp", "root", "grams"])
+    links = [x for y in S._decided(0.8)(iter([rows])) for x in zip(*(c.to_pylist() for c in y.columns), strict=True)]
+    assert len(links) == len(texts) - len(set(root)) and all(root[a] == root[b] for a, b in links)
     kept = {r.doc_id for r in S.keep_one(docs, find=S.near_copies).collect()}
     assert kept == set(least.values())
     assert kept < {r.doc_id for r in S.keep_one(docs).collect()}
