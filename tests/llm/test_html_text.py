@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from larkspur.llm import html_text as H
@@ -30,7 +35,7 @@ def test_main_text(html, text):
 
 def test_content_paths_pass_prose_and_not_links():
     menu = "".join(f"<li>{x}</li>" for x in "abcdefgh")
-    found = H.blocks(f"<body><ul>{menu}</ul><div><p>{BODY}</p><p>{BODY}</p></div></body>")
+    found = H.Page(f"<body><ul>{menu}</ul><div><p>{BODY}</p><p>{BODY}</p></div></body>").found
     paths = H.content_paths(found)
     assert [text == BODY for text, _ in found] == [node.path in paths for _, node in found]
 
@@ -79,3 +84,179 @@ def test_one_long_part_is_not_the_whole_article(html, text):
 )
 def test_names_that_only_hold_a_listed_word(html, text):
     assert H.main_text(html) == text
+
+
+def test_the_ratios_decide(monkeypatch):
+    """Of branches without telling names beside the container, and of doubtful names inside it, the ratios tell which stay."""
+    pages = {
+        f"<body><div class='c1'><p>{LONG}</p><p>x</p></div><div class='x9'><p>Hot deals</p><p>Buy</p></div></body>": f"{LONG}\nx",
+        f"<body><div class='page'><div class='x1'><span>Home</span></div><div class='x2'><h1>T</h1><p>{LONG}</p><p>{BODY}</p></div><div class='x3'>Top</div></div></body>": f"T\n{LONG}\n{BODY}",
+        page(f"<article><p>{LONG}</p><div class='related'><ul><li>a</li><li>b</li></ul></div><div class='related-work'><h2>Related work</h2><p>{LONG}</p></div><p>{BODY}</p></article>"): f"{LONG}\nRelated work\n{LONG}\n{BODY}",
+        page(f"<article><p>{LONG}</p><section id='legal'><h2>Law</h2><p>{LONG}</p></section><div class='notice'>Log in</div></article>"): f"{LONG}\nLaw\n{LONG}",
+    }
+    assert [H.main_text(x) for x in pages] == [*pages.values()]
+    monkeypatch.setattr(H, "content_paths", lambda found, share=0.5: {node.path: 1.0 for _, node in found})
+    assert all(H.main_text(x) != text for x, text in pages.items())
+
+
+@pytest.mark.parametrize(
+    "inside,text",
+    [
+        ('aa <b class="ad">x<br>y</b> bb', "aa bb"),
+        ('aa <span class="ad">Buy <span>now</span> or <i>never</i></span> bb', "aa bb"),
+        ('aa <span class="ad"><span class="ad">x</span>y</span> <em>bb</em>', "aa bb"),
+        ('aa <span style="display:none">x<i>y</i>z</span> bb', "aa bb"),
+        ('aa <a class="share" href="/x">Share <img src="a"></a> bb', "aa bb"),
+    ],
+)
+def test_inline_asides(inside, text):
+    assert H.main_text(page(f"<article><p>{BODY}</p><p>{inside}</p><p>{BODY}</p></article>")) == f"{BODY}\n{text}\n{BODY}"
+
+
+def test_quotes_without_an_end():
+    assert H.main_text('<p title="it>Hello') == "Hello"
+    assert H.main_text(f"<article><p title='a>b' class=\"x\">{BODY}</p><p alt='>{BODY}</p></article>") == f"{BODY}\n{BODY}"
+
+
+@pytest.mark.parametrize("part", ["<span>x", '<span class="ad">x', "<b>x ", "<noscript>", "<p title='", "<i class=ad><div>x", "&", "<!--"])
+def test_long_pages_take_linear_time(part):
+    began = time.perf_counter()
+    H.main_text(part * (5_000_000 // len(part)))
+    assert time.perf_counter() - began < 15  # some 1 to 3 s alone
+
+
+def test_any_depth():
+    assert H.main_text("<div>" * 100_000 + f"<p>{BODY}</p>" + "</div>" * 100_000 + "<p>z</p>") == f"{BODY}\nz"
+
+
+class Tree(HTMLParser):
+    """Well-formed pages as nested lists [tag, names, parent, parts]; parts are texts and elements."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = self.now = ["#", "", None, []]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        new = [tag, " ".join(v for _, v in attrs), self.now, []]
+        self.now[3].append(new)
+        self.now = new
+
+    def handle_endtag(self, tag):
+        self.now = self.now[2]
+
+    def handle_data(self, data):
+        self.now[3].append(data)
+
+
+def slow_main(html):
+    """The rules, by plain recursion: every question about an element is answered by walking up or down from it."""
+
+    def up(x):
+        return [x, *up(x[2])] if x else []
+
+    def texts(x):
+        return [(y, x) if isinstance(y, str) else z for y in x[3] for z in ([0] if isinstance(y, str) else texts(y))]
+
+    def size(x, found):
+        return sum(len(t) for t, own in found if any(y is x for y in up(own)))
+
+    def path(x):
+        return tuple((y[0], y[1] if y[0] in H.CLASSED else "") for y in up(x))
+
+    root = Tree(html).root
+    found = [(t, x) for t, x in texts(root) if not any(y[0] in H.ASIDE for y in up(x))]
+    total = size(root, found)
+    kinds = lambda x: [H._by_name(y[0], y[1]) for y in up(x)]
+    hard = lambda x: [y for y in up(x) if H._by_name(y[0], y[1]) == "sure" and size(y, found) < 0.9 * total]
+    left = [(t, x) for t, x in found if not hard(x)]
+    if not left:
+        return ""
+    ratio = {}
+    for t, x in left:
+        own = ratio.setdefault(path(x), [])
+        own.append((len(t), sum(c in ".,;:!?" for c in t)))
+    order = list(ratio)
+
+    def mean(k, j):
+        return sum(v[j] for v in ratio[order[k]]) / len(ratio[order[k]])
+
+    def smooth(value, k):
+        near = [(math.exp(-0.5 * (d / 0.6) ** 2), k + d) for d in range(-2, 3) if 0 <= k + d < len(order)]
+        return sum(w * value(i) for w, i in near) / sum(w for w, _ in near)
+
+    fused = [math.log1p(math.sqrt(smooth(lambda i: mean(i, 0), k) * smooth(lambda i: mean(i, 1) + 0.1, k))) for k in range(len(order))]
+    average = sum(fused) / len(fused)
+    least = average - 0.5 * math.sqrt(sum((x - average) ** 2 for x in fused) / len(fused))
+    good = {p: x for p, x in zip(order, fused, strict=True) if x >= least - 1e-9}
+    doubtful = lambda x: [y for y, k in zip(up(x), kinds(x), strict=True) if k == "doubtful" and y[0] != "article"]
+    core = [(t, x) for t, x in left if not doubtful(x)] or left
+    vote = {}
+
+    def votes(x):
+        if id(x) not in vote:
+            vote[id(x)] = sum(len(t) * good.get(path(own), 0) for t, own in core if any(y is x for y in up(own))) if any(path(own) in good for _, own in core) else size(x, core)
+        return vote[id(x)]
+
+    every = []
+
+    def walk(x):
+        every.append(x)
+        for y in x[3]:
+            if not isinstance(y, str):
+                walk(y)
+
+    walk(root)
+    articles = [x for x in every if x[0] in ("article", "main") and votes(x) >= 0.5 * votes(root) and not any(y[0] == "article" for y in up(x)[1:])]
+    if articles:
+        container = max(articles, key=lambda x: (x[0] == "article", votes(x)))
+    else:
+        container = max((x for x in every if x[0] in H.GROUPS and votes(x) >= 0.9 * votes(root)), key=lambda x: len(up(x)))
+    inside = lambda x: any(y is container for y in up(x))
+    has_content = lambda x: any(path(own) in good and own[0] not in H.HEADINGS and any(y is x for y in up(own)) for _, own in left)
+    own_text = any(x is container or x[2] is container and x[0] not in H.GROUPS for _, x in left)
+    layout = container[0] in ("#", "html", "body") or not own_text
+    out = []
+    for t, x in left:
+        if doubtful(x):
+            if (inside(x) or core is left) and has_content(doubtful(x)[-1]):
+                out.append(t)
+            continue
+        around = [id(y) for y in up(container)]
+        chain = [y for y in up(x) if id(y) not in around]
+        if container[0] in ("article", "main"):
+            stays = inside(x)
+        elif not chain or inside(x) and not layout:
+            stays = True
+        else:
+            stays = has_content(chain[-1]) or chain[-1][0] not in ("div", "section", "center")
+        if stays:
+            out.append(t)
+    return "\n".join(out)
+
+
+def test_like_brute_force():
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8))) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.5:
+            return f"<p>{words(rng.choice([2, 4, 30, 80]))}</p>"
+        if kind < 0.6:
+            return f"<h2>{words(3)}</h2>"
+        if kind < 0.7:
+            return "<ul>" + "".join(f"<li>{words(rng.randint(1, 20))}</li>" for _ in range(3)) + "</ul>"
+        tag = rng.choice(["div", "div", "div", "section", "article"] if depth else ["div", "main", "nav", "footer"])
+        names = rng.choice(["", "", " class='c'", " class='x'", " class='ad'", " class='comments'", " id='legal'", " class='related-work'", " class='y'"])
+        return f"<{tag}{names}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    seen = set()
+    for _ in range(600):
+        html = "<html><body>" + "".join(part(0) for _ in range(rng.randint(1, 5))) + "</body></html>"
+        want = slow_main(html)
+        assert H.main_text(html) == want, html
+        seen.add(want.count("\n") == "".join(html).count("</p>") + html.count("</li>") + html.count("</h2>") - 1)
+    assert seen == {True, False}
