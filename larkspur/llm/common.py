@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from xxhash import xxh64_intdigest
 
 #: A-Z to a-z; every other byte stays.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -33,54 +35,55 @@ def alnum_words(text: bytes) -> list[bytes]:
 ASCII_SPACED = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class WordHashes:
-    """64-bit hashes of the words between spaces, all words of a text at once.
+#: Bytes of a text that are taken apart at a time; only a single longer word is taken whole.
+RUN_BYTES = 1 << 20
 
-    Two polynomial hashes with odd bases modulo 2**64, each from one running sum over the bytes: the sum over a word times the
-    inverse power of its place. Both are mixed into one.
-    """
 
-    def __init__(self, most: int = 1 << 17):
-        self.most = most
-        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-        self.grow(most)
-
-    def grow(self, n: int) -> None:
-        power = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
-        self.tables = [(power(b), power(pow(b, -1, 1 << 64))) for b in self.bases]
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the words; the text's only separators are spaces."""
-        at, parts = 0, []
-        while at < len(text):
-            end = len(text)
-            if end - at > self.most:
-                end = text.rfind(b" ", at, at + self.most) + 1 or text.find(b" ", at + self.most) + 1 or len(text)
-            if end - at > len(self.tables[0][0]) - 1:
-                self.grow(end - at)
-            start, stop, found = self.part(np.frombuffer(text, np.uint8, end - at, at))
-            parts.append((start + at, stop + at, found))
-            at = end
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.uint64))
-
-    def part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], data == 32, [True]])))
-        start, stop = edge[::2], edge[1::2]
-        value, out = data.astype(np.uint64) + np.uint64(1), np.zeros(len(start), np.uint64)
-        for power, inverse in self.tables:
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(value * power[: len(data)], out=total[1:])
-            found = (total[stop] - total[start]) * inverse[start]
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (found ^ (found >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        return start, stop, out ^ (out >> np.uint64(31))
-
-
-def hashed(texts: list[bytes], hasher: WordHashes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: bytes, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts a text, whose only separators are spaces, into runs of whole words: of at most ``most`` bytes, or of one longer word."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            end = text.rfind(b" ", at, at + most) + 1 or text.find(b" ", at + most) + 1 or end
+        yield at, end
+        at = end
+
+
+def edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between spaces."""
+    found = np.flatnonzero(np.diff(np.concatenate([[True], np.frombuffer(text, np.uint8) == 32, [True]])))
+    return found[::2], found[1::2]
+
+
+def word_hashes(text: bytes, seed: int = 42, most: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and XXH64 hashes of the words of a text whose only separators are spaces.
+
+    Of a corpus of n different words any two have one hash with a chance of about n * n / 2 ** 65. Beside the result it holds what
+    one run needs; a word is hashed where it stands.
+    """
+    starts, stops, found = [], [], []
+    for at, end in runs(text, most):
+        if end - at > most:
+            stop = end - (text[end - 1] == 32)
+            starts.append(np.array([at]))
+            stops.append(np.array([stop]))
+            found.append(np.array([xxh64_intdigest(memoryview(text)[at:stop], seed)], np.uint64))
+            continue
+        part = text[at:end]
+        start, stop = edges(part)
+        starts.append(start + at)
+        stops.append(stop + at)
+        found.append(np.fromiter(map(xxh64_intdigest, part.split(), repeat(seed)), np.uint64, len(start)))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(starts), np.concatenate(stops), np.concatenate(found)) if found else (none, none, none.astype(np.uint64))
+
+
+def hashed(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts whose separators are spaces: all joined, starts, ends and hashes of the words in that, and where each
     text's words begin among them, with the count of all."""
     joined = b" ".join(texts)
-    begin, end, found = hasher(joined)
+    begin, end, found = word_hashes(joined)
     return joined, begin, end, found, np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in texts)]))
 
 

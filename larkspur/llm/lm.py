@@ -1,24 +1,28 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | history) = P(class of the word | history) * P(word | class)
+    P(word | history) = P(class | history) * P(member | class, history) [ * P(word | member) ]
 
-Classes come from the word's hash, so every word, seen or not, has one. The class given the history is a softmax over ``CLASSES`` classes
-with hashed features: the word before (bigram), the word before that (skip) and both together (trigram). The word
-given its class is its add-one estimate among the class's training words, where all unseen words of a class share the room of
-one. Both factors sum to one.
+Classes and members are fixed by the training counts. The ``words`` most frequent words are dealt, by falling count, to classes with equal sums of the counts'
+square roots, so that classes of frequent words are small; each word is a member of its own. All other words, seen or not, form one more class, whose
+members are the ``MEMBERS`` buckets of the word's hash. Both factors are trained softmaxes over the same hashed features of the history: the word
+before (bigram), the word before that (skip) and both together (trigram), beside a bias. Only within a bucket of rare words is a
+word's share its add-one estimate, where all unseen words of a bucket share the room of one. Each factor sums to one.
 
-Counts cover every training row: tasks count their words in numpy, Spark adds the counts up by word. Words are known by a 64-bit hash; two
-words of a corpus of n distinct ones clash with a chance of about n * n / 2 ** 65.
+Weights lie in tables of a stated size: ``2 ** class_bits`` rows for the class, and for the members ``2 ** member_bits`` weights for each width, classes being padded to widths
+that are powers of two. These sizes and ``words`` are parameters of the model; counts and statistics cover every training row and grow with it: tasks count their words
+in numpy, Spark adds the counts up by word. Words are known by their 64-bit XXH64; two words of a corpus of n distinct ones clash with a chance of about n * n / 2 ** 65.
 
-Training: the softmax's weights start from the classes' counts. In each round every replica (one per task, at most ``REPLICAS_PER_CORE`` for each core of the cluster) takes
-the global weights over its share of that round's rows in mini-batches of gradient updates with per-feature step sizes; the changes of a
-feature, weighted by how often a replica saw it, are summed by blocks of features on the executors, and the mean becomes the next global
-weights. All training rows take part, each in one round. The exchange is bounded by replicas times the model's size, not by the corpus.
+Training: biases start from the counts, all other weights from zero. Rows are dealt to shares by the hash of id and text; there are as many shares as make about ``share`` tokens
+each, dealt to ``rounds`` rounds. In a round each share's replica takes the global weights over its rows, in the order of another hash, in mini-batches of gradient updates with step sizes by row
+of weights (AdaGrad); the changes, weighted by how often a replica saw the row, are summed up by blocks on the executors in the order of the shares, and their mean is added to the global
+weights. Every training row takes part in one round. So the model follows from the rows and the parameters alone, not from partitions or the number of cores; a lost
+executor repeats a share of bounded size; and the exchange is bounded by the shares times the model's size.
 
-Scoring: the sums over class terms come from sparse numpy batches. Of the word counts only the most frequent (at most ``HEAD``) are
+Scoring: the sums over both factors come from sparse numpy batches. Of the word counts only the most frequent (at most ``HEAD``) are
 broadcast; the rest of a document's words are joined with the counts by a shuffle, and all is summed by document.
 
-Nulls and empty texts count as a text of the end token alone; rows with a null id train. Repeated rows come back as often as they occur.
+Nulls and empty texts count as a text of the end token alone; rows with a null id train. Long texts: a text's hashes are held whole (24 bytes a word), all else is made a block at a time.
+Ties: words of equal count are ordered by their hash. Repeated rows come back as often as they occur; those equal in id and text train in one share, one after the other.
 No training rows: the base score is 0 for each token. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
@@ -34,50 +38,112 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, bounded_batches, cut, fields, hashed, slices
+from .common import ASCII_SPACED, Numbered, as_bytes, bounded_batches, cut, fields, hashed, slices
 
-CLASS_BITS = 6
-CLASSES = 1 << CLASS_BITS
-FEATURE_BITS = 14
-FEATURES = 1 << FEATURE_BITS
-BLOCK = 512
+CLASSES = 64
+MEMBER_BITS = 6
+MEMBERS = 1 << MEMBER_BITS
+#: The class of the words that are no members of their own.
+RARE = CLASSES - 1
+WORDS = 4096
+CLASS_BITS = 16
+WEIGHT_BITS = 19
 HEAD = 1 << 19
-REPLICAS_PER_CORE = 4
+SHARE = 4_000_000
 ROUNDS = 2
-STEP = 0.08
-BATCH = 2048
+STEP = 0.2
+BATCH = 4096
+#: Weights of a table that are exchanged as one row.
+BLOCK = 1 << 15
 #: Stand for the end token and for what lies before a text's first word.
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: The bias of what pads a class to its width.
+NEVER = np.float32(-1e9)
 
 
-def tokens(texts: list[bytes], hasher: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, an end after each text's; and where each text's tokens begin, with the end of all."""
-    _, _, _, found, stops = hashed([x.translate(ASCII_SPACED) for x in texts], hasher)
+    _, _, _, found, stops = hashed([x.translate(ASCII_SPACED) for x in texts])
     return np.insert(found, stops[1:], END), stops + np.arange(len(stops))
 
 
-def classes(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-
-
-def features(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Three hashed features of each token's history, as columns of uint16."""
-    last, before = np.empty_like(found), np.empty_like(found)
-    last[1:], before[2:] = found[:-1], found[:-2]
-    first = begins[:-1]
-    last[first] = before[first] = BEFORE
-    second = first + 1
-    before[second[second < len(found)]] = BEFORE  # a text's second token, or the next text's first
-    mixed = (last * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(1), before * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(2), last * np.uint64(0xD6E8FEB86659FD93) + before * np.uint64(0xA0761D6478BD642F))
-    return np.stack([((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16) for x in mixed], axis=1)
+def history(found: np.ndarray, begins: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Hashes of the three features of the tokens from ``low`` to ``high``, as columns."""
+    at = np.arange(low, high)
+    first = begins[np.searchsorted(begins, at, side="right") - 1]  # where each token's text begins
+    last = np.where(at > first, found[np.maximum(at - 1, 0)], BEFORE)
+    before = np.where(at > first + 1, found[np.maximum(at - 2, 0)], BEFORE)
+    out = np.stack([last * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(1), before * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(2), last * np.uint64(0xD6E8FEB86659FD93) + before * np.uint64(0xA0761D6478BD642F)], axis=1)
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def bucket(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
+
+
+class Layout:
+    """Which class, and which member of it, each frequent word is, and the tables of weights that follow.
+
+    Table 0 chooses the class; then a table for each width that a class is padded to. A table has hashed rows, and below them a row of biases for
+    each of its classes.
+    """
+
+    def __init__(self, found: np.ndarray, many: np.ndarray, class_bits: int = CLASS_BITS, weight_bits: int = WEIGHT_BITS):
+        """found, many: the frequent words' hashes and counts, by falling count."""
+        share = np.sqrt(many.astype(np.float64))
+        middle = (share.cumsum() - share / 2) / max(share.sum(), 1.0)
+        self.kind = np.unique(np.minimum((middle * (CLASSES - 1)).astype(np.int64), RARE - 1), return_inverse=True)[1]
+        size = np.bincount(self.kind, minlength=CLASSES)
+        self.member = np.arange(len(found)) - (np.cumsum(size) - size)[self.kind]
+        size[RARE] = MEMBERS
+        self.size, self.table = size, Numbered(max(12, (4 * len(found)).bit_length()))
+        self.table.add(found, np.arange(len(found)))
+        width = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+        self.of = np.full(CLASSES, -1)  # the table of a class's members; a class of one needs none
+        self.bias = np.zeros(CLASSES, np.int64)  # the row of its biases there
+        self.tables: list[tuple[int, int, int]] = [(class_bits, CLASSES, 1)]  # bits of a hashed row, width, rows of biases
+        for w in np.unique(width[size > 1]).tolist():
+            own = np.flatnonzero((width == w) & (size > 1))
+            bits = max(1, weight_bits - w.bit_length() + 1)
+            self.of[own], self.bias[own] = len(self.tables), (1 << bits) + np.arange(len(own))
+            self.tables.append((bits, w, len(own)))
+
+    def weights(self, class_tokens: np.ndarray, word_tokens: np.ndarray, bucket_tokens: np.ndarray) -> list[np.ndarray]:
+        """Zero, but for the biases: the logarithms of the counts."""
+        out = [np.zeros(((1 << bits) + rows, width), np.float32) for bits, width, rows in self.tables]
+        out[0][-1] = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
+        for k in np.flatnonzero(self.of > 0).tolist():
+            own = bucket_tokens if k == RARE else word_tokens[self.kind == k]
+            row = out[self.of[k]][self.bias[k]]
+            row[: len(own)] = np.log((own + 1) / (own.sum() + len(own)))
+            row[len(own) :] = NEVER
+        return out
+
+    def targets(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's class and member."""
+        number = self.table.find(found)
+        known = number >= 0
+        kind, member = np.full(len(found), RARE), bucket(found)
+        kind[known], member[known] = self.kind[number[known]], self.member[number[known]]
+        return kind, member
+
+    def examples(self, kind: np.ndarray, member: np.ndarray, past: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
+        """For each table: its number, which tokens go through it, the four rows of weights that each has, the place that is right."""
+        bits = self.tables[0][0]
+        yield 0, slice(None), np.column_stack([(past >> np.uint64(64 - bits)).astype(np.int64), np.full(len(kind), 1 << bits)]), kind
+        of = self.of[kind]
+        for k in range(1, len(self.tables)):
+            at = np.flatnonzero(of == k)
+            if len(at):
+                mixed = (past[at] ^ (kind[at, None].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
+                yield k, at, np.column_stack([(mixed >> np.uint64(64 - self.tables[k][0])).astype(np.int64), self.bias[kind[at]]]), member[at]
 
 
 def sums(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Each class's summed weights, the greatest 0; weights: a row for each feature, the bias last."""
+    """Of each token the sum of its rows, the greatest 0."""
     out = np.take(weights, active[:, 0], axis=0)
-    out += weights[-1]
-    out += np.take(weights, active[:, 1], axis=0)
-    out += np.take(weights, active[:, 2], axis=0)
+    for k in range(1, active.shape[1]):
+        out += np.take(weights, active[:, k], axis=0)
     out -= out.max(axis=1, keepdims=True)
     return out
 
@@ -90,7 +156,7 @@ def probabilities(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
 
 
 def log_probability(weights: np.ndarray, active: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the target class's probability."""
+    """Natural logarithm of the target's probability."""
     out = sums(weights, active)
     chosen = out[np.arange(len(target)), target].astype(np.float64)
     np.exp(out, out=out)
@@ -98,39 +164,37 @@ def log_probability(weights: np.ndarray, active: np.ndarray, target: np.ndarray)
 
 
 class Replica:
-    """The global weights, carried on by gradient updates of this task's rows."""
+    """The global weights, carried on by gradient updates of one share's rows."""
 
-    def __init__(self, weights: np.ndarray):
-        self.start, self.weights = weights, weights.copy()
-        self.squares = np.full((len(weights), 1), 1.0, np.float32)
-        self.seen = np.zeros(len(weights), np.float32)
+    def __init__(self, weights: list[np.ndarray], step: float = STEP):
+        self.step, self.start, self.weights = step, weights, [x.copy() for x in weights]
+        self.squares = [np.full((len(x), 1), 1.0, np.float32) for x in weights]
+        self.seen = [np.zeros(len(x), np.float32) for x in weights]
 
-    def update(self, active: np.ndarray, target: np.ndarray) -> None:
-        error = probabilities(self.weights, active)
+    def update(self, k: int, active: np.ndarray, target: np.ndarray) -> None:
+        """One step over a mini-batch in table ``k``: the gradient at the weights before it, taken up column by column of ``active``, by its rows."""
+        error = probabilities(self.weights[k], active)
         error[np.arange(len(target)), target] -= 1
-        self.step(np.array([len(self.weights) - 1]), error.sum(axis=0, keepdims=True), np.array([len(target)]))
         for column in active.T:
             order = np.argsort(column, kind="stable")
             ordered = column[order]
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            self.step(ordered[first], np.add.reduceat(np.take(error, order, axis=0), first, axis=0), np.diff(np.r_[first, len(ordered)]))
-
-    def step(self, at: np.ndarray, gradient: np.ndarray, many: np.ndarray) -> None:
-        self.squares[at] += np.einsum("ij,ij->i", gradient, gradient)[:, None] / CLASSES
-        self.weights[at] -= STEP * gradient / np.sqrt(self.squares[at])
-        self.seen[at] += many
+            at, gradient = ordered[first], np.add.reduceat(np.take(error, order, axis=0), first, axis=0)
+            self.squares[k][at] += np.einsum("ij,ij->i", gradient, gradient)[:, None] / error.shape[1]
+            self.weights[k][at] -= self.step * gradient / np.sqrt(self.squares[k][at])
+            self.seen[k][at] += np.diff(np.r_[first, len(ordered)])
 
 
 def _counted(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """(text) to (token, c): this task's counts."""
-    hasher, held, size = WordHashes(), [], 0
+    held, size = [], 0
 
     def counts() -> pa.RecordBatch:
         found, many = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], names=["token", "c"])
 
     for batch in slices(batches, 256):
-        found = tokens(as_bytes(batch.column(0)), hasher)[0]
+        found = tokens(as_bytes(batch.column(0)))[0]
         held.append(found)
         size += len(found)
         if size >= most:
@@ -146,129 +210,189 @@ def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _trained(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(text) to (block, moved, seen): a replica's weighted changes, by blocks of features."""
-    hasher, replica, held = WordHashes(), Replica(shared.value), [[], [], 0]
+def blocks_of(layout: Layout) -> list[tuple[int, slice]]:
+    """(table, rows) of each block of weights."""
+    return [(k, slice(at, min(at + BLOCK // width, (1 << bits) + rows))) for k, (bits, width, rows) in enumerate(layout.tables) for at in range(0, (1 << bits) + rows, BLOCK // width)]
+
+
+class Learner:
+    """Takes a replica over the tokens of one share, in mini-batches of BATCH tokens."""
+
+    def __init__(self, layout: Layout, weights: list[np.ndarray], step: float = STEP):
+        self.layout, self.replica, self.held, self.size = layout, Replica(weights, step), [], 0
+
+    def add(self, texts: list[bytes]) -> None:
+        found, begins = tokens(texts)
+        for low in range(0, len(found), 16 * BATCH):
+            high = min(low + 16 * BATCH, len(found))
+            self.held.append((found[low:high], history(found, begins, low, high)))
+            self.size += high - low
+            if self.size >= 16 * BATCH:
+                self.learn(self.size // BATCH * BATCH)
+
+    def learn(self, many: int) -> None:
+        found, past = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        kind, member = self.layout.targets(found[:many])
+        for low in range(0, many, BATCH):
+            part = slice(low, min(low + BATCH, many))
+            for k, _, active, target in self.layout.examples(kind[part], member[part], past[part]):
+                self.replica.update(k, active, target)
+        self.held, self.size = [(found[many:], past[many:])], self.size - many
+
+    def moved(self, share: int) -> pa.RecordBatch:
+        """Of each block that was seen (block, share, moved as half floats, seen)."""
+        if self.size:
+            self.learn(self.size)
+        rows = []
+        for number, (k, part) in enumerate(blocks_of(self.layout)):
+            if (seen := self.replica.seen[k][part]).any():
+                moved = (self.replica.weights[k][part] - self.replica.start[k][part]).astype(np.float16)
+                rows.append((number, share, moved.tobytes(), seen.tobytes()))
+        columns = [*zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "share", "moved", "seen"])
 
-    def learn() -> None:
-        active, target = np.concatenate(held[0]), np.concatenate(held[1])
-        for at in range(0, len(target), BATCH):
-            replica.update(active[at : at + BATCH], target[at : at + BATCH])
-        held[:] = [[], [], 0]
 
+def _trained(batches: Iterator[pa.RecordBatch], shared, step: float) -> Iterator[pa.RecordBatch]:
+    """(share, text) by share to (block, share, moved, seen)."""
+    layout, weights = shared.value
+    now, learner = None, None
     for batch in slices(batches, 256):
-        found, begins = tokens(as_bytes(batch.column(0)), hasher)
-        held[0].append(features(found, begins))
-        held[1].append(classes(found))
-        held[2] += len(found)
-        if held[2] >= 32 * BATCH:
-            learn()
-    if held[2]:
-        learn()
-    moved = (replica.weights - replica.start) * replica.seen[:, None]
-    rows = [(k, moved[k : k + BLOCK].tobytes(), replica.seen[k : k + BLOCK].tobytes()) for k in range(0, len(moved), BLOCK) if replica.seen[k : k + BLOCK].any()]
-    if rows:
-        columns = [*zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["block", "moved", "seen"])
+        shares = batch.column(0).to_numpy()
+        texts = as_bytes(batch.column(1))
+        edges = np.flatnonzero(np.r_[True, shares[1:] != shares[:-1], True]).tolist()
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if shares[low] != now:
+                if learner:
+                    yield learner.moved(now)
+                now, learner = int(shares[low]), Learner(layout, weights, step)
+            learner.add(texts[low:high])
+    if learner:
+        yield learner.moved(now)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, moved, seen) to one row for each block of this task."""
-    sums: dict[int, list[np.ndarray]] = {}
+    """(block, share, moved, seen) by block and share to (block, change, seen): the mean change of each row, weighted by how often a replica saw it."""
+    now, total, weight = None, 0.0, 0.0
+
+    def done() -> pa.RecordBatch:
+        change = total / np.maximum(weight, 1)[:, None]
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([change.astype(np.float32).tobytes()], pa.binary())], names=["block", "change"])
+
     for batch in batches:
-        for block, moved, seen in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            total = sums.setdefault(block, [0.0, 0.0])
-            total[0] = total[0] + np.frombuffer(moved, np.float32).astype(np.float64)
-            total[1] = total[1] + np.frombuffer(seen, np.float32).astype(np.float64)
-    if sums:
-        columns = [[*sums], [x[0].astype(np.float32).tobytes() for x in sums.values()], [x[1].astype(np.float32).tobytes() for x in sums.values()]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["block", "moved", "seen"])
+        for block, moved, seen in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, total, weight = block, 0.0, 0.0
+            seen = np.frombuffer(seen, np.float32).astype(np.float64)
+            total = total + np.frombuffer(moved, np.float16).astype(np.float64).reshape(len(seen), -1) * seen[:, None]
+            weight = weight + seen
+    if now is not None:
+        yield done()
 
 
 class Model:
-    """The trained model. counts stays distributed; the rest is bounded by CLASSES, FEATURES and HEAD."""
+    """The trained model. counts stays distributed; the rest is bounded by the sizes of the tables and HEAD."""
 
-    def __init__(self, counts: DataFrame, weights: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, head: tuple[np.ndarray, np.ndarray], known_from: int):
-        self.counts, self.weights, self.head, self.known_from = counts, weights, head, known_from
-        self.class_tokens, self.class_words = class_tokens, class_words
-        self.n, self.v = int(class_tokens.sum()), int(class_words.sum())
+    def __init__(self, counts: DataFrame, layout: Layout, weights: list[np.ndarray], bucket_rest: np.ndarray, n: int, v: int, head: tuple[np.ndarray, np.ndarray], known_from: int):
+        self.counts, self.layout, self.weights, self.head, self.known_from = counts, layout, weights, head, known_from
+        self.bucket_rest = bucket_rest  # tokens and words of each bucket of rare words, and one for what is unseen
+        self.n, self.v = n, v
 
 
-def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """Learns from all rows of ``training``."""
+def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, words: int = WORDS, class_bits: int = CLASS_BITS, weight_bits: int = WEIGHT_BITS, share: int = SHARE, step: float = STEP) -> Model:
+    """Learns from all rows of ``training``. words: how many words are members of their own; class_bits, weight_bits: sizes of the tables; share: tokens of a replica."""
     spark = training.sparkSession
     bounded_batches(spark)
     counts = cut(word_counts(training, text_col))
-    kind = F.shiftrightunsigned("token", 64 - CLASS_BITS).cast("int")
-    per_class = np.zeros((2, CLASSES), np.int64)
-    for k, c, n in counts.groupBy(kind.alias("k")).agg(F.sum("c"), F.count("*")).collect():
-        per_class[:, k] = c, n
+    per_bucket = np.zeros((2, MEMBERS), np.int64)
+    for k, c, n in counts.groupBy(F.shiftrightunsigned("token", 64 - MEMBER_BITS).cast("int").alias("k")).agg(F.sum("c"), F.count("*")).collect():
+        per_bucket[:, k] = c, n
+    n, v = (int(x) for x in per_bucket.sum(axis=1))
     # the least count from which at most HEAD words are left
     bin_ = F.when(F.col("c") < 1024, F.col("c")).otherwise(1014 + F.floor(F.log2("c")).cast("long"))
     bins, room, least = sorted(((b, n) for b, n in counts.groupBy(bin_.alias("b")).count().collect()), reverse=True), HEAD, None
-    for b, n in bins:
-        if n > room:
+    for b, many in bins:
+        if many > room:
             break
-        room, least = room - n, b if b < 1024 else 1 << (b - 1014)
+        room, least = room - many, b if b < 1024 else 1 << (b - 1014)
     known_from = int(least or np.iinfo(np.int64).max)
     head = counts.where(F.col("c") >= known_from).toArrow()
-    tokens_, many = head["token"].to_numpy().view(np.uint64), head["c"].to_numpy()
-
-    weights = np.zeros((FEATURES + 1, CLASSES), np.float32)
-    weights[-1] = np.log((per_class[0] + 1) / (per_class[0].sum() + CLASSES))
-    replicas = REPLICAS_PER_CORE * spark.sparkContext.defaultParallelism
+    found, many = head["token"].to_numpy().view(np.uint64), head["c"].to_numpy()
+    order = np.lexsort((found, -many))
+    found, many = found[order], many[order]
+
+    layout = Layout(found[:words], many[:words], class_bits, weight_bits)
+    for k, own in enumerate((many[:words], 1)):
+        np.subtract.at(per_bucket[k], bucket(found[:words]), own)
+    class_tokens = np.bincount(layout.kind, weights=many[:words], minlength=CLASSES)
+    class_tokens[RARE] = per_bucket[0].sum()
+    weights = layout.weights(class_tokens, many[:words], per_bucket[0])
+    blocks = blocks_of(layout)
+    shares = max(1, ceil(n / (rounds * share)))  # of a round
+    named = F.xxhash64(training[id_col].cast("string"), training[text_col])
+    dealt = training.select(F.pmod(named, F.lit(rounds * shares)).alias("share"), F.xxhash64(named, F.lit(1)).alias("order"), training[text_col].alias("text"))
     for k in range(rounds):
-        share = training.where(F.pmod(F.xxhash64(training[id_col].cast("string"), F.lit(rounds)), F.lit(rounds)) == k).select(training[text_col])
-        shared = spark.sparkContext.broadcast(weights)
-        moved = share.coalesce(replicas).mapInArrow(partial(_trained, shared=shared), "block long, moved binary, seen binary")
-        found = moved.repartition("block").mapInArrow(_summed, "block long, moved binary, seen binary").collect()
-        weights = weights.copy()
-        for block, change, seen in found:
-            seen = np.frombuffer(seen, np.float32)
-            weights[block : block + len(seen)] += np.frombuffer(change, np.float32).reshape(len(seen), -1) / np.maximum(seen, 1)[:, None]
+        shared = spark.sparkContext.broadcast((layout, weights))
+        own = dealt.where(F.col("share") % rounds == k).withColumn("share", F.floor(F.col("share") / rounds).cast("int"))
+        own = own.repartitionById(shares, "share").sortWithinPartitions("share", "order").select("share", "text")
+        moved = own.mapInArrow(partial(_trained, shared=shared, step=step), "block long, share long, moved binary, seen binary")
+        mean = moved.repartition("block").sortWithinPartitions("block", "share").mapInArrow(_summed, "block long, change binary").collect()  # the model's size
+        weights = [x.copy() for x in weights]
+        for number, change in mean:
+            table, part = blocks[number]
+            weights[table][part] += np.frombuffer(change, np.float32).reshape(part.stop - part.start, -1)
         shared.unpersist()
-    return Model(counts, weights, per_class[0], per_class[1], (tokens_, many), known_from)
+    return Model(counts, layout, weights, per_bucket.sum(axis=0) + 1, n, v, (found, many), known_from)
 
 
 class _Scorer:
     """What a worker needs to score; the table of frequent words is made once in each worker."""
 
     def __init__(self, model: Model):
-        self.weights, self.head = model.weights, model.head
-        self.class_rest = np.log10(model.class_tokens + model.class_words + 1)
+        self.layout, self.weights, self.head = model.layout, model.weights, model.head
+        self.bucket_rest = np.log10(model.bucket_rest)
         self.table: Numbered | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"table": None}
 
-    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    def lift(self, found: np.ndarray, past: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """What the model's log10 probability of each token is over ``gain``, log10(c + 1) where c is known here; of a rare word that is yet to come."""
+        kind, member = self.layout.targets(found)
+        out = np.zeros(len(found))
+        for k, at, active, target in self.layout.examples(kind, member, past):
+            out[at] += log_probability(self.weights[k], active, target)
+        rare = kind == RARE
+        return out / np.log(10) - np.where(rare, self.bucket_rest[np.where(rare, member, 0)], gain)
+
+    def rows(self, batches: Iterator[pa.RecordBatch], block: int = 1 << 13) -> Iterator[pa.RecordBatch]:
         """(id, text) to a row for each text (tf 0) and one for each of its words beyond the head, all named by ``row``."""
-        hasher, made, kind = WordHashes(), TaskContext.get().partitionId() << 33, None
+        made, kind = TaskContext.get().partitionId() << 33, None
         if self.table is None:
             self.table = Numbered(max(12, (4 * len(self.head[0])).bit_length() - 1))
             self.table.add(self.head[0], np.arange(len(self.head[0])))
-        logs = np.log10(self.head[1] + 1.0)
+        logs = np.append(np.log10(self.head[1] + 1.0), 0.0)
         for batch in slices(batches, 256):
             n, kind = batch.num_rows, batch.column(0).type
-            found, begins = tokens(as_bytes(batch.column(1)), hasher)
-            active, target = features(found, begins), classes(found)
-            lift = np.empty(len(found))
-            for at in range(0, len(found), block):
-                part = slice(at, at + block)
-                lift[part] = log_probability(self.weights, active[part], target[part]) / np.log(10) - self.class_rest[target[part]]
-            number = self.table.find(found)
-            here = number >= 0
-            gain = np.zeros(len(found))
-            gain[here] = logs[number[here]]
-            add = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: E731  every text has a token at least
+            found, begins = tokens(as_bytes(batch.column(1)))
+            known, gain, lift, rare = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), []
+            for low in range(0, len(found), block):
+                part = found[low : low + block]
+                text = np.searchsorted(begins, np.arange(low, low + len(part)), side="right") - 1
+                number = self.table.find(part)
+                gained = logs[number]  # of -1: the 0 at the end
+                lifted = self.lift(part, history(found, begins, low, low + len(part)), gained)
+                known += np.bincount(text[number >= 0], minlength=n)
+                gain += np.bincount(text, weights=gained, minlength=n)
+                lift += np.bincount(text, weights=lifted, minlength=n)
+                at = np.flatnonzero(number < 0)
+                rare.append(np.stack([text[at] + made, part[at].view(np.int64)], axis=1))
             row = made + np.arange(n)
-            yield self.batch(batch.column(0), row, found[begins[1:] - 1] ^ row.astype(np.uint64), np.zeros(n), np.diff(begins), add(here.astype(np.int64)), add(gain), add(lift))
+            yield self.batch(batch.column(0), row, found[begins[1:] - 1] ^ row.astype(np.uint64), np.zeros(n), np.diff(begins), known, gain, lift)
             made += n
-            rare = np.flatnonzero(~here)
-            owner = np.repeat(row, np.diff(begins))[rare]
-            pairs = np.stack([owner, found[rare].view(np.int64)], axis=1)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
+            pairs = np.concatenate(rare)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)][: len(pairs)])
             many = np.diff(np.r_[new, len(pairs)])
             none = np.zeros(len(new))

@@ -16,7 +16,8 @@ is bounded by the buffer and the longest document. At the end of a split the
 open sequence is closed, in lengths that are powers of two where that saves padding; sequences are then
 numbered through all splits, from the number that each split made.
 
-Nulls and empty texts are documents of no tokens but the separator. Repeated rows are packed as often as they occur. An
+Nulls and empty texts are documents of no tokens but the separator. Long texts: a document of any length is held with its ids while it is
+packed, its words are looked up 64 kB at a time. Ties: of packings that cost the same the first found is taken, which depends on the stored order alone. Repeated rows are packed as often as they occur. An
 empty table gives no pieces. Other columns are ignored.
 """
 
@@ -26,8 +27,9 @@ import re
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
 from string import punctuation
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -37,12 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASCII_SPACED, Numbered, WordHashes, as_bytes, cut, dealt, fields, slices
+from .common import ASCII_SPACED, as_bytes, cut, dealt, edges, fields, runs, slices
 
 WINDOW = 4096
 SEPARATOR = 2
 SENTENCE, FORCED, STRETCH = 4, 12, 32
 BUFFER = 1_000_000
+#: Bytes of a text that are looked up at a time. A longer word is encoded in pieces of so many characters, which share OVERLAP of them.
+LONG, OVERLAP = 1 << 16, 1 << 10
+#: A pool of words is full at so many bytes of words.
+POOL_BYTES = 32 << 20
 _SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _MARK = np.array([chr(c) in punctuation for c in range(256)])
 _ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
@@ -54,6 +60,7 @@ class Pool:
 
     def __init__(self):
         self.numbers: dict[bytes, int] = {}
+        self.size = 0
         self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
         self.start, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -68,6 +75,7 @@ class Pool:
         self.many[first:last] = many
         self.start[first:last] = self.filled + np.cumsum(many) - many
         self.filled = end
+        self.size += sum(map(len, words))
         self.numbers.update(zip(words, range(first, last), strict=True))
 
     def take(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +88,20 @@ class Pool:
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[number] - ends + many, many)], many
 
 
+def _letters(word: bytes) -> bool:
+    """Whether the tokenizer sees letters only: a letter may be taken apart into a letter and a mark, which it parts."""
+    text = word.decode("utf-8", "replace")
+    return text.isascii() and text.isalpha() or normalize("NFC", text).lower().isalpha()
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizer of a file; equal to its ``encode`` without special tokens.
 
     The tokenizer lower-cases, drops white space and never looks across it, so each word between white space is encoded
-    once and kept in a pool, found by its hash, from which the ids of texts are gathered. A word of letters with a tail of ASCII
+    once and kept in a pool, found by its bytes, from which the ids of texts are gathered. A word of letters with a tail of ASCII
     punctuation is put together from both, as the tokenizer parts them too. New words of letters are encoded many at a time: each ends in the one id
-    whose token bears the word-end mark; where that count differs they are encoded singly. When a pool is full it becomes the old one,
-    from which words still in use are taken over.
+    whose token bears the word-end mark; where that count differs they are encoded singly. When a pool is full, by words or bytes, it becomes the old one,
+    from which words still in use are taken over. Words of over LONG bytes are not kept.
     """
 
     def __init__(self, path: str | None = None, most: int = 300_000):
@@ -103,11 +117,10 @@ class Encoder:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.pool, self.old = Pool(), Pool()
-        self.hashes, self.table = WordHashes(), Numbered()
 
     def encode(self, words: list[bytes]) -> None:
         """Puts new words into the pool, each whole."""
-        plain = [x for x in words if x.decode("utf-8", "replace").isalpha()]
+        plain = [x for x in words if _letters(x)]
         if plain:
             text = b" ".join(plain).decode("utf-8")
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -130,7 +143,7 @@ class Encoder:
         joint, single = [], []
         for x in missing:
             core = x.rstrip(_PUNCTUATION)
-            if core and len(core) < len(x) and core.decode("utf-8", "replace").isalpha():
+            if core and len(core) < len(x) and _letters(core):
                 joint.append((x, core, x[len(core) :]))
             else:
                 single.append(x)
@@ -141,11 +154,34 @@ class Encoder:
             ids, many = self.pool.take([y for x in joint for y in x[1:]])
             self.pool.add([x[0] for x in joint], ids, many.reshape(-1, 2).sum(axis=1))
 
+    def long_ids(self, word: str, size: int = LONG, overlap: int = OVERLAP) -> np.ndarray:
+        """The ids of a word of any length, from pieces of ``size`` characters that share ``overlap``.
+
+        Merges go by rank, so a row of tokens is the encoding if each two neighbours are; where the two pieces agree on four tokens well inside
+        of what they share, the one's tokens before and the other's from there are that row. Without such a place the pieces get longer.
+        """
+
+        def piece(at: int) -> tuple[np.ndarray, np.ndarray]:
+            found = self.tokenizer.encode(word[at : at + size], add_special_tokens=False)
+            return np.array(found.ids, np.uint32), np.array(found.offsets, np.int64).reshape(-1, 2) + at
+
+        (ids, spots), end, out = piece(0), size, []
+        while end < len(word):
+            at, margin = end - overlap, overlap // 4
+            next_ids, next_spots = piece(at)
+            places = {tuple(x): k for k, x in enumerate(next_spots.tolist()) if at + margin <= x[0] and x[1] <= end - margin}
+            for i in range(int(np.searchsorted(spots[:, 0], at + margin)), len(ids) - 3):
+                j = places.get(tuple(spots[i].tolist()), -1)
+                if j >= 0 and j + 4 <= len(next_ids) and (ids[i : i + 4] == next_ids[j : j + 4]).all() and (spots[i : i + 4] == next_spots[j : j + 4]).all() and spots[i + 3, 1] <= end - margin:
+                    break
+            else:
+                return self.long_ids(word, 2 * size, 2 * overlap)
+            out.append(ids[:i])
+            ids, spots, end = next_ids[j:], next_spots[j:], at + size
+        return np.concatenate([*out, ids])
+
     def __call__(self, texts: list[bytes], last: int | None = SEPARATOR) -> list[np.ndarray]:
         """The ids of each text, then ``last``."""
-        if len(self.pool.numbers) > self.most:
-            self.pool, self.old = Pool(), self.pool
-            self.table.clear()
         plain = [x if b"<|" in x else x.translate(ASCII_SPACED) for x in texts]  # special tokens keep their case
         first = np.cumsum([0, *(len(x) + 1 for x in plain)])
         text = b" ".join(plain)
@@ -156,19 +192,33 @@ class Encoder:
             marks = np.flatnonzero(_MARK[data[1:]] & _ALNUM[data[:-1]]) + 1
             text = np.insert(data, marks, 32).tobytes()
             first = first + np.searchsorted(marks, first)
-        start, stop, hashes = self.hashes(text)
-        number = self.table.find(hashes)
-        if len(absent := np.flatnonzero(number < 0)):
-            new, where = np.unique(hashes[absent], return_index=True)
-            words = [text[a:b] for a, b in zip(start[absent[where]].tolist(), stop[absent[where]].tolist(), strict=True)]
-            self.learn([x for x in dict.fromkeys(words) if x not in self.pool.numbers])
-            self.table.add(new, np.fromiter(map(self.pool.numbers.__getitem__, words), np.int64, len(words)))
-            number[absent] = self.table.find(hashes[absent])
-        ids, many = self.pool.gather(number)
+        start, ids, many = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at, end in runs(text, LONG):
+            part = text[at:end]
+            begin, stop = edges(part)
+            start.append(begin + at)
+            if end - at > LONG:
+                found = self.long_ids(part[: stop[0]].decode("utf-8", "replace"))
+                counts = np.array([len(found)])
+            else:
+                found, counts = self.looked_up(part.split())
+            ids.append(found)
+            many.append(counts)
+        start, ids, many = (np.concatenate(x) for x in (start, ids, many))
         stops = np.r_[0, np.cumsum(many)][np.searchsorted(start, first)].tolist()
         tail = np.zeros(0, np.uint32) if last is None else np.array([last], np.uint32)
         return [np.concatenate([ids[a:b], tail]) for a, b in pairwise(stops)]
 
+    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, end to end, and how many each has."""
+        if len(self.pool.numbers) > self.most or self.pool.size > POOL_BYTES:
+            self.pool, self.old = Pool(), self.pool
+        number = np.fromiter(map(self.pool.numbers.get, words, repeat(-1)), np.int64, len(words))
+        if len(absent := np.flatnonzero(number < 0)):
+            self.learn([*dict.fromkeys(words[k] for k in absent.tolist())])
+            number[absent] = [self.pool.numbers[words[k]] for k in absent.tolist()]
+        return self.pool.gather(number)
+
 
 _ENCODERS: dict[str | None, Encoder] = {}
 

@@ -1,14 +1,14 @@
 """Quality classifier: hashed word n-gram logistic regression with follow-the-regularised-leader (FTRL-proximal) updates.
 
 A text becomes space-separated tokens. Features are the hashed tokens and pairs of neighbours, and the same over the
-tokens' shapes (letter case, and trailing punctuation as it stands), with a mark for a token equal to the one before it.
+tokens' shapes (letter case, and all trailing punctuation), with a mark for a token equal to the one before it.
 A feature's value is its share of the text's features times ``SCALE``, so long and short texts weigh alike.
 
 Training reads a bounded sample of labelled rows (``sample`` documents, those with the smallest id hashes): their
 features are made on the executors, and one task runs the updates over them in id-hash order, ``epochs`` times. The model is
 one float32 vector of ``2 ** BITS`` weights, whatever the size of the corpus. Scores are sparse dot products.
 
-Nulls and empty texts: scored by the bias alone. Labels that are null, or have a null id, teach nothing; of several labels
+Nulls and empty texts: scored by the bias alone. Long texts: a text is held whole in its task with about 60 bytes a word; its features are at most ``2 ** BITS``. Labels that are null, or have a null id, teach nothing; of several labels
 for an id the smallest counts, of several texts the one with the smallest features. Repeated rows come back as often as
 they occur. No labels: every score is 0.5. An empty table gives an empty result. Other columns are ignored.
 """
@@ -23,31 +23,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import WordHashes, as_bytes, bounded_batches, fields, hashed, slices
+from .common import RUN_BYTES, as_bytes, bounded_batches, fields, hashed, slices
 
 BITS = 18
 SCALE = 24.0
 THRESHOLD = 0.3
 #: Stands for no feature.
 NONE = (1 << BITS) + 1
+_MARKS = punctuation.encode()
 _SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 _UPPER, _LOWER, _DIGIT, _PUNCTUATION = (np.isin(np.arange(256), list(x.encode())) for x in (ascii_uppercase, ascii_lowercase, digits, punctuation))
 
 
+def _before(kinds: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """How many bytes of each kind lie before each place (places sorted), a block of bytes at a time."""
+    out, carried = [np.zeros(len(at), np.int64) for _ in kinds], [0] * len(kinds)
+    for low in range(0, max(1, len(data)), RUN_BYTES):
+        part = data[low : low + RUN_BYTES]
+        here = slice(np.searchsorted(at, low, side="right") if low else 0, np.searchsorted(at, low + len(part), side="right"))
+        for k, kind in enumerate(kinds):
+            total = np.zeros(len(part) + 1, np.int64)
+            np.cumsum(kind[part], out=total[1:])
+            out[k][here] = carried[k] + total[at[here] - low]
+            carried[k] += int(total[-1])
+    return out
+
+
 def shapes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for each word's shape: the case of its ASCII letters (none, lower, capital, upper, mixed; digits alone), and up to
-    four bytes of the ASCII punctuation that it ends in."""
+    """A number for each word's shape: the case of its ASCII letters (none, lower, capital, upper, mixed; digits alone), and
+    the ASCII punctuation that it ends in, up to four bytes as they are and more by their hash."""
     data = np.frombuffer(text, np.uint8)
     if not len(begin):
         return np.zeros(0, np.uint64)
-
-    def many(kind: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(kind[data], out=total[1:])
-        return total[end] - total[begin]
-
-    upper, lower, figures = (many(x) for x in (_UPPER, _LOWER, _DIGIT))
+    kinds = [_UPPER, _LOWER, _DIGIT]
+    upper, lower, figures = (y - x for x, y in zip(_before(kinds, data, begin), _before(kinds, data, end), strict=True))
     capital = _UPPER[data[begin]]
     case = np.select([(upper == 0) & (lower > 0), (upper > 1) & (lower == 0), capital & (upper == 1), (upper > 0) & (lower > 0), figures > 0], [1, 2, 3, 4, 5], 0)
     tail, on = np.zeros(len(begin), np.uint64), np.ones(len(begin), bool)
@@ -55,6 +66,10 @@ def shapes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         byte = data[np.maximum(end - k, 0)]
         on &= (end - k >= begin) & _PUNCTUATION[byte]
         tail = tail * np.uint64(257) + np.where(on, byte.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    on &= (end - 5 >= begin) & _PUNCTUATION[data[np.maximum(end - 5, 0)]]
+    for k in np.flatnonzero(on).tolist():
+        word = text[begin[k] : end[k]]
+        tail[k] = xxh64_intdigest(word[len(word.rstrip(_MARKS)) :], 7)
     return tail * np.uint64(8) + case.astype(np.uint64)
 
 
@@ -66,13 +81,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Featurizer:
     """Hashed features of texts."""
 
-    def __init__(self):
-        self.hasher = WordHashes()
-
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Features of all texts' tokens, a row for each token: itself, its shape, and the pair with the next token and
         its shape (``NONE`` at a text's last token); and where each text's rows begin, with the count of all."""
-        joined, begin, end, word, stops = hashed([x.translate(_SPACED) for x in texts], self.hasher)
+        joined, begin, end, word, stops = hashed([x.translate(_SPACED) for x in texts])
         kind, step = shapes(joined, begin, end), np.uint64(0x100000001B3)
         out = np.full((len(word), 4), NONE, np.int32)
         out[:, 0], out[:, 1] = _mix(word), _mix(kind + np.uint64(1 << 50))

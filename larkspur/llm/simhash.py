@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, WordHashes, as_bytes, cut, dealt, fields, gathered, hashed, slices, space_words
+from .common import ASCII_SPACED, as_bytes, cut, dealt, fields, gathered, hashed, slices, space_words
 from .decontam import gram_hashes
 
 RADIUS = 3
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gathered(marked.join(named, "fp").select("doc_id", "fp", "component_id"), rows)
 
 
-def shingle_sets(texts: list[bytes], hasher: WordHashes, shingle: int = COPY_SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], shingle: int = COPY_SHINGLE) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; a shorter text is one shingle."""
-    _, _, _, words, stops = hashed([x.translate(ASCII_SPACED) for x in texts], hasher)
+    _, _, _, words, stops = hashed([x.translate(ASCII_SPACED) for x in texts])
     parts = (words[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True))
     return [np.unique(gram_hashes(x, min(shingle, len(x)))) if len(x) else np.zeros(1, np.uint64) for x in parts]
 
@@ -360,9 +360,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = narrow.schema[0].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
         for batch in slices(batches, 256):
-            found = [wide_simhash(x).tobytes() for x in shingle_sets(as_bytes(batch.column(2)), hasher)]
+            found = [wide_simhash(x).tobytes() for x in shingle_sets(as_bytes(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "key", "fp"])
 
     marked = cut(dealt(narrow.mapInArrow(mark, f"doc_id {kind}, key long, fp binary")))
@@ -382,9 +381,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
 
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
         for batch in slices(batches, 256):
-            found = [x.view(np.int64) for x in shingle_sets(as_bytes(batch.column(1)), hasher)]
+            found = [x.view(np.int64) for x in shingle_sets(as_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "grams"])
 
     def sharded(points: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from larkspur.llm import decontam as D
-from larkspur.llm.common import WordHashes, alnum_words
+from larkspur.llm.common import alnum_words
 
 
 def slow(text, items, span=10):
@@ -26,12 +27,37 @@ def slow(text, items, span=10):
     return len(words), len(hit), sorted(names)
 
 
+class Items(D.Benchmark):
+    """The windows of items, made without Spark; all of them are known by their digests."""
+
+    def __init__(self, items, span, bits=16):
+        self.span, self.gram, self.filter, self.known = span, D.GRAM, D.Filter(bits), {}
+        names, texts = [str(k) for k, _ in items], [x.encode() for _, x in items]
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["name", "text"])
+        for made in D._windows(span, D.GRAM)(iter([batch])):
+            for name, length, digest, key, gram in zip(*(x.to_pylist() for x in made.columns), strict=True):
+                self.known.setdefault(digest, (length, set()))[1].add(name)
+                self.filter.add(np.array([key, gram]).view(np.uint64), length)
+        self.lengths = sorted({n for n, _ in self.known.values()})
+
+    def hits(self, texts):
+        counts, found = self.candidates([x.encode() for x in texts])
+        out = [(int(n), set(), set()) for n in counts]
+        for text, start, length, digests in found:
+            for t, s, x in zip(text.tolist(), start.tolist(), digests, strict=True):
+                if x in self.known:
+                    assert self.known[x][0] == length
+                    out[t][1].update(range(s, s + length))
+                    out[t][2].update(self.known[x][1])
+        return [(n, len(places), sorted(names)) for n, places, names in out]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab c", max_size=40), max_size=4), st.lists(st.text("ab c", max_size=120), max_size=4), st.integers(1, 7))
 def test_hits_like_brute_force(items, texts, span):
     named = [(k, x) for k, x in enumerate(items)]
-    found = D.Windows([(str(k), x.encode()) for k, x in named], span=span).hits([x.encode() for x in texts], WordHashes())
-    assert [(len(hit), int(hit.sum()), sorted(names)) for hit, names in zip(*found, strict=True)] == [slow(x, named, span) for x in texts]
+    for bits in (16, 3):  # a filter of eight bits lets nearly all through
+        assert Items(named, span, bits).hits(texts) == [slow(x, named, span) for x in texts]
 
 
 def test_winnowing_keeps_one_of_each_window():
@@ -51,24 +77,52 @@ def benchmark(spark, texts):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block_bytes", [8_000_000, 40])
-def test_analyse(docs, benchmark, block_bytes):
-    """In one block of the benchmark and in many."""
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_analyse(docs, benchmark, monkeypatch, broadcast):
+    """With the table of windows broadcast, and joined by a shuffle."""
+    monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     want = sorted(((r.doc_id, *slow(r.text, items)) for r in docs.collect()), key=repr)
-    found = D.analyse(docs, benchmark, block_bytes=block_bytes).collect()
-    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in found), key=repr) == want
-    assert all(r.items_sha256 == sha256(",".join(r["items"]).encode()).hexdigest() for r in found)
+    found = D.analyse(docs, benchmark)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in found.collect()), key=repr) == want
+    assert all(r.items_sha256 == sha256(",".join(r["items"]).encode()).hexdigest() for r in found.collect())
     assert any(n for _, _, n, _ in want)
 
 
-def test_keep_clean(docs, benchmark, no_docs):
-    items = [(r.item_id, r.text) for r in benchmark.collect()]
-    kept = D.keep_clean(docs, benchmark, block_bytes=60)
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_keep_clean(docs, benchmark, no_docs, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
+    items = [(r.item_id if r.item_id is not None else -1, r.text) for r in benchmark.collect()]
+    kept = D.keep_clean(docs, benchmark)
     assert kept.schema == docs.schema
     assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if not slow(r.text, items)[1])
     assert D.keep_clean(no_docs, benchmark).count() == 0
     assert D.analyse(docs, benchmark.where("false")).where("n_hit > 0").count() == 0
+    assert D.keep_clean(docs, benchmark.where("false")).count() == docs.count()
+
+
+def test_the_plan_does_not_grow_with_the_benchmark(spark, docs, monkeypatch):
+    """Items by the thousand, and a join by shuffle: as many exchanges and Python stages as for one item."""
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    plans = []
+    for n in (1, 2000):
+        items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(120))) for k in range(n)], "item_id long, text string")
+        found = D.analyse(docs, items)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        plans.append((plan.count("Exchange hashpartitioning"), plan.count("MapInArrow")))
+    assert plans[0] == plans[1] and plans[0][0] > 0
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements, in documents and items: found where they are, and no endless search for a salt."""
+    word = lambda n, first: "".join("ab"[(bin(k).count("1") + first) % 2] for k in range(n))
+    for n in (1024, 2048):
+        texts = [f"{word(n, 0)} x", f"{word(n, 1)} x", f"y {word(n, 1)} x y"]
+        items = [(0, f"{word(n, 0)} x"), (1, f"{word(n, 1)} x")]
+        found = D.analyse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.items) for r in found) == [(k, *slow(x, items)) for k, x in enumerate(texts)]
 
 
 def test_any_shared_span_is_found(spark):
@@ -80,12 +134,11 @@ def test_any_shared_span_is_found(spark):
 
 
 def test_clashing_hashes_do_not_hurt(monkeypatch):
-    """With word hashes of two bits nearly everything clashes; the salts and the comparison of words keep the result exact."""
-    monkeypatch.setattr(D, "WordHashes", lambda: lambda text: (None, None, np.array([sum(x) % 4 for x in text.split()], np.uint64)))
-    calls = []
-    monkeypatch.setattr(D, "window_hashes", lambda w, at, n, salt, real=D.window_hashes: (calls.append(salt), real(w, at, n, salt) if salt < 3 else np.fromiter((hash((salt, i)) % 2**63 for i in range(len(at))), np.uint64, len(at)))[1])
-    D.Windows([("1", b"a b c d"), ("2", b"e b c d")], span=4)
-    assert max(calls) == 3
+    """With word hashes of two bits nearly everything passes the filter; the digests keep the result exact."""
+    real = D.hashed
+    monkeypatch.setattr(D, "hashed", lambda texts: (lambda x: (*x[:3], x[3] % np.uint64(4), x[4]))(real(texts)))
+    items, texts = [(1, "a b c d"), (2, "e b c d")], ["x a b c d e b c d", "a b c e", "e b c d d"]
+    assert Items(items, 4).hits(texts) == [slow(x, items, 4) for x in texts]
 
 
 def test_keep_clean_looks_for_items_without_id(spark):

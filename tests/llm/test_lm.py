@@ -1,13 +1,14 @@
 import random
 from collections import Counter
-from math import log, log10
+from math import log10
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import lm as L
-from larkspur.llm.common import Numbered, WordHashes, space_words
+from larkspur.llm.common import Numbered, space_words, word_hashes
 
 
 def slow_tokens(text):
@@ -25,15 +26,19 @@ def corpus(spark):
 def test_hashes_know_words():
     rng = random.Random(0)
     words = list({bytes(rng.choice(b"ab\x00\xc3\xa9.") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    text = b"  " + b" ".join(words) + b" "
     for most in (1 << 17, 11):
-        found = WordHashes(most)(b"  " + b" ".join(words) + b" ")
-        assert len(set(found[2].tolist())) == len(words)
+        start, stop, found = word_hashes(text, most=most)
+        assert [text[a:b] for a, b in zip(start, stop, strict=True)] == words
+        assert found.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in words]
         table = Numbered()
-        table.add(found[2], np.arange(len(words)))
+        table.add(found, np.arange(len(words)))
         table.add(np.array([1, 2, 3], np.uint64), np.array([7, 8, 9]))
-        assert table.find(found[2]).tolist() == list(range(len(words)))
+        assert table.find(found).tolist() == list(range(len(words)))
         assert table.find(np.array([3, 4, 1], np.uint64)).tolist() == [9, -1, 7]
-    assert len(WordHashes()(b"")[2]) == 0 and len(WordHashes()(b"   ")[2]) == 0
+    assert len(word_hashes(b"")[2]) == 0 and len(word_hashes(b"   ")[2]) == 0
+    long = b"x" * 3_000_000
+    assert [x.tolist() for x in word_hashes(b" " + long + b" a")] == [[1, 3_000_002], [3_000_001, 3_000_003], [xxhash.xxh64_intdigest(x, 42) for x in (long, b"a")]]
 
 
 def slow_base(training, texts):
@@ -64,40 +69,171 @@ def test_model_beats_the_base_on_held_out_text(corpus):
     assert held[0] > held[1] + 100
 
 
+def thue_morse(n, first):
+    return "".join("ab"[(bin(k).count("1") + first) % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = [(k, f"{thue_morse(n, k % 2)} x") for n in (1024, 2048) for k in range(4)]
+    found = L.score(spark.createDataFrame(rows, "doc_id long, text string"), L.train(spark.createDataFrame(rows[:2], "doc_id long, text string"), class_bits=8, weight_bits=10)).collect()
+    assert sorted(r.n_known for r in found) == [2] * 4 + [3] * 4
+
+
+SMALL = {"words": 20, "class_bits": 9, "weight_bits": 10}
+
+
+def whole_probabilities(model, counts, past):
+    """Of one history the probability of every known word, and of what is unseen, bucket by bucket."""
+    layout, out = model.layout, {}
+
+    def factor(k, kind, right):
+        ((_, _, active, target),) = [x for x in layout.examples(np.array([kind]), np.array([right]), past) if x[0] == k]
+        return float(np.exp(L.log_probability(model.weights[k], active, target))[0])
+
+    for kind in range(L.CLASSES):
+        p = factor(0, kind, 0)
+        for member in range(layout.size[kind]):
+            q = p * (factor(layout.of[kind], kind, member) if layout.of[kind] > 0 else 1)
+            if kind != L.RARE:
+                out[kind, member] = q
+                continue
+            own = [(t, c) for t, c in counts.items() if t >> 58 == member and layout.table.find(np.array([t], np.uint64))[0] < 0]
+            total = sum(c + 1 for _, c in own) + 1
+            out |= {t: q * (c + 1) / total for t, c in own} | {("unseen", member): q / total}
+        if not layout.size[kind]:
+            out["no class", kind] = p
+    return out
+
+
 def test_probabilities_sum_to_one(corpus):
-    model = L.train(corpus)
-    active = L.features(*L.tokens([b"der die und", b"w1 w2"], WordHashes()))
-    assert L.probabilities(model.weights, active).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    assert sum(np.exp(L.log_probability(model.weights, active, np.full(len(active), k))) for k in range(L.CLASSES)) == pytest.approx(1, abs=1e-4)
-    counts = corpus.sparkSession.createDataFrame(model.counts.collect()).toPandas()
-    kind = L.classes(counts.token.to_numpy().view(np.uint64))
-    for k in range(L.CLASSES):
-        own = counts.c[kind == k]
-        assert (own.sum(), len(own)) == (model.class_tokens[k], model.class_words[k])
-        assert ((own + 1).sum() + 1) / (model.class_tokens[k] + model.class_words[k] + 1) == pytest.approx(1)
+    model = L.train(corpus, **SMALL)
+    counts = {r.token % 2**64: r.c for r in model.counts.collect()}
+    found, begins = L.tokens([b"der die und", b"w1 w2"])
+    for at in range(len(found)):
+        assert sum(whole_probabilities(model, counts, L.history(found, begins, at, at + 1)).values()) == pytest.approx(1, abs=1e-4)
 
 
 def test_score_is_the_sum_over_tokens(corpus):
-    model = L.train(corpus)
+    model = L.train(corpus, **SMALL)
     counts = {r.token % 2**64: r.c for r in model.counts.collect()}
-    for r in L.score(corpus.limit(15), model).join(corpus, "doc_id").collect():
-        found, begins = L.tokens([r.text.encode()], WordHashes())
-        logs, kind = np.log(L.probabilities(model.weights, L.features(found, begins)).astype(np.float64)), L.classes(found)
-        total = sum(logs[i, k] / log(10) + log10((counts.get(int(h), 0) + 1) / (model.class_tokens[k] + model.class_words[k] + 1)) for i, (k, h) in enumerate(zip(kind.tolist(), found.tolist(), strict=True)))
+    for r in L.score(corpus.limit(4), model).join(corpus, "doc_id").collect():
+        found, begins = L.tokens([r.text.encode()])
+        kind, member = model.layout.targets(found)
+        total = 0.0
+        for i, h in enumerate(found.tolist()):
+            every = whole_probabilities(model, counts, L.history(found, begins, i, i + 1))
+            total += log10(every[int(kind[i]), int(member[i])] if kind[i] != L.RARE else every[h] if h in counts else every["unseen", h >> 58])
         assert r.score == pytest.approx(total, abs=1e-3)
 
 
-def test_gradient():
+def test_the_history_moves_words_within_a_class(spark):
+    """Each word is followed by its own partner, and partners share classes: the trained member factor must tell them apart."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{x} v{x}" for x in rng.choices(range(100), k=300))) for k in range(100)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string"), words=201, class_bits=10, weight_bits=13)
+    found, begins = L.tokens([r[1].encode() for r in rows[:5]])
+    kind, member = model.layout.targets(found)
+    lift = []
+    for k, _, active, target in model.layout.examples(kind, member, L.history(found, begins, 0, len(found))):
+        if k:
+            lift += (L.log_probability(model.weights[k], active, target) - L.log_probability(model.weights[k], active[:, -1:], target)).tolist()
+    assert len(lift) > 1000 and np.mean(lift) > 0.1
+
+
+def test_layout():
+    many = np.sort(np.random.default_rng(0).zipf(1.3, 3000))[::-1]
+    layout = L.Layout(np.arange(1, 3001).astype(np.uint64) << np.uint64(40), many)
+    assert (np.diff(layout.kind) >= 0).all() and layout.size[: L.RARE].sum() == 3000 and layout.size[L.RARE] == L.MEMBERS
+    assert {(k, m) for k, m in zip(layout.kind.tolist(), layout.member.tolist(), strict=True)} == {(k, m) for k in range(L.RARE) for m in range(layout.size[k])}
+    share = [np.sqrt(many[layout.kind == k]).sum() for k in range(L.RARE) if layout.size[k] > 1]
+    assert max(share) < 2 * np.sqrt(many).sum() / (L.CLASSES - 1)
+    weights = layout.weights(np.ones(L.CLASSES), many, np.ones(L.MEMBERS))
+    covered = [np.zeros(len(x), int) for x in weights]
+    for k, rows in L.blocks_of(layout):
+        covered[k][rows] += 1
+    assert all((x == 1).all() for x in covered)
+
+
+def test_history():
+    found = np.arange(1, 8).astype(np.uint64) << np.uint64(20)
+    begins = np.array([0, 1, 1, 4, 7])  # texts of 1, 0, 3 and 3 tokens
+    whole = L.history(found, begins, 0, 7)
+    assert all((L.history(found, begins, a, b) == whole[a:b]).all() for a in range(7) for b in range(a, 8))
+    same = lambda a, b, k: whole[a, k] == whole[b, k]
+    assert same(0, 1, 0) and same(0, 4, 0) and same(1, 5, 1) and same(0, 1, 2)  # nothing before
+    assert not same(1, 2, 0) and not same(3, 2, 1) and not same(5, 6, 0) and not same(5, 4, 0)
+
+
+def slow_update(weights, squares, seen, active, target, step):
+    """A step in plain loops."""
+    errors = []
+    for rows, right in zip(active, target, strict=True):
+        total = [sum(float(weights[r][j]) for r in rows) for j in range(weights.shape[1])]
+        top = max(total)
+        share = [np.exp(x - top) for x in total]
+        errors.append([x / sum(share) - (j == right) for j, x in enumerate(share)])
+    for column in range(active.shape[1]):
+        for row in sorted(set(active[:, column].tolist())):
+            own = [k for k in range(len(active)) if active[k, column] == row]
+            gradient = np.array([sum(errors[k][j] for k in own) for j in range(weights.shape[1])])
+            squares[row] += (gradient**2).sum() / weights.shape[1]
+            weights[row] -= step * gradient / np.sqrt(squares[row])
+            seen[row] += len(own)
+
+
+def test_gradient_like_a_plain_loop():
     rng = np.random.default_rng(0)
-    weights = rng.normal(size=(L.FEATURES + 1, L.CLASSES)).astype(np.float32)
-    active = rng.integers(0, 40, (500, 3)).astype(np.uint16)
-    target = rng.integers(0, L.CLASSES, 500)
-    loss = lambda w: -L.log_probability(w, active, target).mean()
-    replica = L.Replica(weights)
-    for _ in range(30):
-        replica.update(active, target)
-    assert loss(replica.weights) < loss(weights) - 0.5
-    assert replica.seen[-1] == 500 * 30 and replica.seen[:-1].sum() == 3 * 500 * 30
+    weights = [rng.normal(size=(30, 8)).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32)]
+    replica = L.Replica(weights, 0.3)
+    for k, (rows, width) in enumerate(((30, 8), (40, 4))):
+        slow, squares, seen = weights[k].astype(np.float64), np.ones(rows), np.zeros(rows)
+        for _ in range(5):
+            active, target = rng.integers(0, rows, (60, 4)), rng.integers(0, width, 60)
+            replica.update(k, active, target)
+            slow_update(slow, squares, seen, active, target, 0.3)
+        assert replica.weights[k] == pytest.approx(slow, abs=1e-4)
+        assert replica.squares[k][:, 0] == pytest.approx(squares, rel=1e-4)
+        assert (replica.seen[k] == seen).all() and seen.sum() == 5 * 60 * 4
+
+
+def test_averaging_like_a_plain_loop(corpus):
+    """The weights are those of shares trained one after the other and averaged by a plain loop."""
+    options = {**SMALL, "share": 5000, "rounds": 2}
+    model = L.train(corpus, **options)
+    named = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    shares = -(-model.n // 10_000)
+    assert shares > 2
+    rows = corpus.select("text", F.pmod(named, F.lit(2 * shares)).alias("share"), F.xxhash64(named, F.lit(1)).alias("order")).collect()
+    layout, counts = model.layout, {r.token % 2**64: r.c for r in model.counts.collect()}
+    number = {t: int(layout.table.find(np.array([t], np.uint64))[0]) for t in counts}
+    words = np.array([c for _, c in sorted((k, counts[t]) for t, k in number.items() if k >= 0)])
+    buckets, class_tokens = np.zeros(L.MEMBERS), np.bincount(layout.kind, weights=words, minlength=L.CLASSES)
+    for t, k in number.items():
+        if k < 0:
+            buckets[t >> 58] += counts[t]
+    class_tokens[L.RARE] = buckets.sum()
+    weights = layout.weights(class_tokens, words, buckets)
+    for k in range(2):
+        total, seen = [np.zeros(x.shape) for x in weights], [np.zeros(len(x)) for x in weights]
+        for share in range(shares):
+            learner = L.Learner(layout, weights)
+            for r in sorted((r for r in rows if r.share == 2 * share + k), key=lambda r: r.order):
+                learner.add([r.text.encode()])
+            learner.learn(learner.size)
+            for j, x in enumerate(learner.replica.weights):
+                total[j] += (x - weights[j]).astype(np.float16) * learner.replica.seen[j][:, None].astype(float)
+                seen[j] += learner.replica.seen[j]
+        weights = [x + (t / np.maximum(n, 1)[:, None]).astype(np.float32) for x, t, n in zip(weights, total, seen, strict=True)]
+    assert all((a == pytest.approx(b, abs=1e-5)) for a, b in zip(model.weights, weights, strict=True))
+
+
+def test_scores_do_not_depend_on_partitions(corpus):
+    def scores(n):
+        docs = corpus.repartition(n)
+        return {r.doc_id: r.score for r in L.score(docs, L.train(docs, **SMALL, share=5000)).collect()}
+
+    few, many = scores(2), scores(12)
+    assert few == pytest.approx(many, rel=1e-9)
 
 
 def test_nothing(docs, no_docs):

@@ -31,6 +31,37 @@ def test_ids_equal_the_tokenizers(encoder, texts):
         assert small([x.encode()])[0].tolist() == plain(encoder, x)
 
 
+def test_letters_beside_marks(encoder):
+    """Every letter, also such as are taken apart into a letter and a combining mark, before and after punctuation."""
+    letters = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    for at in range(0, len(letters), 2000):
+        words = [y for x in letters[at : at + 2000] for y in (x + ">", ">" + x, f"x{x}'s", f"{x}{x}.")]
+        want = [x.ids for x in encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder([x.encode() for x in words], None)] == want
+    assert encoder(["\u0130>".encode()], None)[0].tolist() == plain(encoder, "\u0130>")[:-1]
+
+
+def test_words_that_polynomial_hashes_confuse(encoder):
+    words = ["".join("ab"[(bin(k).count("1") + first) % 2] for k in range(n)) for n in (1024, 2048) for first in (0, 1)]
+    assert [x.tolist() for x in encoder([x.encode() for x in words])] == [plain(encoder, x) for x in words]
+    assert encoder([" ".join(words).encode()])[0].tolist() == plain(encoder, " ".join(words))
+
+
+def test_long_words(encoder):
+    """Words encoded in pieces."""
+    rng = random.Random(3)
+    for size, overlap in ((64, 32), (200, 64), (1000, 128)):
+        for alphabet in ("ab", "abcdefghij", "a", "thequick", "日本語テスト", "ab'st!.", "ae\u0301\u0308İ3x"):
+            for _ in range(12):
+                word = "".join(rng.choices(alphabet, k=rng.randint(100, 3000)))
+                assert encoder.long_ids(word, size, overlap).tolist() == plain(encoder, word)[:-1]
+    long = "".join(rng.choices("abcdefghijklmnop日本", k=200_000))
+    small = P.Encoder()
+    for text in (long, f"a {long} b {long}.", f"x {long[:30000]} y"):
+        assert small([text.encode(), b"c"])[0].tolist() == plain(encoder, text)
+    assert small.pool.size < 200_000
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(5)
     for _ in range(60):

@@ -55,11 +55,35 @@ def test_shapes():
         data = b"x " + word.encode() + b" y"
         return int(Q.shapes(data, np.array([2]), np.array([len(data) - 2]))[0])
 
-    same = [("ÉCOLE!!", "UP!!"), ("word,", "été,"), ("***", "***"), ("Word", "Thing"), ("12", "7"), ("a", "b"), ("a!!!!!", "abc!!!!"), ("aBc", "dE-F")]
+    same = [("ÉCOLE!!", "UP!!"), ("word,", "été,"), ("***", "***"), ("Word", "Thing"), ("12", "7"), ("a", "b"), ("a!!!!", "abc!!!!"), ("a!!!!!!!", "abc!!!!!!!"), ("aBc", "dE-F")]
     assert all(shape(a) == shape(b) for a, b in same)
+    assert shape("a" + "!" * 5000) == shape("b" + "!" * 5000) != shape("b" + "!" * 5001)
+    assert shape("a" + "b" * 3_000_000 + "A") == shape("bC")
     assert len({shape(a) for a, _ in same}) == len(same) and shape("x!") != shape("x?") != shape("x")
 
 
+def test_updates_like_a_plain_loop():
+    rng = np.random.default_rng(1)
+    model, z, n = Q.Ftrl(), {}, {}
+    for _ in range(200):
+        at = np.sort(rng.choice(40, 6, replace=False))
+        value, label = rng.random(6) * 3, int(rng.integers(0, 2))
+
+        def weight(i):
+            if abs(z.get(i, 0)) <= model.l1:
+                return 0.0
+            return -(z[i] - (model.l1 if z[i] > 0 else -model.l1)) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+        w = [weight(i) for i in at.tolist()]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, value.tolist(), strict=True))))
+        for i, x, own in zip(at.tolist(), value.tolist(), w, strict=True):
+            g, before = (p - label) * x, n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / model.alpha * own
+            n[i] = before + g * g
+        model.update(at, value, label)
+    assert model.weights(np.arange(40)) == pytest.approx([weight(i) if i in z else 0.0 for i in range(40)], abs=1e-9)
+
+
 def test_odd_rows(docs, no_docs, labelled):
     weights = Q.train(*labelled)
     found = Q.score(docs, weights).collect()

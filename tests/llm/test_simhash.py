@@ -162,7 +162,7 @@ def test_near_copies_like_brute_force(spark):
     for k, r in enumerate(root):
         least.setdefault(r, k)
     assert sorted((r.doc_id, r.component_id) for r in S.near_copies(docs).collect()) == [(k, least[r]) for k, r in enumerate(root)]
-    sets = S.shingle_sets([(x or "").encode() for x in texts], S.WordHashes())
+    sets = S.shingle_sets([(x or "").encode() for x in texts])
     points = pa.array([S.wide_simhash(x).tobytes() for x in sets])
     keys = pa.array(range(len(texts)))
     rows = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), keys, points, keys, pa.array([x.view(np.int64) for x in sets])], names=["shard", "key", "fp", "root", "grams"])
