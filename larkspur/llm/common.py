@@ -182,6 +182,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`scratch_path` named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what :func:`cut` wrote for ``df``, once nothing will read it any more, not even to replace a lost executor's work:
+    all that was made from it has been cut itself."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        drop_path(df.sparkSession, file.get())
+
+
 def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """``df``, of at most about ``rows`` narrow rows, in no more partitions than these fill: a shuffle's many small
     partitions are read by fewer tasks, and a cut of them writes fewer files."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_text, licenses, lm, media, packing, quality, sharding, simhash, simhash_sql, warc
-from .common import scratch_path
+from .common import cut, drop_path, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
-    found = warc.records(warc.read(spark, path, warc.write(pages, path)))
+    found = cut(warc.records(warc.read(spark, path, warc.write(pages, path))))
+    drop_path(spark, path)
     kind = pages.schema["page_id"].dataType
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 

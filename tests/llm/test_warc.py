@@ -27,7 +27,7 @@ def want(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk,broadcast", [(W.CHUNK_BYTES, 50_000), (100, 0)])
+@pytest.mark.parametrize("chunk,broadcast", [(W.CHUNK_BYTES, 500_000), (100, 1)])
 def test_round_trip(spark, pages, tmp_path, monkeypatch, chunk, broadcast):
     monkeypatch.setattr(W, "BROADCAST_ROWS", broadcast)
     path = str(tmp_path / "w")
@@ -43,6 +43,24 @@ def test_round_trip(spark, pages, tmp_path, monkeypatch, chunk, broadcast):
     assert {hashlib.sha1(x).hexdigest() for x in whole.values()} == {x[2] for x in got if x[3] == "response"}
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 1])
+def test_no_payload_is_shuffled(spark, pages, tmp_path, monkeypatch, broadcast):
+    """Whether the repeated digests are broadcast at once or, beyond the limit, in parts."""
+    monkeypatch.setattr(W, "BROADCAST_ROWS", broadcast)
+    pages.write.parquet(str(tmp_path / "pages"))
+    found, _ = W.texts(spark.read.parquet(str(tmp_path / "pages")), "run")
+    plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\(\d+\) (?:Exchange|BroadcastExchange|ShuffleQueryStage)[^\n]*\nInput[^\n]*: \[(.*?)\]\n", plan)
+    assert moved and not any("payload" in x or "html" in x or "value" in x for x in moved)
+    assert plan.count("LeftAnti") >= (1 if broadcast > 1 else 3)
+
+
+def test_the_archives_are_read_once(spark, pages, tmp_path):
+    path = str(tmp_path / "w")
+    found = W.records(W.read(spark, path, W.write(pages, path, chunk_bytes=100)))
+    assert found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].count("FileScan text") == 1
+
+
 def test_files_are_warc(pages, tmp_path):
     """A plain reader that goes by Content-Length alone gets through every file."""
     W.write(pages, str(tmp_path / "w"), chunk_bytes=50_000)
@@ -64,11 +82,12 @@ def test_files_are_warc(pages, tmp_path):
 def test_damage_is_seen(spark, pages, tmp_path):
     path = tmp_path / "w"
     run = W.write(pages.coalesce(1), str(path), chunk_bytes=1000)
-    (file,) = path.glob("part-*")
+    (file,) = (x for x in path.glob("part-*") if b"WARC-Type: continuation" in x.read_bytes())
     for crc in path.glob(".part-*.crc"):
         crc.unlink()
     data = file.read_bytes()
-    for old, new in ((b"s" * 1000, b"s" * 999 + b"t"), (b"<p>", b"<q>")):
+    last = data.rindex(b"WARC-Type: continuation")
+    for old, new in ((b"s" * 1000, b"s" * 999 + b"t"), (b"<p>", b"<q>"), (data[last:], b"")):
         file.write_bytes(data.replace(old, new, 1))
         with pytest.raises(Exception, match="damaged record"):
             W.records(W.read(spark, str(path), run)).collect()
