@@ -10,6 +10,11 @@ from hypothesis import strategies as st
 from larkspur.llm import media as M
 
 
+def paeth(a, b, c):
+    p = a + b - c
+    return min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+
+
 def filtered(image, kinds):
     """The inverse of unfilter, sample by sample."""
     rows = []
@@ -19,7 +24,7 @@ def filtered(image, kinds):
             a = int(image[y, x - 1]) if x else 0
             b = int(image[y - 1, x]) if y else 0
             c = int(image[y - 1, x - 1]) if x and y else 0
-            guess = [0, a, b, (a + b) // 2, M._paeth(a, b, c)][kind]
+            guess = [0, a, b, (a + b) // 2, paeth(a, b, c)][kind]
             line.append((int(image[y, x]) - guess) % 256)
         rows.append(line)
     return np.array(rows, np.uint8)
@@ -33,6 +38,32 @@ def test_unfilter(height, width, data):
     assert (M.unfilter(filtered(image, kinds)) == image).all()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.lists(st.integers(0, 4), min_size=9, max_size=9)), min_size=1, max_size=6), st.integers(1, 12), st.integers(0, 99))
+def test_unfilter_several_images(shapes, width, seed):
+    rng = np.random.default_rng(seed)
+    images = [rng.integers(0, 256, (h, width)).astype(np.uint8) for h, _ in shapes]
+    rows = np.concatenate([filtered(x, kinds[: len(x)]) for x, (_, kinds) in zip(images, shapes, strict=True)])
+    assert (M.unfilter(rows, [len(x) for x in images]) == np.concatenate(images)).all()
+
+
+def test_chosen_filters():
+    """What is written is undone, uses all five filters, and is what the plain loop makes for the filters chosen."""
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[:200, :64]
+    parts = [rng.integers(0, 256, (200, 64)), x * 3 + rng.integers(0, 9, (200, 64)), np.cumsum(rng.integers(-3, 4, (200, 64)), axis=0) + 90, (x + y) * 2 + rng.integers(0, 3, (200, 64)), np.zeros((200, 64)), 100 + np.cumsum(rng.integers(-9, 10, (200, 64)), axis=1) // 2 + y // 3]
+    image = np.concatenate(parts).astype(np.uint8)
+    rows = M.filtered(image, block=70)
+    assert set(rows[:, 0].tolist()) == {0, 1, 2, 3, 4} and (rows[:: M.FREE, 0] < 2).all()
+    assert (rows == filtered(image, rows[:, 0].tolist())).all() and (M.unfilter(rows) == image).all()
+    small = [M.encode_png(x.astype(np.uint8).tobytes()) for x in parts]
+    assert all((a == b.astype(np.uint8)).all() for a, b in zip(M.decode_all([*small, M.encode_png(bytes(30), 10)]), [*parts, np.zeros((3, 10))], strict=True))
+    for k in range(0, 1200, 131):  # not worse than any single filter in sums of absolute differences
+        cost = lambda row: np.abs(row[1:].view(np.int8).astype(int)).sum()
+        kinds = rows[:, 0].tolist()
+        assert cost(rows[k]) <= min(cost(filtered(image[max(k - 1, 0) : k + 1], [0] * (k > 0) + [j])[-1]) for j in (range(2) if k % M.FREE == 0 else range(5))), kinds[k]
+
+
 def test_filtered_file_is_read():
     image = np.random.default_rng(0).integers(0, 256, (40, 64)).astype(np.uint8)
     packed = zlib.compress(filtered(image, [k % 5 for k in range(40)]).tobytes())
