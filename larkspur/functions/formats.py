@@ -8,7 +8,11 @@ from pyspark.sql import types as T
 
 
 def text(field: T.StructField, col: Column) -> Column:
-    """Numbers with two decimals, timestamps to the second, NULL as NULL."""
+    """Numbers with two decimals, whole and decimal ones without a detour over doubles; timestamps to the second; NULL as NULL."""
+    if isinstance(field.dataType, T.IntegralType):
+        return F.concat(col.cast("string"), F.lit(".00"))
+    if isinstance(field.dataType, T.DecimalType):
+        return F.round(col, 2).cast(T.DecimalType(38, 2)).cast("string")
     if isinstance(field.dataType, T.NumericType):
         return F.when(col.isNotNull(), F.format_string("%.2f", col.cast("double")))
     if isinstance(field.dataType, T.TimestampNTZType | T.TimestampType):

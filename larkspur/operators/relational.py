@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larkspur.shared import cut
 
 #: A side is broadcast by hint only below this many bytes by the optimizer's estimate; beyond it Spark decides.
 BROADCAST_BYTES = 64 << 20
@@ -54,10 +57,20 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def kind(of: T.DataType) -> str:
+    """What a type's values compare with: numbers with numbers, times with times, else only the same type."""
+    if isinstance(of, T.NumericType):
+        return "number"
+    return "time" if isinstance(of, T.TimestampType | T.TimestampNTZType | T.DateType) else of.simpleString()
+
+
 def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
-    """Join on one or more key pairs (left name, right name); both sides' columns stay. NULL keys match nothing."""
+    """Join on one or more key pairs (left name, right name); both sides' columns stay. NULL keys match nothing. Keys of
+    different kinds are an error, not silently cast."""
     on = None
     for a, b in keys:
+        if kind(left.schema[a].dataType) != kind(right.schema[b].dataType):
+            raise TypeError(f"join key {a} is a {kind(left.schema[a].dataType)}, {b} a {kind(right.schema[b].dataType)}")
         term = left[a] == right[b]
         on = term if on is None else on & term
     return left.join(right, on, how)
@@ -87,3 +100,14 @@ def order_by(df: DataFrame, *keys: tuple[str, str] | str) -> DataFrame:
     """Global sort by (column, "asc" or "desc") or column; NULL always last."""
     pairs = [(k, "asc") if isinstance(k, str) else k for k in keys]
     return df.orderBy(*[F.col(c).desc_nulls_last() if way.lower() == "desc" else F.col(c).asc_nulls_last() for c, way in pairs])
+
+
+def ranked(df: DataFrame, *keys: tuple[str, str] | str, name: str = "position") -> DataFrame:
+    """The global sort with each row's place in it, from 1. The sort's ranges stay where they are: a row's place is its place in its range
+    plus the counts of the ranges before, one row a range, so no task sees more than a range."""
+    placed = cut(order_by(df, *keys).withColumn("_at", F.monotonically_increasing_id()))  # the range, and 33 bits of the place in it
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_range")).count()
+    total = counts.agg(F.sort_array(F.collect_list(F.struct("_range", "count"))).alias("all"))
+    ahead = total.select(F.posexplode("all").alias("k", "own"), "all").select(F.col("own._range").alias("_range"), F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0).cast("long"), lambda n, x: n + x["count"]).alias("_ahead"))
+    joined = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(ahead), "_range")  # a row for each range
+    return joined.select(*df.columns, (F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

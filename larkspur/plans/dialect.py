@@ -7,7 +7,6 @@ import re
 
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][\w$]*|\d+(?:\.\d+)?|<=|>=|<>|!=|==|\s+|.", re.S)
 _ENDS_KEYS = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "GROUPS", "UNION", "EXCEPT", "INTERSECT", "MINUS", "WINDOW", ";"}
-_COMPARES = {"=", "==", "<", ">", "<=", ">=", "<>", "!="}
 
 
 def tokens(text: str) -> list[str]:
@@ -51,17 +50,48 @@ def nulls_last(text: str) -> str:
     return "".join(x + " NULLS LAST" * (k in after) for k, x in enumerate(parts))
 
 
+#: Words after which an opening bracket with a query in it holds no scalar.
+_NO_SCALAR = {"IN", "EXISTS", "ANY", "SOME", "ALL", "AS", "FROM", "JOIN", "LATERAL", "UNION", "EXCEPT", "INTERSECT", "MINUS", "DISTINCT", "ARRAY"}
+_TABLES_FOLLOW, _TABLES_END = {"FROM", "JOIN", "USING"}, {"SELECT", "WHERE", "ON", "GROUP", "HAVING", "ORDER", "LIMIT", "QUALIFY", "WINDOW", "UNION", "EXCEPT", "INTERSECT", "MINUS", "SET"}
+_ONE_ROW = {"MIN", "MAX", "AVG", "SUM", "COUNT"}
+
+
+def _one_row(parts: list[str], at: int) -> bool:
+    """Whether the query whose SELECT is at ``at`` begins with an aggregate and has no GROUP BY of its own: it has one row anyway."""
+    call = _next(parts, at)
+    if call < 0 or parts[call].upper() not in _ONE_ROW:
+        return False
+    depth = 0
+    for x in parts[at:]:
+        depth += (x == "(") - (x == ")")
+        if depth < 0:
+            return True
+        if depth == 0 and x.upper() in ("GROUP", "UNION"):
+            return False
+    return True
+
+
 def first_row_scalars(text: str) -> str:
-    """Limits each subquery that stands right of a comparison to its first row."""
+    """Limits each scalar subquery, wherever an expression may stand, to its first row."""
     parts, opened, out = tokens(text), [], []
+    tables = [False]  # for each open bracket and the whole: does a table stand here, not an expression
     for k, token in enumerate(parts):
+        word = token.upper()
         if token == "(":
             before, inside = _next(parts, k, -1), _next(parts, k)
-            scalar = before >= 0 and parts[before] in _COMPARES and inside >= 0 and parts[inside].upper() == "SELECT"
+            last = parts[before].upper() if before >= 0 else ""
+            scalar = inside >= 0 and parts[inside].upper() == "SELECT" and last not in _NO_SCALAR and not tables[-1] and before >= 0 and not _one_row(parts, inside)
             opened.append(scalar)
+            tables.append(tables[-1])
             out.append("(SELECT * FROM (" if scalar else token)
-        elif token == ")" and opened:
+            continue
+        if token == ")" and opened:
+            tables.pop()
             out.append(") LIMIT 1)" if opened.pop() else token)
-        else:
-            out.append(token)
+            continue
+        if word in _TABLES_FOLLOW:
+            tables[-1] = True
+        elif word in _TABLES_END:
+            tables[-1] = False
+        out.append(token)
     return "".join(out)

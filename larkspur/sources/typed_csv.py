@@ -7,6 +7,7 @@ read become NULL, short rows are filled with NULL, and white space around cells
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ def column(token: str, float32: bool = False) -> T.StructField:
 
 
 def header_schema(line: str, float32: bool = False) -> T.StructType:
-    """The schema that a header line declares."""
-    return T.StructType([column(x, float32) for x in line.split(",")])
+    """The schema that a header line declares; names that hold a comma are quoted."""
+    return T.StructType([column(x, float32) for x in next(csv.reader([line.lstrip("\ufeff").rstrip("\r\n")], skipinitialspace=True))])
 
 
 def read_schema(spark: SparkSession, path: str, float32: bool = False) -> T.StructType:

@@ -29,6 +29,25 @@ def test_null_keys_do_not_join(t):
     assert R.equi_join(t, other.where("false"), [("k", "k2")]).count() == 0
 
 
+def test_keys_of_different_kinds_are_an_error(t):
+    other = R.project(t, ["k", "s", "x"], names=["k2", "s2", "x2"])
+    assert R.equi_join(t, other, [("k", "x2")]).count() == 3  # whole numbers with doubles
+    with pytest.raises(TypeError, match="k is a number, s2 a string"):
+        R.equi_join(t, other, [("k", "s2")])
+    with pytest.raises(TypeError, match="d is a time"):
+        R.equi_join(t.withColumn("d", F.current_timestamp()), other, [("d", "s2")])
+
+
+def test_ranked(spark):
+    rows = [(k * 7919 % 1000, k % 13 if k % 5 else None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    found = R.ranked(df, ("v", "desc"), "k")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.k, r.v) for r in sorted(found.collect(), key=lambda r: r.position)] == want
+    assert sorted(r.position for r in found.collect()) == list(range(1, 1001))
+    assert R.ranked(df.where("false"), "k").count() == 0
+
+
 def test_small_is_bounded(t):
     assert "broadcast" in R.small(t)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in R.small(t, limit=0)._jdf.queryExecution().logical().toString().lower()

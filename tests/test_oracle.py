@@ -37,6 +37,23 @@ def test_query(spark, duck, name):
     same(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("names", [("filter_gt", "filter_lt", "filter_eq", "filter_ne", "filter_le", "filter_ge"), ("nlj_scalar_gt", "nlj_scalar_lt", "nlj_scalar_eq", "nlj_scalar_ne", "nlj_scalar_le", "nlj_scalar_ge"), ("filter_string_lt", "filter_string_le", "filter_string_gt")])
+def test_comparisons_differ(duck, names):
+    """No two comparisons have the same rows, and none is empty: a wrong sign would show."""
+    found = [frozenset(duck.execute(ORACLE_SQL[x]).fetchall()) for x in names]
+    assert len(set(found)) == len(names) and all(found)
+
+
+def test_results_are_not_empty(duck):
+    assert [x for x, text in ORACLE_SQL.items() if not duck.execute(text).fetchone()] == []
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_window_in_one_task(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

@@ -22,6 +22,8 @@ def test_header():
     schema = typed_csv.header_schema("a (N) (P),b (D),c (T),d,e (ND)\r\n")
     assert [(x.name, x.dataType) for x in schema] == [("a", T.DoubleType()), ("b", T.TimestampNTZType()), ("c", T.StringType()), ("d", T.StringType()), ("e", T.DoubleType())]
     assert schema["a"].metadata["primary_key"] and not schema["b"].metadata["primary_key"]
+    schema = typed_csv.header_schema('\ufeff"price, net (N)" , "say ""x"" (T)",k (D)')
+    assert [(x.name, x.dataType) for x in schema] == [("price, net", T.DoubleType()), ('say "x"', T.StringType()), ("k", T.TimestampNTZType())]
 
 
 def test_read(spark, tables):
@@ -72,6 +74,13 @@ def test_command_line(spark, tables, tmp_path):
     assert sorted(part.read_text().splitlines()[1:]) == ["Ann,Ann", "Di,Di"]
 
 
+def test_whole_numbers_keep_their_digits(spark, tmp_path):
+    df = spark.sql("select 9007199254740993 as n, cast('12345678901234567890.125' as decimal(30,3)) as d, -0.005D as x, cast(null as bigint) as z")
+    result_csv.write(df, str(tmp_path / "o"), one_file=True)
+    (part,) = (tmp_path / "o").glob("part-*.csv")
+    assert part.read_text().splitlines()[1].startswith("9007199254740993.00,12345678901234567890.13,-0.0")
+
+
 def test_repeated_names():
     assert result_csv.unique(["a", "b", "a", "a"]) == ["a", "b", "a_2", "a_3"]
 
