@@ -51,7 +51,7 @@ SAME_SQL = {
     "scalar_datetime": "select o_orderkey from orders where o_orderdate > (select min(l_shipdate) from lineitem)",
     "scalar_first_row": "select o_orderkey from orders where o_totalprice > (select c_acctbal from customer order by c_acctbal desc, c_custkey limit 1)",
     "correlated_sum": "select c.c_name, (select round(sum(o.o_totalprice), 2) from orders o where o.o_custkey = c.c_custkey) as total from customer c",
-    "threeway_full": "select c.c_name, o.o_orderkey, p.p_name from customer c, orders o, lineitem l, part p where o.o_custkey = c.c_custkey and l.l_orderkey = o.o_orderkey and l.l_partkey = p.p_partkey and p.p_retailprice > 940 and o.o_orderdate > '1995-06-01 00:00:00' and o.o_totalprice > (select avg(o_totalprice) from orders)",
+    "threeway_full": "select c.c_name, o.o_orderkey, p.p_name from customer c, orders o, lineitem l, part p where o.o_custkey = c.c_custkey and l.l_orderkey = o.o_orderkey and l.l_partkey = p.p_partkey and p.p_retailprice > 909 and o.o_orderdate > '1995-06-01 00:00:00' and o.o_totalprice > (select avg(o_totalprice) from orders)",
     "agg_join": "select min(o.o_totalprice) as least, max(o.o_totalprice) as most, count(o.o_orderkey) as n from orders o, customer c where o.o_custkey = c.c_custkey and c.c_acctbal > 5000",
     "agg_avg_join": "select round(avg(o.o_totalprice), 6) as mean from orders o, customer c where o.o_custkey = c.c_custkey",
     "agg_empty": "select count(*) as n, count(o_orderkey) as k, sum(o_totalprice) as s, avg(o_totalprice) as a, min(o_orderstatus) as lo, max(o_orderdate) as hi from orders where o_totalprice < 0",
