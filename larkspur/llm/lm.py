@@ -4,8 +4,8 @@
 
 Classes and members are fixed by the training counts. The ``words`` most frequent words are dealt, by falling count, to classes with equal sums of the counts'
 square roots, so that classes of frequent words are small; each word is a member of its own. All other words, seen or not, form one more class, whose
-members are the ``MEMBERS`` buckets of the word's hash. Both factors are trained softmaxes over the same hashed features of the history: the word
-before (bigram), the word before that (skip) and both together (trigram), beside a bias. Only within a bucket of rare words is a
+members are the ``MEMBERS`` buckets of the word's hash. Both factors are trained softmaxes over hashed features of the history: the word
+before (bigram), the word before that (skip) and, for the class, both together (trigram; for the members it adds a tenth to the time and nothing to the held-out score), beside a bias. Only within a bucket of rare words is a
 word's share its add-one estimate, where all unseen words of a bucket share the room of one. Each factor sums to one.
 
 Weights lie in tables of a stated size: ``2 ** class_bits`` rows for the class, and for the members ``2 ** member_bits`` weights for each width, classes being padded to widths
@@ -40,19 +40,19 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACED, Numbered, as_bytes, bounded_batches, cut, fields, hashed, slices
 
-CLASSES = 64
+CLASSES = 32
 MEMBER_BITS = 6
 MEMBERS = 1 << MEMBER_BITS
 #: The class of the words that are no members of their own.
 RARE = CLASSES - 1
-WORDS = 4096
+WORDS = 2048
 CLASS_BITS = 16
 WEIGHT_BITS = 19
 HEAD = 1 << 19
 SHARE = 4_000_000
 ROUNDS = 2
-STEP = 0.2
-BATCH = 4096
+STEP = 0.15
+BATCH = 16384
 #: Weights of a table that are exchanged as one row.
 BLOCK = 1 << 15
 #: Stand for the end token and for what lies before a text's first word.
@@ -68,12 +68,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def history(found: np.ndarray, begins: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Hashes of the three features of the tokens from ``low`` to ``high``, as columns."""
+    """Hashes of the three features of the tokens from ``low`` to ``high``, a row for each feature."""
     at = np.arange(low, high)
     first = begins[np.searchsorted(begins, at, side="right") - 1]  # where each token's text begins
     last = np.where(at > first, found[np.maximum(at - 1, 0)], BEFORE)
     before = np.where(at > first + 1, found[np.maximum(at - 2, 0)], BEFORE)
-    out = np.stack([last * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(1), before * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(2), last * np.uint64(0xD6E8FEB86659FD93) + before * np.uint64(0xA0761D6478BD642F)], axis=1)
+    out = np.stack([last * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(1), before * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(2), last * np.uint64(0xD6E8FEB86659FD93) + before * np.uint64(0xA0761D6478BD642F)])
     return (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -100,12 +100,12 @@ class Layout:
         self.table.add(found, np.arange(len(found)))
         width = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
         self.of = np.full(CLASSES, -1)  # the table of a class's members; a class of one needs none
-        self.bias = np.zeros(CLASSES, np.int64)  # the row of its biases there
+        self.bias = np.zeros(CLASSES, np.int64)  # which row of biases there is its own
         self.tables: list[tuple[int, int, int]] = [(class_bits, CLASSES, 1)]  # bits of a hashed row, width, rows of biases
         for w in np.unique(width[size > 1]).tolist():
             own = np.flatnonzero((width == w) & (size > 1))
-            bits = max(1, weight_bits - w.bit_length() + 1)
-            self.of[own], self.bias[own] = len(self.tables), (1 << bits) + np.arange(len(own))
+            bits = min(16, max(1, weight_bits - w.bit_length() + 1))
+            self.of[own], self.bias[own] = len(self.tables), np.arange(len(own))
             self.tables.append((bits, w, len(own)))
 
     def weights(self, class_tokens: np.ndarray, word_tokens: np.ndarray, bucket_tokens: np.ndarray) -> list[np.ndarray]:
@@ -114,7 +114,7 @@ class Layout:
         out[0][-1] = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
         for k in np.flatnonzero(self.of > 0).tolist():
             own = bucket_tokens if k == RARE else word_tokens[self.kind == k]
-            row = out[self.of[k]][self.bias[k]]
+            row = out[self.of[k]][(1 << self.tables[self.of[k]][0]) + self.bias[k]]
             row[: len(own)] = np.log((own + 1) / (own.sum() + len(own)))
             row[len(own) :] = NEVER
         return out
@@ -127,37 +127,57 @@ class Layout:
         kind[known], member[known] = self.kind[number[known]], self.member[number[known]]
         return kind, member
 
-    def examples(self, kind: np.ndarray, member: np.ndarray, past: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
-        """For each table: its number, which tokens go through it, the four rows of weights that each has, the place that is right."""
-        bits = self.tables[0][0]
-        yield 0, slice(None), np.column_stack([(past >> np.uint64(64 - bits)).astype(np.int64), np.full(len(kind), 1 << bits)]), kind
+    def examples(self, kind: np.ndarray, member: np.ndarray, past: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, list[np.ndarray], np.ndarray]]:
+        """For each table: its number, which tokens go through it, the rows of weights that each adds up, the place that is right. The rows of features are
+        uint16, which numpy sorts by their digits; the last ones, of biases, are counted from the first of these."""
+        yield 0, slice(None), [*self.rows(0, past), np.zeros(len(kind), np.uint16)], kind
         of = self.of[kind]
         for k in range(1, len(self.tables)):
             at = np.flatnonzero(of == k)
             if len(at):
-                mixed = (past[at] ^ (kind[at, None].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
-                yield k, at, np.column_stack([(mixed >> np.uint64(64 - self.tables[k][0])).astype(np.int64), self.bias[kind[at]]]), member[at]
+                mixed = (past[:2, at] ^ (kind[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
+                yield k, at, [*self.rows(k, mixed), self.bias[kind[at]].astype(np.uint16)], member[at]
+
+    def rows(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.tables[k][0])).astype(np.uint16)
+
+
+def sums(weights: np.ndarray, active: list[np.ndarray], biases: int) -> np.ndarray:
+    """Of each token the sum of its rows, the greatest 0; the last ``biases`` rows are those of the biases."""
+    out = np.take(weights[len(weights) - biases :], active[-1], axis=0)
+    for column in active[:-1]:
+        out += np.take(weights, column, axis=0)
+    top = out
+    while top.shape[1] > 1:  # widths are powers of two; by halves this is several times faster than a maximum along the short axis
+        half = top.shape[1] // 2
+        top = np.maximum(top[:, :half], top[:, half:])
+    out -= top
+    return out
 
 
-def sums(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Of each token the sum of its rows, the greatest 0."""
-    out = np.take(weights, active[:, 0], axis=0)
-    for k in range(1, active.shape[1]):
-        out += np.take(weights, active[:, k], axis=0)
-    out -= out.max(axis=1, keepdims=True)
+def totals(rows: np.ndarray, order: np.ndarray, first: np.ndarray, many: np.ndarray, few: int = 6) -> np.ndarray:
+    """Sums of ``rows`` over runs of ``order``, of which most are short: the k-th rows of all runs at once, and what long runs have beyond that one run at a time."""
+    out, k = rows[order[first]], 1
+    at = np.flatnonzero(many > 1)
+    while len(at) and k < few:
+        out[at] += rows[order[first[at] + k]]
+        k += 1
+        at = at[many[at] > k]
+    for j in at.tolist():
+        out[j] += rows[order[first[j] + k : first[j] + many[j]]].sum(axis=0)
     return out
 
 
-def probabilities(weights: np.ndarray, active: np.ndarray) -> np.ndarray:
-    out = sums(weights, active)
+def probabilities(weights: np.ndarray, active: list[np.ndarray], biases: int) -> np.ndarray:
+    out = sums(weights, active, biases)
     np.exp(out, out=out)
     out /= out.sum(axis=1, keepdims=True)
     return out
 
 
-def log_probability(weights: np.ndarray, active: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_probability(weights: np.ndarray, active: list[np.ndarray], biases: int, target: np.ndarray) -> np.ndarray:
     """Natural logarithm of the target's probability."""
-    out = sums(weights, active)
+    out = sums(weights, active, biases)
     chosen = out[np.arange(len(target)), target].astype(np.float64)
     np.exp(out, out=out)
     return chosen - np.log(out.sum(axis=1))
@@ -171,18 +191,23 @@ class Replica:
         self.squares = [np.full((len(x), 1), 1.0, np.float32) for x in weights]
         self.seen = [np.zeros(len(x), np.float32) for x in weights]
 
-    def update(self, k: int, active: np.ndarray, target: np.ndarray) -> None:
+    def update(self, k: int, active: list[np.ndarray], biases: int, target: np.ndarray) -> None:
         """One step over a mini-batch in table ``k``: the gradient at the weights before it, taken up column by column of ``active``, by its rows."""
-        error = probabilities(self.weights[k], active)
+        error = probabilities(self.weights[k], active, biases)
         error[np.arange(len(target)), target] -= 1
-        for column in active.T:
+        for column in active:
+            own = slice(len(self.weights[k]) - biases, None) if column is active[-1] else slice(None)
+            weights, squares, seen = self.weights[k][own], self.squares[k][own], self.seen[k][own]
             order = np.argsort(column, kind="stable")
             ordered = column[order]
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            at, gradient = ordered[first], np.add.reduceat(np.take(error, order, axis=0), first, axis=0)
-            self.squares[k][at] += np.einsum("ij,ij->i", gradient, gradient)[:, None] / error.shape[1]
-            self.weights[k][at] -= self.step * gradient / np.sqrt(self.squares[k][at])
-            self.seen[k][at] += np.diff(np.r_[first, len(ordered)])
+            many = np.diff(np.r_[first, len(ordered)])
+            at, gradient = ordered[first], totals(error, order, first, many)
+            squared = squares[at] + np.einsum("ij,ij->i", gradient, gradient)[:, None] / np.float32(error.shape[1])
+            squares[at] = squared
+            gradient *= np.float32(self.step) / np.sqrt(squared)
+            weights[at] -= gradient
+            seen[at] += many
 
 
 def _counted(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -223,21 +248,21 @@ class Learner:
 
     def add(self, texts: list[bytes]) -> None:
         found, begins = tokens(texts)
-        for low in range(0, len(found), 16 * BATCH):
-            high = min(low + 16 * BATCH, len(found))
+        for low in range(0, len(found), 4 * BATCH):
+            high = min(low + 4 * BATCH, len(found))
             self.held.append((found[low:high], history(found, begins, low, high)))
             self.size += high - low
-            if self.size >= 16 * BATCH:
+            if self.size >= 4 * BATCH:
                 self.learn(self.size // BATCH * BATCH)
 
     def learn(self, many: int) -> None:
-        found, past = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        found, past = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
         kind, member = self.layout.targets(found[:many])
         for low in range(0, many, BATCH):
             part = slice(low, min(low + BATCH, many))
-            for k, _, active, target in self.layout.examples(kind[part], member[part], past[part]):
-                self.replica.update(k, active, target)
-        self.held, self.size = [(found[many:], past[many:])], self.size - many
+            for k, _, active, target in self.layout.examples(kind[part], member[part], past[:, part]):
+                self.replica.update(k, active, self.layout.tables[k][2], target)
+        self.held, self.size = [(found[many:], past[:, many:])], self.size - many
 
     def moved(self, share: int) -> pa.RecordBatch:
         """Of each block that was seen (block, share, moved as half floats, seen)."""
@@ -342,7 +367,7 @@ def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         for number, change in mean:
             table, part = blocks[number]
             weights[table][part] += np.frombuffer(change, np.float32).reshape(part.stop - part.start, -1)
-        shared.unpersist()
+        shared.destroy()
     return Model(counts, layout, weights, per_bucket.sum(axis=0) + 1, n, v, (found, many), known_from)
 
 
@@ -362,7 +387,7 @@ class _Scorer:
         kind, member = self.layout.targets(found)
         out = np.zeros(len(found))
         for k, at, active, target in self.layout.examples(kind, member, past):
-            out[at] += log_probability(self.weights[k], active, target)
+            out[at] += log_probability(self.weights[k], active, self.layout.tables[k][2], target)
         rare = kind == RARE
         return out / np.log(10) - np.where(rare, self.bucket_rest[np.where(rare, member, 0)], gain)
 

@@ -88,7 +88,7 @@ def whole_probabilities(model, counts, past):
 
     def factor(k, kind, right):
         ((_, _, active, target),) = [x for x in layout.examples(np.array([kind]), np.array([right]), past) if x[0] == k]
-        return float(np.exp(L.log_probability(model.weights[k], active, target))[0])
+        return float(np.exp(L.log_probability(model.weights[k], active, layout.tables[k][2], target))[0])
 
     for kind in range(L.CLASSES):
         p = factor(0, kind, 0)
@@ -136,7 +136,8 @@ def test_the_history_moves_words_within_a_class(spark):
     lift = []
     for k, _, active, target in model.layout.examples(kind, member, L.history(found, begins, 0, len(found))):
         if k:
-            lift += (L.log_probability(model.weights[k], active, target) - L.log_probability(model.weights[k], active[:, -1:], target)).tolist()
+            biases = model.layout.tables[k][2]
+            lift += (L.log_probability(model.weights[k], active, biases, target) - L.log_probability(model.weights[k], active[-1:], biases, target)).tolist()
     assert len(lift) > 1000 and np.mean(lift) > 0.1
 
 
@@ -158,23 +159,24 @@ def test_history():
     found = np.arange(1, 8).astype(np.uint64) << np.uint64(20)
     begins = np.array([0, 1, 1, 4, 7])  # texts of 1, 0, 3 and 3 tokens
     whole = L.history(found, begins, 0, 7)
-    assert all((L.history(found, begins, a, b) == whole[a:b]).all() for a in range(7) for b in range(a, 8))
-    same = lambda a, b, k: whole[a, k] == whole[b, k]
+    assert all((L.history(found, begins, a, b) == whole[:, a:b]).all() for a in range(7) for b in range(a, 8))
+    same = lambda a, b, k: whole[k, a] == whole[k, b]
     assert same(0, 1, 0) and same(0, 4, 0) and same(1, 5, 1) and same(0, 1, 2)  # nothing before
     assert not same(1, 2, 0) and not same(3, 2, 1) and not same(5, 6, 0) and not same(5, 4, 0)
 
 
-def slow_update(weights, squares, seen, active, target, step):
+def slow_update(weights, squares, seen, active, biases, target, step):
     """A step in plain loops."""
     errors = []
+    active = [[*(int(x[k]) for x in active[:-1]), len(weights) - biases + int(active[-1][k])] for k in range(len(target))]
     for rows, right in zip(active, target, strict=True):
         total = [sum(float(weights[r][j]) for r in rows) for j in range(weights.shape[1])]
         top = max(total)
         share = [np.exp(x - top) for x in total]
         errors.append([x / sum(share) - (j == right) for j, x in enumerate(share)])
-    for column in range(active.shape[1]):
-        for row in sorted(set(active[:, column].tolist())):
-            own = [k for k in range(len(active)) if active[k, column] == row]
+    for column in range(len(active[0])):
+        for row in sorted({x[column] for x in active}):
+            own = [k for k in range(len(active)) if active[k][column] == row]
             gradient = np.array([sum(errors[k][j] for k in own) for j in range(weights.shape[1])])
             squares[row] += (gradient**2).sum() / weights.shape[1]
             weights[row] -= step * gradient / np.sqrt(squares[row])
@@ -183,14 +185,14 @@ def slow_update(weights, squares, seen, active, target, step):
 
 def test_gradient_like_a_plain_loop():
     rng = np.random.default_rng(0)
-    weights = [rng.normal(size=(30, 8)).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32)]
+    weights = [rng.normal(size=(33, 8)).astype(np.float32), rng.normal(size=(41, 4)).astype(np.float32)]
     replica = L.Replica(weights, 0.3)
-    for k, (rows, width) in enumerate(((30, 8), (40, 4))):
-        slow, squares, seen = weights[k].astype(np.float64), np.ones(rows), np.zeros(rows)
+    for k, (rows, width, biases) in enumerate(((30, 8, 3), (40, 4, 1))):
+        slow, squares, seen = weights[k].astype(np.float64), np.ones(rows + biases), np.zeros(rows + biases)
         for _ in range(5):
-            active, target = rng.integers(0, rows, (60, 4)), rng.integers(0, width, 60)
-            replica.update(k, active, target)
-            slow_update(slow, squares, seen, active, target, 0.3)
+            active, target = [*rng.integers(0, rows, (3, 60)).astype(np.uint16), rng.integers(0, biases, 60).astype(np.uint16)], rng.integers(0, width, 60)
+            replica.update(k, active, biases, target)
+            slow_update(slow, squares, seen, active, biases, target, 0.3)
         assert replica.weights[k] == pytest.approx(slow, abs=1e-4)
         assert replica.squares[k][:, 0] == pytest.approx(squares, rel=1e-4)
         assert (replica.seen[k] == seen).all() and seen.sum() == 5 * 60 * 4
