@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_decontam import slow as slow_decontam
 from test_packing import check, plain
-from test_simhash import slow_components, slow_simhash
+from test_simhash import slow_copies
 
 import corpus_pipeline as C
 from larkspur.llm import packing, quality, queries
@@ -28,10 +28,9 @@ def test_stages(spark, tmp_path):
         return [r for r in rows if score(r.text) >= quality.THRESHOLD]
 
     def one_of_each(rows):
-        root = slow_components([slow_simhash(r.text) for r in rows])
-        least = {}
-        for r in rows:
-            key = root[slow_simhash(r.text)]
+        """Five words, a similarity of 0.8: what near-duplicate stages on word shingles take."""
+        root, least = slow_copies([r.text for r in rows]), {}
+        for r, key in zip(rows, root, strict=True):
             least[key] = min(r.doc_id, least.get(key, r.doc_id))
         return [r for r in rows if r.doc_id in least.values()]
 

@@ -126,12 +126,21 @@ def test_candidates_of_a_shard_in_many_batches():
     points = rng.integers(0, 256, (40, 32), np.uint8)
     points[20:] = points[:20]
     keys = pa.array(range(40))
-    whole = pa.RecordBatch.from_arrays([pa.array([7] * 40), keys, pa.array([x.tobytes() for x in points]), keys], names=["shard", "key", "fp", "root"])
+    whole = pa.RecordBatch.from_arrays([pa.array([7] * 40), keys, pa.array([x.tobytes() for x in points])], names=["shard", "key", "fp"])
     for batches in ([whole], [whole.slice(k, 1) for k in range(40)]):
         got = {(a, b) for x in S._nearest(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
         assert got == {(k, k + 20) for k in range(20)}
 
 
+def test_every_candidate_is_told():
+    """Also one whose only partner has a nearer one."""
+    bits = np.zeros((3, 256), np.uint8)
+    bits[1, :70] = bits[2, :40] = 1  # the third lies 40 bits from the first and 30 from the second; these are 70 apart
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 3), pa.array([0, 1, 2]), pa.array([np.packbits(x).tobytes() for x in bits])], names=["shard", "key", "fp"])
+    got = {(a, b) for x in S._nearest(iter([rows])) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    assert 40 <= S.WIDE_RADIUS < 70 and got == {(1, 2), (0, 0)}
+
+
 def slow_copies(texts, similarity=0.8):
     def shingles(text):
         words = [x for x in __import__("re").split("[\x20\x09-\x0d]+", (text or "").lower()) if x]
