@@ -143,18 +143,25 @@ class Layout:
 
 
 def sums(weights: np.ndarray, active: list[np.ndarray], biases: int) -> np.ndarray:
-    """Of each token the sum of its rows, the greatest 0; the last ``biases`` rows are those of the biases."""
+    """Of each token the sum of its rows; the last ``biases`` rows are those of the biases."""
     out = np.take(weights[len(weights) - biases :], active[-1], axis=0)
     for column in active[:-1]:
         out += np.take(weights, column, axis=0)
-    top = out
-    while top.shape[1] > 1:  # widths are powers of two; by halves this is several times faster than a maximum along the short axis
-        half = top.shape[1] // 2
-        top = np.maximum(top[:, :half], top[:, half:])
-    out -= top
     return out
 
 
+def exponentials(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Of rows of sums: their exponentials, the sums of these, and what was taken off each row first: nothing, unless some sum is no ordinary number."""
+    with np.errstate(over="ignore"):
+        found = np.exp(out)
+        total = found.sum(axis=1)
+    if np.isfinite(total).all() and total.min(initial=1) > 1e-30:
+        return found, total, 0.0
+    top = out.max(axis=1)
+    found = np.exp(out - top[:, None])
+    return found, found.sum(axis=1), top
+
+
 def totals(rows: np.ndarray, order: np.ndarray, first: np.ndarray, many: np.ndarray, few: int = 6) -> np.ndarray:
     """Sums of ``rows`` over runs of ``order``, of which most are short: the k-th rows of all runs at once, and what long runs have beyond that one run at a time."""
     out, k = rows[order[first]], 1
@@ -169,18 +176,16 @@ def totals(rows: np.ndarray, order: np.ndarray, first: np.ndarray, many: np.ndar
 
 
 def probabilities(weights: np.ndarray, active: list[np.ndarray], biases: int) -> np.ndarray:
-    out = sums(weights, active, biases)
-    np.exp(out, out=out)
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+    found, total, _ = exponentials(sums(weights, active, biases))
+    found /= total[:, None]
+    return found
 
 
 def log_probability(weights: np.ndarray, active: list[np.ndarray], biases: int, target: np.ndarray) -> np.ndarray:
     """Natural logarithm of the target's probability."""
     out = sums(weights, active, biases)
-    chosen = out[np.arange(len(target)), target].astype(np.float64)
-    np.exp(out, out=out)
-    return chosen - np.log(out.sum(axis=1))
+    _, total, top = exponentials(out)
+    return out[np.arange(len(target)), target].astype(np.float64) - top - np.log(total)
 
 
 class Replica:

@@ -198,6 +198,14 @@ def test_gradient_like_a_plain_loop():
         assert (replica.seen[k] == seen).all() and seen.sum() == 5 * 60 * 4
 
 
+def test_sums_beyond_the_range_of_exponentials():
+    weights = np.array([[200, 100, -300, 0], [-200, -150, -300, -400], [0, 0, 0, 0]], np.float32)
+    active = [np.array([0, 1, 0], np.uint16), np.zeros(3, np.uint16)]
+    with np.errstate(over="raise"):
+        assert L.probabilities(weights, active, 1) == pytest.approx(np.array([[1, 0, 0, 0], [0, 1, 0, 0], [1, 0, 0, 0]]), abs=1e-6)
+        assert L.log_probability(weights, active, 1, np.array([1, 0, 2])) == pytest.approx([-100, -50, -500])
+
+
 def test_averaging_like_a_plain_loop(corpus):
     """The weights are those of shares trained one after the other and averaged by a plain loop."""
     options = {**SMALL, "share": 5000, "rounds": 2}
