@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh64_intdigest
 
+from larkspur.shared import cut, discard, drop_path, scratch_path, shared_dir  # noqa: F401
+
 #: A-Z to a-z; every other byte stays.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A-Z to a-z, and each ASCII byte that is neither a letter nor a digit to a space.
@@ -153,49 +153,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local master may go without that setting; there a temporary
-    folder stands in. On a cluster its absence is an error, as a machine-local folder would lose data.
-    """
-    context = spark.sparkContext
-    if (found := context._jsc.sc().getCheckpointDir()).isDefined():
-        return found.get()
-    path = context.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="larkspur-")
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder; what follows reads that and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that :func:`scratch_path` named."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what :func:`cut` wrote for ``df``, once nothing will read it any more, not even to replace a lost executor's work:
-    all that was made from it has been cut itself."""
-    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        drop_path(df.sparkSession, file.get())
-
-
 def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """``df``, of at most about ``rows`` narrow rows, in no more partitions than these fill: a shuffle's many small
     partitions are read by fewer tasks, and a cut of them writes fewer files."""

@@ -8,7 +8,7 @@ Training reads a bounded sample of labelled rows (``sample`` documents, those wi
 features are made on the executors, and one task runs the updates over them in id-hash order, ``epochs`` times. The model is
 one float32 vector of ``2 ** BITS`` weights, whatever the size of the corpus. Scores are sparse dot products.
 
-Nulls and empty texts: scored by the bias alone. Long texts: a text is held whole in its task with about 60 bytes a word; its features are at most ``2 ** BITS``. Labels that are null, or have a null id, teach nothing; of several labels
+Nulls and empty texts: scored by the bias alone. Long texts: a text is held whole in its task with about 60 bytes a word; its features are at most ``2 ** BITS``. Ties: documents with equal id hashes are ordered by id. Labels that are null, or have a null id, teach nothing; of several labels
 for an id the smallest counts, of several texts the one with the smallest features. Repeated rows come back as often as
 they occur. No labels: every score is 0.5. An empty table gives an empty result. Other columns are ignored.
 """

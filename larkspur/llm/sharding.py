@@ -8,7 +8,7 @@ its quotient the slot, so shard sizes differ by one at most, slots have no gaps,
 Numbering: the narrow columns are range-partitioned and sorted once, each row gets its place in its partition, and the partitions'
 row counts, summed up, give the numbers. No task sees more than its range; equal ids are spread by a tie-breaker.
 
-Nulls: a null id sorts first, a null text has no bytes (size 1, checksum 0). Repeated rows each get a slot. An empty table gives an
+Nulls: a null id sorts first, a null text has no bytes (size 1, checksum 0). Long texts are reduced to size and checksum where they are read. Ties: rows with equal ids are ordered by checksum and size. Repeated rows each get a slot. An empty table gives an
 empty result. Other columns are ignored.
 """
 

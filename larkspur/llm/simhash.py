@@ -254,15 +254,15 @@ def wide_simhash(grams: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(grams), bitorder="little")
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """The columns of each run of equal values in the first column, by which the rows are sorted, without that column."""
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Each run of equal values in the first column, by which the rows are sorted: that value and the other columns."""
     held: list[pa.RecordBatch] = []
 
-    def runs(table: pa.Table, shards: np.ndarray) -> Iterator[list[pa.Array]]:
+    def runs(table: pa.Table, shards: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
         edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(shards) else []
         for x, y in pairwise(edges):
             if y - x > 1:
-                yield [c.combine_chunks() for c in table.slice(x, y - x).columns[1:]]
+                yield int(shards[x]), [c.combine_chunks() for c in table.slice(x, y - x).columns[1:]]
 
     for batch in batches:
         if not batch.num_rows:
@@ -295,7 +295,7 @@ def _apart(points: pa.Array, roots: np.ndarray, block: int = 512) -> Iterator[tu
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, key, fp) sorted by shard to pairs (a, b): of each text and the nearest one before it, at most WIDE_RADIUS bits apart; and
     (a, a) of each text that is a candidate's partner but in no pair."""
-    for keys, points in _by_shard(batches):
+    for _, (keys, points) in _by_shard(batches):
         keys, some, paired = keys.to_numpy(), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for at, apart in _apart(points, keys):
             near = apart <= WIDE_RADIUS
@@ -312,22 +312,22 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, fp, root) sorted by shard to the keys of texts that have a candidate with another root."""
-    for keys, points, roots in _by_shard(batches):
+    """Rows (shard, key, fp, root) sorted by shard to (shard, key) of each text that has a candidate with another root in that shard."""
+    for shard, (keys, points, roots) in _by_shard(batches):
         keys, some = keys.to_numpy(), np.zeros(len(keys), bool)
         for at, apart in _apart(points, roots.to_numpy()):
             near = apart <= WIDE_RADIUS
             some[at : at + len(near)] |= near.any(axis=1)
             some[: near.shape[1]] |= near.any(axis=0)
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some])], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), shard)), pa.array(keys[some])], names=["shard", "key"])
 
 
 def _decided(similarity: float):
     """Over rows (shard, key, fp, root, grams) sorted by shard: links (a, b) of similar texts, a spanning forest of each shard over its roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, points, roots, grams in _by_shard(batches):
+        for _, (keys, points, roots, grams) in _by_shard(batches):
             keys, links = keys.to_numpy(), []
             distinct, flat = np.unique(grams.values.to_numpy(), return_inverse=True)
             stops = grams.offsets.to_numpy() - grams.offsets[0].as_py()
@@ -360,8 +360,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each distinct text has a SimHash of 256 bits and goes to shards, each named by some of the bits, drawn at random; the texts of a shard
     are compared all with all. Pairs at most WIDE_RADIUS bits apart are candidates, and their sets of shingles decide. The first round takes
-    a text's nearest candidate in each shard; the second, of the texts that have candidates at all, in the shards all candidates that the links so far leave in different components.
-    Rows and links grow with the texts, the comparisons within a shard with the square of its texts. A pair that shares no shard is missed: of pairs at a similarity of just 0.8 about 3 %, fewer above.
+    a text's nearest candidate in each shard; the second, of the texts that have candidates at all, in the shards all candidates that the links so far leave in different components; sets of shingles go only to those
+    shards in which a text has such a candidate. Rows and links grow with the texts, the comparisons within a shard with the square of its texts. A pair that shares no shard is missed: of pairs at a similarity of just 0.8 about 3 %, fewer above.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = fields(docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")), "doc_id", "key", "text")
@@ -400,18 +400,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         nodes = cut(nodes.toDF("node").distinct())
         few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         own = narrow.join(F.broadcast(nodes) if few else nodes, narrow["key"] == F.col("node"), "left_semi")
-        return cut(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"))
+        sets = cut(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"))
+        discard(nodes)
+        return sets
+
+    def then_without(made: DataFrame, *used: DataFrame) -> DataFrame:
+        """``made``, cut; what it was made from is deleted."""
+        made = cut(made)
+        for x in used:
+            discard(x)
+        return made
 
     def first_links(found: DataFrame) -> DataFrame:
         pairs = found.where("a <> b")
         sets = sets_of(pairs.select(F.explode(F.array("a", "b"))))
         first, second = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return cut(pairs.join(first, "a").join(second, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+        return then_without(pairs.join(first, "a").join(second, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"), sets)
 
     def last_links(points: DataFrame) -> DataFrame:
-        sets = sets_of(sharded(points).mapInArrow(_undecided, "key long"))
-        return cut(sharded(points.join(sets, "key")).mapInArrow(_decided(similarity), "a long, b long"))
+        spots = cut(sharded(points).mapInArrow(_undecided, "shard long, key long"))
+        sets = sets_of(spots.select("key"))
+        own = spots.join(points, "key").join(sets, "key").select("shard", "key", "fp", "root", "grams").repartition("shard").sortWithinPartitions("shard")
+        return then_without(own.mapInArrow(_decided(similarity), "a long, b long"), sets, spots)
 
     def with_roots(links: DataFrame) -> DataFrame:
         joined = components(links, rows)
@@ -421,7 +432,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = first_links(found)
     near = cut(found.select(F.explode(F.array("a", "b")).alias("near")).distinct())  # only these texts have candidates
     points = cut(with_roots(links).join(near, F.col("key") == F.col("near"), "left_semi").select("key", "fp", "root"))
-    rooted = with_roots(links.union(last_links(points)))
+    links = then_without(links.union(last_links(points)), found, near, points)
+    rooted = with_roots(links)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return gathered(marked.join(named, "key").select("doc_id", "component_id"), rows)
 
@@ -435,30 +447,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     """The rows of ``docs`` without near duplicates: of each component that ``find`` tells the document with the smallest id stays.
 
     Rows that share an id and a text are one document, of which one row stays; rows that share an id only are several. Of a component in
-    which several texts have the smallest id, the one with the smallest hash stays. Rows without an id cannot be named as a component's
-    smallest: they stay, one for each distinct text.
+    which several texts have the smallest id, the one with the smallest hash stays. Rows without an id come after all others, and stay only
+    where their component has no document with an id.
 
     What goes is told by two narrow sets of ids and text hashes: those of no component's smallest document, and those that stay but occur
     more than once. Up to ``broadcast_ids`` of them are broadcast and no text is shuffled but that of repeated rows; beyond,
     they are joined by a shuffle.
     """
     own, key = docs[id_col], F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    found = find(docs.select(F.when(own.isNotNull(), F.struct(own.alias("id"), key.alias("key"))).alias("_row"), docs[text_col].alias("_text")), "_row", "_text", **options)
-    per_row = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("_stays"), F.count("*").alias("_n"))
-    told = cut(per_row.where("_id is null or not _stays or _n > 1"))
+    found = find(docs.select(F.struct(own.isNull().alias("none"), own.alias("id"), key.alias("key")).alias("_row"), docs[text_col].alias("_text")), "_row", "_text", **options)
+    per_row = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_n"))
+    told = cut(per_row.where("not _stays or _n > 1"))
     few = told.limit(broadcast_ids + 1).count() <= broadcast_ids
-    gone, again = (told.where(f"_id is not null and {x}").select("_id", "_key") for x in ("not _stays", "_stays"))
+    gone, again = (told.where(x).select("_id", "_key") for x in ("not _stays", "_stays"))
     if few:
         gone, again = F.broadcast(gone), F.broadcast(again)
 
     def among(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
-        return rows.join(named, (own == named["_id"]) & (key == named["_key"]), how)
-
-    named = among(docs.where(own.isNotNull()), gone, "left_anti")
-    out = named
-    if not again.isEmpty():
-        once = among(named, again, "left_anti")
-        out = once.unionByName(among(named, again, "left_semi").withColumn("_keep_one_key", key).dropDuplicates([id_col, "_keep_one_key"]).drop("_keep_one_key"))
-    if not told.where("_id is null").isEmpty():
-        out = out.unionByName(docs.where(own.isNull()).dropDuplicates([text_col]))
-    return out
+        return rows.join(named, own.eqNullSafe(named["_id"]) & (key == named["_key"]), how)
+
+    named = among(docs, gone, "left_anti")
+    if again.isEmpty():
+        return named
+    once = among(named, again, "left_anti")
+    return once.unionByName(among(named, again, "left_semi").withColumn("_keep_one_key", key).dropDuplicates([id_col, "_keep_one_key"]).drop("_keep_one_key"))

@@ -109,7 +109,7 @@ def test_keep_one(docs, no_docs, broadcast_ids):
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     want = {r.component_id for r in S.near_duplicates(docs).collect()} - {None}
     assert sorted(ids) == sorted(want)
-    assert sum(r.doc_id is None for r in kept.collect()) == docs.where("doc_id is null").select("text").distinct().count()
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id"]  # the other has a copy with an id
     assert S.keep_one(no_docs).count() == 0
 
 
