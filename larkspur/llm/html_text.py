@@ -41,9 +41,9 @@ ASIDE = frozenset("head nav header footer aside form button select option menu m
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SURE = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer foot header masthead cookie cookies consent gdpr popup modal overlay "
-    "newsletter subscribe signup login comment comments reply replies respond disqus share sharing social pagination pager"
+    "newsletter subscribe signup login comment comments reply replies respond disqus share sharing social pagination pager banner aside widget notice notices notification alert toolbar skip hidden"
 ).split()
-_SOFT = "banner aside widget notice notices notification alert related recommended recommendations toolbar copyright legal skip hidden".split()
+_SOFT = "related recommended recommendations copyright legal".split()
 
 
 def _words(words: list[str]) -> re.Pattern:

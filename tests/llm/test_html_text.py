@@ -92,7 +92,7 @@ def test_the_ratios_decide(monkeypatch):
         f"<body><div class='c1'><p>{LONG}</p><p>x</p></div><div class='x9'><p>Hot deals</p><p>Buy</p></div></body>": f"{LONG}\nx",
         f"<body><div class='page'><div class='x1'><span>Home</span></div><div class='x2'><h1>T</h1><p>{LONG}</p><p>{BODY}</p></div><div class='x3'>Top</div></div></body>": f"T\n{LONG}\n{BODY}",
         page(f"<article><p>{LONG}</p><div class='related'><ul><li>a</li><li>b</li></ul></div><div class='related-work'><h2>Related work</h2><p>{LONG}</p></div><p>{BODY}</p></article>"): f"{LONG}\nRelated work\n{LONG}\n{BODY}",
-        page(f"<article><p>{LONG}</p><section id='legal'><h2>Law</h2><p>{LONG}</p></section><div class='notice'>Log in</div></article>"): f"{LONG}\nLaw\n{LONG}",
+        page(f"<article><p>{LONG}</p><section id='legal'><h2>Law</h2><p>{LONG}</p></section><div class='copyright'>By us</div></article>"): f"{LONG}\nLaw\n{LONG}",
     }
     assert [H.main_text(x) for x in pages] == [*pages.values()]
     monkeypatch.setattr(H, "content_paths", lambda found, share=0.5: {node.path: 1.0 for _, node in found})
