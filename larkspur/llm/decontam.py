@@ -40,6 +40,8 @@ GRAM = 5
 #: The filter has 32 bits for each window, and so many at most (32 MB).
 MOST_BITS = 1 << 28
 FILTER_BLOCK = 1 << 16
+#: Rows of windows that are made at a time.
+ROWS = 1 << 16
 #: The table of windows is broadcast up to so many bytes, and the keys of texts to drop up to so many rows.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 500_000
@@ -113,12 +115,13 @@ def _windows(span: int, gram: int):
                 if a == b:
                     continue
                 length = min(span, b - a)
-                k, at = grams_of(length, span, gram), np.arange(a, b - length + 1)
+                k = grams_of(length, span, gram)
                 grams = gram_hashes(hashes[a:b], k)
                 own = grams[chosen(grams, length - k + 1)]
-                names = pa.repeat(name, len(at))
-                columns = [names, pa.array(np.full(len(at), length, np.int32)), pa.array(digests(joined, begin, end, at, length), pa.binary()), pa.array(window_hashes(hashes, at, length).view(np.int64)), pa.array(own.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["name", "length", "digest", "key", "gram"])
+                for low in range(0, len(own), ROWS):
+                    at, part = np.arange(a + low, a + min(low + ROWS, len(own))), own[low : low + ROWS]
+                    columns = [pa.repeat(name, len(at)), pa.array(np.full(len(at), length, np.int32)), pa.array(digests(joined, begin, end, at, length), pa.binary()), pa.array(window_hashes(hashes, at, length).view(np.int64)), pa.array(part.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "length", "digest", "key", "gram"])
 
     return run
 
@@ -189,30 +192,33 @@ class Benchmark:
     def sized(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if self.small else table
 
-    def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int, list[bytes]]]]:
-        """The texts' counts of words; and for each length (text, first word in it, length, digest) of windows that the filter lets through.
+    def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]]:
+        """The texts' counts of words; and (texts, first words in them, length, digests) of windows that the filter lets through, up to ROWS at a time.
 
         All texts' words are handled as one run; what reaches over a text's end is left out.
         """
         joined, begin, end, hashes, stops = parted(texts)
-        out = []
-        for length in self.lengths:
-            k = grams_of(length, self.span, self.gram)
-            grams = gram_hashes(hashes, k)
-            at = winnow(grams, length - k + 1)
-            at = at[self.filter.holds(grams[at], length)]
-            if not len(at):
-                continue
-            starts = np.unique((at[:, None] - np.arange(length - k + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(hashes) - length)]
-            text = np.searchsorted(stops, starts, side="right") - 1
-            inside = starts + length <= stops[text + 1]
-            starts, text = starts[inside], text[inside]
-            there = self.filter.holds(window_hashes(hashes, starts, length), length)
-            starts, text = starts[there], text[there]
-            if len(starts):
-                out.append((text, starts - stops[text], length, digests(joined, begin, end, starts, length)))
-        return np.diff(stops), out
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]:
+            for length in self.lengths:
+                k = grams_of(length, self.span, self.gram)
+                grams = gram_hashes(hashes, k)
+                at = winnow(grams, length - k + 1)
+                at = at[self.filter.holds(grams[at], length)]
+                if not len(at):
+                    continue
+                starts = np.unique((at[:, None] - np.arange(length - k + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(hashes) - length)]
+                text = np.searchsorted(stops, starts, side="right") - 1
+                inside = starts + length <= stops[text + 1]
+                starts, text = starts[inside], text[inside]
+                there = self.filter.holds(window_hashes(hashes, starts, length), length)
+                starts, text = starts[there], text[there]
+                for low in range(0, len(starts), ROWS):
+                    own, of = starts[low : low + ROWS], text[low : low + ROWS]
+                    yield of, own - stops[of], length, digests(joined, begin, end, own, length)
+
+        return np.diff(stops), found()
 
     def marks(self, narrow: DataFrame) -> DataFrame:
         """Of (id, text): a row for each text (row, id, n_words), and one (row, id, start, length, digest) for each window that the filter lets through."""
@@ -223,18 +229,17 @@ class Benchmark:
             made = TaskContext.get().partitionId() << 33
             for batch in slices(batches, 256):
                 n_words, found = shared.value.candidates(as_bytes(batch.column(1)))
-                text = np.concatenate([np.arange(batch.num_rows), *(x[0] for x in found)])
-                first = np.arange(len(text)) < batch.num_rows
-                columns = [
-                    pa.array(made + text),
-                    batch.column(0).take(pa.array(text)),
-                    pa.array(n_words[text]),
-                    pa.array(np.concatenate([np.zeros(batch.num_rows, np.int64), *(x[1] for x in found)]), mask=first),
-                    pa.array(np.concatenate([np.zeros(batch.num_rows, np.int32), *(np.full(len(x[0]), x[2], np.int32) for x in found)]), mask=first),
-                    pa.array([*[None] * batch.num_rows, *(y for x in found for y in x[3])], pa.binary()),
-                ]
+
+                def rows(text: np.ndarray, start=None, length=None, digests=None, batch=batch, n_words=n_words, made=made) -> pa.RecordBatch:
+                    n = len(text)
+                    columns = [pa.array(made + text), batch.column(0).take(pa.array(text)), pa.array(n_words[text])]
+                    columns += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())] if digests is None else [pa.array(start), pa.array(np.full(n, length, np.int32)), pa.array(digests, pa.binary())]
+                    return pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "start", "length", "digest"])
+
+                yield rows(np.arange(batch.num_rows))
+                for x in found:
+                    yield rows(*x)
                 made += batch.num_rows
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "start", "length", "digest"])
 
         return narrow.mapInArrow(run, f"row long, id {kind}, n_words long, start long, length int, digest binary")
 
