@@ -90,8 +90,7 @@ class Pool:
 
 def _letters(word: bytes) -> bool:
     """Whether the tokenizer sees letters only: a letter may be taken apart into a letter and a mark, which it parts."""
-    text = word.decode("utf-8", "replace")
-    return text.isascii() and text.isalpha() or normalize("NFC", text).lower().isalpha()
+    return word.isalpha() or not word.isascii() and normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
 
 
 class Encoder:

@@ -58,7 +58,7 @@ def shapes(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(begin):
         return np.zeros(0, np.uint64)
     kinds = [_UPPER, _LOWER, _DIGIT]
-    upper, lower, figures = (y - x for x, y in zip(_before(kinds, data, begin), _before(kinds, data, end), strict=True))
+    upper, lower, figures = (x[1::2] - x[::2] for x in _before(kinds, data, np.stack([begin, end], axis=1).ravel()))
     capital = _UPPER[data[begin]]
     case = np.select([(upper == 0) & (lower > 0), (upper > 1) & (lower == 0), capital & (upper == 1), (upper > 0) & (lower > 0), figures > 0], [1, 2, 3, 4, 5], 0)
     tail, on = np.zeros(len(begin), np.uint64), np.ones(len(begin), bool)
