@@ -5,7 +5,7 @@ tokens' shapes (letter case, and all trailing punctuation), with a mark for a to
 A feature's value is its share of the text's features times ``SCALE``, so long and short texts weigh alike.
 
 Training reads a bounded sample of labelled rows (``sample`` documents, those with the smallest id hashes): their
-features are made on the executors, and one task runs the updates over them in id-hash order, ``epochs`` times. The model is
+features are made once on the executors, and one task runs the updates over them in id-hash order, one row in memory at a time, ``epochs`` times. The model is
 one float32 vector of ``2 ** BITS`` weights, whatever the size of the corpus. Scores are sparse dot products.
 
 Nulls and empty texts: scored by the bias alone. Long texts: a text is held whole in its task with about 60 bytes a word; its features are at most ``2 ** BITS``. Ties: documents with equal id hashes are ordered by id. Labels that are null, or have a null id, teach nothing; of several labels
@@ -16,6 +16,7 @@ they occur. No labels: every score is 0.5. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import pairwise
 from string import ascii_lowercase, ascii_uppercase, digits, punctuation
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import RUN_BYTES, as_bytes, bounded_batches, fields, hashed, slices
+from .common import RUN_BYTES, as_bytes, bounded_batches, cut, discard, fields, hashed, slices
 
 BITS = 18
 SCALE = 24.0
@@ -142,8 +143,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "label", "features"])
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fit(batches: Iterator[pa.RecordBatch], state) -> Iterator[pa.RecordBatch]:
+    """One pass of updates over (label, features), from the state (z, n) that the pass before has left, to the state after it."""
     model, seen = Ftrl(), 0
+    if state:
+        model.z, model.n = (np.frombuffer(x).copy() for x in state.value)
     for batch in batches:
         for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             half = len(raw) // 2
@@ -151,7 +155,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model.update(at, np.r_[np.frombuffer(raw[half:], "<f4").astype(np.float64), 1.0], label)
             seen += 1
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)], names=["z", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where=None) -> np.ndarray:
@@ -169,9 +173,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int =
     joined = texts.join(F.broadcast(ids), "id").select("id", "label", "text")  # ``sample`` ids at most
     kind = joined.schema["id"].dataType.simpleString()
     made = joined.mapInArrow(_sparse, f"id {kind}, label int, features binary").groupBy("id").agg(F.min("label").alias("label"), F.min("features").alias("features"))
-    rows = made.select(F.explode(F.array(*[F.lit(k) for k in range(epochs)])).alias("epoch"), F.xxhash64("id").alias("order"), "id", "label", "features")
-    fitted = rows.repartition(1).sortWithinPartitions("epoch", "order", "id").select("label", "features").mapInArrow(_fit, "weights binary").collect()
-    return np.frombuffer(fitted[0][0], "<f4") if fitted else np.zeros((1 << BITS) + 1, np.float32)
+    rows = cut(made)
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("label", "features")
+    state = None
+    for _ in range(epochs):
+        shared = state and docs.sparkSession.sparkContext.broadcast(state)
+        found = ordered.mapInArrow(partial(_fit, state=shared), "z binary, n binary").collect()  # 4 MB
+        state = tuple(map(bytes, found[0])) if found else None
+    discard(rows)
+    model = Ftrl()
+    if state:
+        model.z, model.n = map(np.frombuffer, state)
+    return model.weights().astype("<f4")
 
 
 def _scores(weights: np.ndarray, texts: list[bytes], featurizer: Featurizer) -> np.ndarray:
