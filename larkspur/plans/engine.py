@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import json
+import re
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager, redirect_stdout
@@ -41,6 +43,37 @@ def statement(text: str) -> str:
     return text.strip().rstrip(";").strip()
 
 
+def _kind(of: str) -> str:
+    """What values of a type, by its name in a plan, compare with."""
+    if re.match(r"byte|short|integer|long|float|double|decimal", of):
+        return "number"
+    return "time" if re.match(r"timestamp|date", of) else of
+
+
+def mixed_keys(df: DataFrame) -> list[str]:
+    """Equalities of two columns of different kinds in a plan's joins and filters, which Spark would cast."""
+    out: list[str] = []
+
+    def read(nodes: list[dict], at: int) -> tuple[dict | None, int]:
+        """The column that the expression at a place is, without casts around it; and where the next expression begins."""
+        node, at = nodes[at], at + 1
+        sides = []
+        for _ in range(node["num-children"]):
+            side, at = read(nodes, at)
+            sides.append(side)
+        name = node["class"].rpartition(".")[2]
+        if name == "EqualTo" and all(sides):
+            kinds = [_kind(x["dataType"]) for x in sides]
+            if kinds[0] != kinds[1]:
+                out.append(" = ".join(f"{x['name']} ({k})" for x, k in zip(sides, kinds, strict=True)))
+        return node if name == "AttributeReference" else sides[0] if name == "Cast" else None, at
+
+    for node in json.loads(df._jdf.queryExecution().analyzed().toJSON()):
+        if node.get("condition"):
+            read(node["condition"], 0)
+    return out
+
+
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark, self.profiler = spark, Profiler()
@@ -51,10 +84,13 @@ class Engine:
             return [*catalog.register_csv_folder(self.spark, folder, float32), *catalog.register_parquet_folder(self.spark, folder)]
 
     def sql(self, text: str, first_row: bool = False) -> DataFrame:
-        """first_row: scalar subqueries of several rows give their first one."""
+        """first_row: scalar subqueries of several rows give their first one. Columns of different kinds are no join keys."""
         with self.profiler.step("plan"):
             text = dialect.nulls_last(statement(text))
-            return self.spark.sql(dialect.first_row_scalars(text) if first_row else text)
+            df = self.spark.sql(dialect.first_row_scalars(text) if first_row else text)
+            if mixed := mixed_keys(df):
+                raise TypeError(f"keys of different kinds: {', '.join(mixed)}")
+            return df
 
     def sql_file(self, path: str, first_row: bool = False) -> DataFrame:
         return self.sql(Path(path).read_text(encoding="utf-8"), first_row)
