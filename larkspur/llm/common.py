@@ -159,10 +159,24 @@ def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     return df.coalesce(8 + rows // each)
 
 
+def regathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """As :func:`gathered`, by a shuffle of the narrow rows: for the few rows that remain of tasks with much work, which stay as many as they are."""
+    return df.repartition(8 + rows // each)
+
+
+def _quarter(df: DataFrame) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Narrow rows of many input splits, dealt evenly to a quarter of the shuffle partitions: a cut of them then writes
     fewer and larger files."""
-    return df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+    return df.repartition(_quarter(df))
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """Narrow rows that a shuffle has made, read by a quarter of its tasks, for the same reason."""
+    return df.coalesce(_quarter(df))
 
 
 def fields(df: DataFrame, *names: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, bounded_batches, cut, fields, hashed, slices
+from .common import alnum_words, as_bytes, bounded_batches, cut, dealt, fewer, fields, hashed, slices
 
 SPAN = 10
 GRAM = 5
@@ -256,7 +256,7 @@ class _Looker:
 def analyse(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items array<string> sorted, items_sha256) of every row."""
     told = Benchmark(benchmark, span, gram, item_id_col, item_text_col, unnamed=False)
-    marks = cut(told.marks(fields(docs, id_col, text_col)))
+    marks = cut(dealt(told.marks(fields(docs, id_col, text_col))))
     windows = told.rows.groupBy("digest").agg(F.sort_array(F.collect_set("name")).alias("names"))
     windows = cut(windows.withColumn("owners", F.xxhash64("names")))
     hits = marks.where("digest is not null").select("row", "start", (F.col("start") + F.col("length")).alias("stop"), "digest").join(told.sized(windows.select("digest", "owners")), "digest")
@@ -280,6 +280,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: in
     key, size = F.xxhash64(docs[text_col]), F.octet_length(docs[text_col])
     marks = told.marks(fields(docs.select(F.struct(key.alias("key"), size.alias("size")).alias("id"), docs[text_col].alias("text")), "id", "text")).where("digest is not null")
     hit = marks.select("id", "digest").join(told.sized(told.rows.select("digest").distinct()), "digest", "left_semi")
-    hit = cut(hit.select(F.col("id.key").alias("_key"), F.col("id.size").alias("_size")).distinct())
+    hit = cut(fewer(hit.select(F.col("id.key").alias("_key"), F.col("id.size").alias("_size")).distinct()))
     few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(hit) if few else hit, (key == hit["_key"]) & (size == hit["_size"]), "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, as_bytes, cut, dealt, discard, fields, gathered, hashed, slices, space_words
+from .common import ASCII_SPACED, as_bytes, cut, dealt, discard, fewer, fields, gathered, hashed, regathered, slices, space_words
 from .decontam import gram_hashes
 
 RADIUS = 3
@@ -397,10 +397,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return points.mapInArrow(spread, f"shard long, {', '.join(f'{x} {kind}' for x, kind in points.dtypes)}").repartition("shard").sortWithinPartitions("shard")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        nodes = cut(nodes.toDF("node").distinct())
+        nodes = cut(gathered(nodes.toDF("node").distinct(), rows))
         few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         own = narrow.join(F.broadcast(nodes) if few else nodes, narrow["key"] == F.col("node"), "left_semi")
-        sets = cut(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"))
+        sets = cut(gathered(own.select("key", "text").dropDuplicates(["key"]).mapInArrow(taken_apart, "key long, grams array<long>"), rows, 10_000))
         discard(nodes)
         return sets
 
@@ -416,13 +416,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = sets_of(pairs.select(F.explode(F.array("a", "b"))))
         first, second = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return then_without(pairs.join(first, "a").join(second, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"), sets)
+        return then_without(pairs.join(first, "a").join(second, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b").transform(gathered, rows), sets)
 
     def last_links(points: DataFrame) -> DataFrame:
-        spots = cut(sharded(points).mapInArrow(_undecided, "shard long, key long"))
+        spots = cut(regathered(sharded(points).mapInArrow(_undecided, "shard long, key long"), rows))
         sets = sets_of(spots.select("key"))
         own = spots.join(points, "key").join(sets, "key").select("shard", "key", "fp", "root", "grams").repartition("shard").sortWithinPartitions("shard")
-        return then_without(own.mapInArrow(_decided(similarity), "a long, b long"), sets, spots)
+        return then_without(regathered(own.mapInArrow(_decided(similarity), "a long, b long"), rows), sets, spots)
 
     def with_roots(links: DataFrame) -> DataFrame:
         joined = components(links, rows)
@@ -430,8 +430,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = cut(gathered(sharded(classes.select("key", "fp")).mapInArrow(_nearest, "a long, b long").distinct(), rows))
     links = first_links(found)
-    near = cut(found.select(F.explode(F.array("a", "b")).alias("near")).distinct())  # only these texts have candidates
-    points = cut(with_roots(links).join(near, F.col("key") == F.col("near"), "left_semi").select("key", "fp", "root"))
+    near = cut(gathered(found.select(F.explode(F.array("a", "b")).alias("near")).distinct(), rows))  # only these texts have candidates
+    points = cut(gathered(with_roots(links).join(near, F.col("key") == F.col("near"), "left_semi").select("key", "fp", "root"), rows))
     links = then_without(links.union(last_links(points)), found, near, points)
     rooted = with_roots(links)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
@@ -457,7 +457,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     own, key = docs[id_col], F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     found = find(docs.select(F.struct(own.isNull().alias("none"), own.alias("id"), key.alias("key")).alias("_row"), docs[text_col].alias("_text")), "_row", "_text", **options)
     per_row = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_n"))
-    told = cut(per_row.where("not _stays or _n > 1"))
+    told = cut(fewer(per_row.where("not _stays or _n > 1")))
     few = told.limit(broadcast_ids + 1).count() <= broadcast_ids
     gone, again = (told.where(x).select("_id", "_key") for x in ("not _stays", "_stays"))
     if few:
