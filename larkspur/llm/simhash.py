@@ -195,6 +195,12 @@ def near_links(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED)
     return todo.mapInArrow(_forest_links(radius, 100_000), "a long, b long")
 
 
+def loose(table: DataFrame, key: str) -> DataFrame:
+    """An aggregate by ``key``, ready to be joined by it: the join deals its rows anew instead of running where the groups were made, and so
+    adaptive execution can split hot keys of the other side."""
+    return table.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links, by alternating large-star and small-star rounds. nodes: at least as many
     as there are, to size the partitions.
@@ -205,7 +211,7 @@ def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame
 
     def star(both: DataFrame, large: bool) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        seen = both.join(least, "a")
+        seen = both.join(loose(least, "a"), "a")
         if large:
             return seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return seen.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")).where("a <> b")).distinct()
@@ -230,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(gathered(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), rows))
     joined = components(near_links(classes, radius, crowded), rows)
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(loose(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root"), "root").select("fp", "component_id")
     return gathered(marked.join(named, "fp").select("doc_id", "fp", "component_id"), rows)
 
 
@@ -434,7 +440,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points = cut(gathered(with_roots(links).join(near, F.col("key") == F.col("near"), "left_semi").select("key", "fp", "root"), rows))
     links = then_without(links.union(last_links(points)), found, near, points)
     rooted = with_roots(links)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    named = rooted.join(loose(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root"), "root").select("key", "component_id")
     return gathered(marked.join(named, "key").select("doc_id", "component_id"), rows)
 
 
