@@ -153,6 +153,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Spark deletes shuffles and broadcasts when the driver finds that nothing refers to them any more, by itself perhaps
+    half an hour later; the rounds of an iteration leave many, on the executors' disks and in the driver's memory."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """``df``, of at most about ``rows`` narrow rows, in no more partitions than these fill: a shuffle's many small
     partitions are read by fewer tasks, and a cut of them writes fewer files."""

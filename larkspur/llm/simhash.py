@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACED, as_bytes, cut, dealt, discard, fewer, fields, gathered, hashed, regathered, slices, space_words
+from .common import ASCII_SPACED, as_bytes, cut, dealt, discard, fewer, fields, gathered, hashed, regathered, slices, space_words, tidy
 from .decontam import gram_hashes
 
 RADIUS = 3
@@ -222,6 +222,7 @@ def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame
         # equal count and sums mean equal links here: a round never raises a parent
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == state:
+            tidy(links.sparkSession)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         before, now = now, cut(gathered(star(star(both, large=True), large=False), nodes))
@@ -415,6 +416,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         made = cut(made)
         for x in used:
             discard(x)
+        tidy(docs.sparkSession)
         return made
 
     def first_links(found: DataFrame) -> DataFrame:
@@ -465,6 +467,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     per_row = found.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_n"))
     told = cut(fewer(per_row.where("not _stays or _n > 1")))
     few = told.limit(broadcast_ids + 1).count() <= broadcast_ids
+    tidy(docs.sparkSession)
     gone, again = (told.where(x).select("_id", "_key") for x in ("not _stays", "_stays"))
     if few:
         gone, again = F.broadcast(gone), F.broadcast(again)
