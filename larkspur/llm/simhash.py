@@ -197,8 +197,8 @@ def near_links(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED)
 
 def loose(table: DataFrame, key: str) -> DataFrame:
     """An aggregate by ``key``, ready to be joined by it: the join deals its rows anew instead of running where the groups were made, and so
-    adaptive execution can split hot keys of the other side."""
-    return table.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+    adaptive execution can split hot keys of the other side. It merges, as a broadcast of so many rows would be built by the driver."""
+    return table.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long"))).hint("merge")
 
 
 def components(links: DataFrame, nodes: int, most_rounds: int = 60) -> DataFrame:
