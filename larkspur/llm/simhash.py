@@ -22,7 +22,7 @@ back as often as they occur. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,18 +78,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"doc_id {narrow.schema[0].dataType.simpleString()}, fp long")
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from low to below high, one such range after the other."""
+    many = high - low
+    return np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+
+
 class Forest:
-    """A Burkhard-Keller tree for each run of equal keys; ``keys`` are sorted, fingerprints differ within a key."""
+    """A Burkhard-Keller tree for each run of equal keys; ``keys`` are sorted, fingerprints differ within a key. A fingerprint is a 64-bit
+    number, or a row of several. Children come after their parent in the order of the points."""
 
     def __init__(self, keys: np.ndarray, points: np.ndarray):
         n = len(points)
-        self.points = points
+        self.words = list(np.ascontiguousarray(points.T)) if points.ndim > 1 else [points]
+        self.span = 64 * len(self.words) + 1
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
         self.root = np.repeat(first, np.diff(np.r_[first, n]))
         codes, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at, left = self.root.copy(), np.setdiff1d(np.arange(n), first)
         while len(left):
-            code = at[left] * 65 + self.apart(left, at[left])
+            code = at[left] * self.span + self.apart(left, at[left])
             edge, where, inverse = np.unique(code, return_index=True, return_inverse=True)
             child = left[where]
             codes.append(edge)
@@ -99,29 +107,51 @@ class Forest:
         codes, children = np.concatenate(codes), np.concatenate(children)
         order = np.argsort(codes)
         self.codes, self.children = codes[order], children[order]
+        self.edges, self.begin = self.codes % self.span, np.searchsorted(self.codes, np.arange(n + 1) * self.span)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.points[a] ^ self.points[b]).astype(np.int64)
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, other point of its tree) at most ``radius`` bits apart."""
-        found = []
+        d = np.zeros(len(a), np.int64)
+        for x in self.words:
+            d += np.bitwise_count(x[a] ^ x[b])
+        return d
+
+    def near(self, queries: np.ndarray, radius: int, earlier: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, other point of its tree at most ``radius`` bits apart, and their distance; ``earlier``: only points before the query."""
+        found = [(queries[:0], queries[:0], queries[:0])]
         q, node = queries, self.root[queries]
-        while len(q):
+        while True:
+            if earlier:
+                q, node = (x[node < q] for x in (q, node))
+            if not len(q):
+                return tuple(np.concatenate(x) for x in zip(*found, strict=True))
             d = self.apart(q, node)
             near = (d <= radius) & (q != node)
-            found.append((q[near], node[near]))
-            low = np.searchsorted(self.codes, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.codes, node * 65 + np.minimum(d + radius, 64), side="right")
-            many = high - low
-            total = np.cumsum(many)
-            spot = np.arange(total[-1]) + np.repeat(low - total + many, many)
-            q, node = np.repeat(q, many), self.children[spot]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (queries[:0], queries[:0])
+            found.append((q[near], node[near], d[near]))
+            inner = self.begin[node] < self.begin[node + 1]
+            q, node, d = q[inner], node[inner], d[inner]
+            low, high = self.begin[node], self.begin[node + 1]
+            some = np.flatnonzero((self.edges[low] < d - radius) | (self.edges[high - 1] > d + radius))  # elsewhere all edges are within
+            low[some] = np.searchsorted(self.codes, node[some] * self.span + np.maximum(d[some] - radius, 0))
+            high[some] = np.searchsorted(self.codes, node[some] * self.span + np.minimum(d[some] + radius, self.span - 1), side="right")
+            q, node = np.repeat(q, high - low), self.children[_ranges(low, high)]
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, other point of its tree) at most ``radius`` bits apart."""
+        return self.near(queries, radius)[:2]
+
+    def pairs(self, radius: int, visits: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All (point, earlier point of its tree, distance) at most ``radius`` bits apart, in the points' order; so many points at a time
+        that they have ``visits`` earlier ones at most, or one."""
+        n = len(self.root)
+        load, at = np.cumsum(np.arange(n) - self.root), 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + visits, side="right")))
+            yield self.near(np.arange(at, end), radius, earlier=True)
+            at = end
 
     def components(self, radius: int, block: int = 2048) -> np.ndarray:
         """For each point the first point of its component within its tree."""
-        label = np.arange(len(self.points))
+        label = np.arange(len(self.root))
         for at in range(0, len(label), block):
             a, b = self.within(np.arange(at, min(at + block, len(label))), radius)
             while True:
@@ -261,15 +291,16 @@ def wide_simhash(grams: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(grams), bitorder="little")
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
-    """Each run of equal values in the first column, by which the rows are sorted: that value and the other columns."""
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of rows sorted by the first one, the shard, in pieces of whole shards; without shards of one row."""
     held: list[pa.RecordBatch] = []
 
-    def runs(table: pa.Table, shards: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
-        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(shards) else []
-        for x, y in pairwise(edges):
-            if y - x > 1:
-                yield int(shards[x]), [c.combine_chunks() for c in table.slice(x, y - x).columns[1:]]
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        table = pa.Table.from_batches(parts)
+        shards = table.column(0).to_numpy()
+        sizes = np.diff(np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]))
+        if (sizes > 1).any():
+            yield [c.combine_chunks() for c in table.filter(pa.array(np.repeat(sizes > 1, sizes))).columns]
 
     for batch in batches:
         if not batch.num_rows:
@@ -278,82 +309,109 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.
         shards = batch.column(0).to_numpy()
         if held[0].column(0)[0].as_py() != shards[-1]:  # the last shard may go on in the next batch
             end = int(np.searchsorted(shards, shards[-1]))
-            table = pa.Table.from_batches([*held[:-1], batch.slice(0, end)])
-            yield from runs(table, table.column(0).to_numpy())
+            yield from whole([*held[:-1], batch.slice(0, end)])
             held = [batch.slice(end)]
     if held:
-        table = pa.Table.from_batches(held)
-        yield from runs(table, table.column(0).to_numpy())
+        yield from whole(held)
+
+
+class Shards:
+    """Rows of whole shards, in the order of the shards: a Burkhard-Keller tree of each shard's distinct fingerprints, whose nodes are
+    numbered by the first of their rows."""
+
+    def __init__(self, shards: np.ndarray, points: pa.Array):
+        words = np.frombuffer(b"".join(points.to_pylist()), np.uint64).reshape(len(shards), -1)
+        order = np.lexsort((*words.T, shards))
+        new = np.r_[True, (shards[order[1:]] != shards[order[:-1]]) | (words[order[1:]] != words[order[:-1]]).any(axis=1)]
+        self.first, number = np.unique(order[new], return_inverse=True)
+        self.node = np.empty(len(shards), np.int64)
+        self.node[order] = number[np.cumsum(new) - 1]
+        self.rows = np.argsort(self.node, kind="stable")
+        self.begin = np.searchsorted(self.node[self.rows], np.arange(len(self.first) + 1))
+        self.forest = Forest(shards[self.first], words[self.first])
 
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """The rows of the nodes."""
+        return self.rows[_ranges(self.begin[nodes], self.begin[nodes + 1])]
 
-def _apart(points: pa.Array, roots: np.ndarray, block: int = 512) -> Iterator[tuple[int, np.ndarray]]:
-    """From each place the bits in which the fingerprints from there differ from all before; 256 for equal roots and what is not before."""
-    points = np.frombuffer(b"".join(points.to_pylist()), np.uint64).reshape(-1, 4)
-    for at in range(0, len(points), block):
-        end = min(at + block, len(points))
-        apart = np.zeros((end - at, end), np.uint16)
-        for j in range(4):
-            apart += np.bitwise_count(points[at:end, j, None] ^ points[None, :end, j])
-        apart[np.arange(end)[None, :] >= np.arange(at, end)[:, None]] = 256
-        apart[roots[at:end, None] == roots[None, :end]] = 256
-        yield at, apart
+    def bounds(self, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest root among each node's rows."""
+        return np.minimum.reduceat(roots[self.rows], self.begin[:-1]), np.maximum.reduceat(roots[self.rows], self.begin[:-1])
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, key, fp) sorted by shard to pairs (a, b): of each text and the nearest one before it, at most WIDE_RADIUS bits apart; and
     (a, a) of each text that is a candidate's partner but in no pair."""
-    for _, (keys, points) in _by_shard(batches):
-        keys, some, paired = keys.to_numpy(), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        for at, apart in _apart(points, keys):
-            near = apart <= WIDE_RADIUS
-            some[: near.shape[1]] |= near.any(axis=0)
-            y = apart.argmin(axis=1)
-            x = np.flatnonzero(near.any(axis=1))
-            if len(x):
-                paired[x + at] = paired[y[x]] = True
-                a, b = keys[x + at], keys[y[x]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-        if (some & ~paired).any():
-            left = pa.array(keys[some & ~paired])
-            yield pa.RecordBatch.from_arrays([left, left], names=["a", "b"])
+    for shard, keys, points in _by_shard(batches):
+        keys, group = keys.to_numpy(), Shards(shard.to_numpy(), points)
+        some = np.diff(group.begin) > 1
+        again = np.flatnonzero(group.first[group.node] != np.arange(len(keys)))  # rows whose fingerprint an earlier one has
+        x, y = [again], [group.first[group.node[again]]]
+        for q, node, d in group.forest.pairs(WIDE_RADIUS):
+            some[q] = some[node] = True
+            order = np.lexsort((node, d, q))
+            best = order[np.r_[True, q[order[1:]] != q[order[:-1]]]] if len(q) else order
+            x.append(group.first[q[best]])
+            y.append(group.first[node[best]])
+        x, y = np.concatenate(x), np.concatenate(y)
+        left = some[group.node]
+        left[x] = left[y] = False
+        a, b, left = keys[x], keys[y], keys[left]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(a, b), left]), pa.array(np.r_[np.maximum(a, b), left])], names=["a", "b"])
 
 
 def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, key, fp, root) sorted by shard to (shard, key) of each text that has a candidate with another root in that shard."""
-    for shard, (keys, points, roots) in _by_shard(batches):
-        keys, some = keys.to_numpy(), np.zeros(len(keys), bool)
-        for at, apart in _apart(points, roots.to_numpy()):
-            near = apart <= WIDE_RADIUS
-            some[at : at + len(near)] |= near.any(axis=1)
-            some[: near.shape[1]] |= near.any(axis=0)
-        if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), shard)), pa.array(keys[some])], names=["shard", "key"])
+    for shard, keys, points, roots in _by_shard(batches):
+        shard, roots = shard.to_numpy(), roots.to_numpy()
+        group = Shards(shard, points)
+        least, most = group.bounds(roots)
+        low, high = least.copy(), most.copy()  # of the node and all its candidates
+        for q, node, _ in group.forest.pairs(WIDE_RADIUS):
+            for a, b in ((q, node), (node, q)):
+                np.minimum.at(low, a, least[b])
+                np.maximum.at(high, a, most[b])
+        some = (low[group.node] != roots) | (high[group.node] != roots)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[some]), pa.array(keys.to_numpy()[some])], names=["shard", "key"])
 
 
 def _decided(similarity: float):
     """Over rows (shard, key, fp, root, grams) sorted by shard: links (a, b) of similar texts, a spanning forest of each shard over its roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (keys, points, roots, grams) in _by_shard(batches):
-            keys, links = keys.to_numpy(), []
-            distinct, flat = np.unique(grams.values.to_numpy(), return_inverse=True)
-            stops = grams.offsets.to_numpy() - grams.offsets[0].as_py()
-            sizes, mark = np.diff(stops), np.zeros(len(distinct), np.int64)
-            label = roots.to_numpy().copy()
-            for at, apart in _apart(points, label.copy()):
-                for i in np.flatnonzero((apart <= WIDE_RADIUS).any(axis=1)).tolist():
-                    near, i = np.flatnonzero(apart[i] <= WIDE_RADIUS), i + at
-                    near = near[label[near] != label[i]]
-                    if not len(near):
-                        continue
-                    own = flat[stops[i] : stops[i + 1]]
-                    mark[own] = 1
-                    both = np.add.reduceat(mark[np.concatenate([flat[stops[j] : stops[j + 1]] for j in near])], np.cumsum(np.r_[0, sizes[near][:-1]]))
-                    mark[own] = 0
-                    for j in near[both >= (similarity - 1e-9) * (sizes[near] + sizes[i] - both)].tolist():
-                        if label[j] != label[i]:
-                            links.append((keys[i], keys[j]))
-                            label[label == label[j]] = label[i]
+        for shard, keys, points, roots, grams in _by_shard(batches):
+            shard, keys, links = shard.to_numpy(), keys.to_numpy(), []
+            group = Shards(shard, points)
+            distinct, flat = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+            sizes = grams.value_lengths().to_numpy()
+            stops, mark = np.cumsum(np.r_[0, sizes]), np.zeros(len(distinct), np.int64)
+            # a root is one label within a shard only
+            label = np.unique(np.stack([shard, roots.to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+            least, most = group.bounds(label)
+
+            def settle(i: int, near: np.ndarray) -> None:
+                near = near[label[near] != label[i]]
+                if not len(near):
+                    return
+                mark[flat[stops[i] : stops[i + 1]]] = 1
+                both = np.add.reduceat(mark[np.concatenate([flat[stops[j] : stops[j + 1]] for j in near])], np.cumsum(np.r_[0, sizes[near][:-1]]))
+                mark[flat[stops[i] : stops[i + 1]]] = 0
+                for j in near[both >= (similarity - 1e-9) * (sizes[near] + sizes[i] - both)].tolist():
+                    if label[j] != label[i]:
+                        links.append((keys[i], keys[j]))
+                        label[label == label[j]] = label[i]
+
+            for k in np.flatnonzero(least != most):  # one fingerprint, several roots
+                own = group.of(np.array([k]))
+                for at in range(1, len(own)):
+                    settle(own[at], own[:at])
+            for q, node, _ in group.forest.pairs(WIDE_RADIUS):
+                open_ = (np.minimum(least[q], least[node]) != np.maximum(most[q], most[node])).nonzero()[0]
+                open_ = open_[np.argsort(q[open_], kind="stable")]
+                for part in np.split(open_, np.flatnonzero(np.diff(q[open_])) + 1) if len(open_) else []:
+                    near = group.of(node[part])
+                    for i in group.of(q[part[:1]]).tolist():
+                        settle(i, near)
             if links:
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -365,8 +423,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, component_id) for every row of ``docs``: texts link whose sets of 5-word shingles have a Jaccard similarity of
     at least ``similarity``.
 
-    Each distinct text has a SimHash of 256 bits and goes to shards, each named by some of the bits, drawn at random; the texts of a shard
-    are compared all with all. Pairs at most WIDE_RADIUS bits apart are candidates, and their sets of shingles decide. The first round takes
+    Each distinct text has a SimHash of 256 bits and goes to shards, each named by some of the bits, drawn at random; the fingerprints of a
+    shard form a Burkhard-Keller tree. Pairs that it finds at most WIDE_RADIUS bits apart are candidates, and their sets of shingles decide. The first round takes
     a text's nearest candidate in each shard; the second, of the texts that have candidates at all, in the shards all candidates that the links so far leave in different components; sets of shingles go only to those
     shards in which a text has such a candidate. Rows and links grow with the texts, the comparisons within a shard with the square of its texts. A pair that shares no shard is missed: of pairs at a similarity of just 0.8 about 3 %, fewer above.
     """

@@ -141,6 +141,62 @@ def test_every_candidate_is_told():
     assert 40 <= S.WIDE_RADIUS < 70 and got == {(1, 2), (0, 0)}
 
 
+def near_groups(rng):
+    """256-bit fingerprints of one shard: one without bits, a group near it, a group far from it, some of both twice."""
+    far = rng.random(256) < 0.5
+    bits = [np.zeros(256, bool)]
+    for center in (bits[0], far):
+        for _ in range(40):
+            flips = np.zeros(256, bool)
+            flips[rng.choice(256, rng.integers(4, 40), replace=False)] = True
+            bits.append(center ^ flips)
+    bits = np.array(bits + bits[5:60:6])
+    return bits, (bits[:, None] != bits[None]).sum(axis=2)
+
+
+@pytest.mark.parametrize("visits", [1, 500, 1 << 19])
+def test_wide_forest_is_exhaustive(visits):
+    rng = np.random.default_rng(4)
+    bits, apart = near_groups(rng)
+    bits, apart = bits[:81], apart[:81, :81]
+    keys = np.repeat([0, 1, 2], [30, 1, 50])
+    forest = S.Forest(keys, np.packbits(bits, axis=1).view(np.uint64))
+    got = {(a, b): d for x in forest.pairs(60, visits) for a, b, d in zip(*(y.tolist() for y in x), strict=True)}
+    assert got == {(i, j): apart[i, j] for i in range(81) for j in range(i) if keys[i] == keys[j] and apart[i, j] <= 60}
+
+
+def test_near_copies_are_searched_in_trees(monkeypatch):
+    """Each round of candidates comes from a Burkhard-Keller tree that follows no edge beyond the radius: of two groups, none of one is compared
+    with one of the other, beyond where they hang."""
+    bits, apart = near_groups(np.random.default_rng(4))
+    n, near = len(bits), (apart <= S.WIDE_RADIUS) & ~np.eye(len(bits), dtype=bool)
+    compared, plain = [], S.Forest.apart
+    monkeypatch.setattr(S.Forest, "apart", lambda self, a, b: compared.append(len(a)) or plain(self, a, b))
+    keys, roots = pa.array(range(n)), np.arange(n) % 3
+    columns = [pa.array([7] * n), keys, pa.array([np.packbits(x).tobytes() for x in bits]), pa.array(roots), pa.array([[k // 2] for k in range(n)], pa.list_(pa.int64()))]
+    batch = lambda k: iter([pa.RecordBatch.from_arrays(columns[:k], names=["shard", "key", "fp", "root", "grams"][:k])])
+    rows = lambda found: [x for y in found for x in zip(*(c.to_pylist() for c in y.columns), strict=True)]
+    all_pairs = n * (n - 1) // 2
+
+    got = rows(S._nearest(batch(3)))
+    first = [np.where(near[i, :i], apart[i, :i], 999) for i in range(n)]
+    want = {(int(x.argmin()), i) for i, x in enumerate(first) if len(x) and x.min() <= S.WIDE_RADIUS}
+    assert {x for x in got if x[0] != x[1]} == want and {x for y in got for x in y} == set(np.flatnonzero(near.any(axis=1)).tolist())
+    assert 0 < sum(compared) < 0.8 * all_pairs
+
+    compared.clear()
+    assert {x for _, x in rows(S._undecided(batch(4)))} == set(np.flatnonzero((near & (roots[:, None] != roots)).any(axis=1)).tolist())
+    assert 0 < sum(compared) < 0.8 * all_pairs
+
+    compared.clear()
+    label = list(range(3))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        if i // 2 == j // 2 and label[roots[i]] != label[roots[j]]:
+            label = [label[roots[j]] if x == label[roots[i]] else x for x in label]
+    assert len(rows(S._decided(0.8)(batch(5)))) == 3 - len(set(label)) > 0
+    assert 0 < sum(compared) < 0.8 * all_pairs
+
+
 def slow_copies(texts, similarity=0.8):
     def shingles(text):
         words = [x for x in __import__("re").split("[\x20\x09-\x0d]+", (text or "").lower()) if x]
